@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import decontaminate, toxicity
+from spanwise.llm import decontaminate, jaccard, mixing, resharding, toxicity
+from spanwise.llm.queries import language_labels
 from spanwise.llm.shared import stage_table
 
 
@@ -20,7 +21,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("__toxic") < 0.5).drop("__toxic")
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that of the least doc_id."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose words are hit by benchmark windows to a twentieth or more go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of scarcer languages repeat until expected tokens follow tempered weights; none is lost."""
+    return mixing.mixed(docs, language_labels(spark, sf_dir))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard (of 40 of near-equal bytes) and slot, moving the fewest bytes from the files they lie in."""
+    out = resharding.reshard(docs)
+    return out.select(*[out[c] for c in docs.columns], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix),
+    ("sharding", shard),
+]
 
 #: The stages train and apply models, which SQL can't express.
 ORACLE_SQL = None
@@ -30,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stage_table(stage(spark, docs, sf_dir), name)
+        docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

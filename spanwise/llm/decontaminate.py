@@ -179,6 +179,14 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the contaminated ones. Only ids and text hashes of those are joined, never texts."""
+    found = contamination(docs, benchmark)
+    n_hit = hit_words(F.col("spans"))
+    bad = found.where(is_contaminated(n_hit, F.col("n_words"))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left_anti")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
