@@ -5,14 +5,17 @@ are runs of non-space, A-Z lower-cased; a text of fewer words has the whole
 sequence as one shingle; none without words). Two documents link when
 100 * intersection >= 80 * union.
 
-1. Shingles that many documents share are counted over all documents; the
-   global order puts them last, by count, and the rest first, by hash. The order
-   steers the work, never the result.
-2. Equal sets fold into one class (64-bit signature of the whole set).
-3. Prefix filter: linked sets share one of the first n - ceil(0.8 n) + 1
-   shingles in the global order. Classes that share such a shingle are chained,
-   and connected components of the chains give blocks: no link crosses blocks.
-   Chains are linear in a shingle's classes, whatever their number.
+1. Equal sets fold into one class (64-bit signature of the whole set).
+2. Extended prefix filter, in hash order: of each set the first n - ceil(0.8 n) + n/20 + 1
+   shingles are posted. Linked sets share more than n/25 posted ones, so a set
+   whose postings are not met by other sets so often links with nothing. Most
+   documents end here.
+3. The shingles of the rest are counted; in the global order the rarest come
+   first. Linked sets share one of their first n - ceil(0.8 n) + 1. Sets that
+   share such a shingle are chained (linear in a shingle's sets, whatever their
+   number), and connected components of the chains give blocks: no link crosses
+   blocks. Passages that many documents share come last in this order and so
+   don't chain documents that differ.
 4. In a block, sets are ordered by how many hold a shingle and stored in a
    path-compressed trie; a probe walks it once, sharing the overlap of common
    paths, and prunes subtrees by misses so far, by remaining length and by size.
@@ -39,10 +42,6 @@ from .shared import stage_table
 
 SHINGLE = 5
 PERCENT = 80
-#: A shingle counts as common when found in so many documents; a task reports it from COMMON_LOCAL on among COUNTED shingles.
-COMMON, COMMON_LOCAL, COUNTED = 64, 4, 1 << 21
-#: Common shingles that are ranked (the most frequent), 16 bytes each.
-RANKED = 1 << 17
 #: Shingles of a chunk of a block, on average; a task holds two chunks.
 CHUNK_SHINGLES = 1 << 19
 
@@ -74,59 +73,29 @@ def signature(s: np.ndarray) -> int:
     return int(bt.mix(both[:1] * np.uint64(3) + bt.mix(both[1:]) + np.uint64(len(s)))[0].astype(np.int64))
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(ascending shingles, rank of each): the most frequent ones, rank 1 being the rarest of them."""
+def least_common(n, percent: int = PERCENT):
+    """How many shingles a set of n has in common with any set it links with, at least."""
+    return (percent * n + 99) // 100
 
-    def count(batches):
-        kept, held = [], 0
 
-        def flush():
-            values, counts = np.unique(np.concatenate(kept), return_counts=True)
-            often = counts >= COMMON_LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often], pa.int64())], ["shingle", "docs"])
-
-        for b in batches:
-            for _, s in document_sets(b.column(0)):
-                kept.append(s)
-                held += len(s)
-                if held >= COUNTED:
-                    yield flush()
-                    kept, held = [], 0
-        if kept:
-            yield flush()
-
-    found = docs.select("text").mapInArrow(count, "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= COMMON)
-    rows = found.orderBy(F.desc("docs"), "shingle").limit(RANKED).toArrow()
-    shingles = rows.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], (len(order) - order).astype(np.int64)
+def _list_array(lists: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    flat = np.concatenate(lists) if lists else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
 def _prefixes(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, sig, n, prefix): the set's signature and size, and its first shingles in the global order."""
-    shipped = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+    """(doc_id, sig, n, prefix): the set's signature and size, and its extended prefix in hash order."""
 
     def run(batches):
-        common, rank = shipped.value
         for b in batches:
             sigs, sizes, lists = [], [], []
             for _, s in document_sets(b.column(1)):
                 n = len(s)
-                want = n - (percent * n + 99) // 100 + 1 if n else 0
                 sigs.append(signature(s))
                 sizes.append(n)
-                if n and len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    known = common[at] == s
-                    rare = s[~known]
-                    if len(rare) < want:
-                        s = np.concatenate([rare, s[known][np.argsort(rank[at[known]], kind="stable")]])
-                    else:
-                        s = rare
-                lists.append(s[:want])
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], ["doc_id", "sig", "n", "prefix"])
+                lists.append(s[: n - least_common(n, percent) + n // 20 + 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), _list_array(lists)], ["doc_id", "sig", "n", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long, n long, prefix array<long>")
 
@@ -207,31 +176,43 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     meta = stage_table(_prefixes(docs, percent), "prefixes")
     real = meta.where("n > 0 AND doc_id IS NOT NULL")
 
-    posts = real.dropDuplicates(["sig"]).select(F.explode("prefix").alias("shingle"), "sig")
-    chain = posts.select(F.lag("sig").over(Window.partitionBy("shingle").orderBy("sig")).alias("b"), F.col("sig").alias("a")).where("b IS NOT NULL AND b <> a")
-    low = components(chain.distinct())
-    blocks = low.unionByName(low.select(F.col("root").alias("node"), "root")).distinct()
-
     classes = real.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    placed = stage_table(classes.join(blocks, F.col("sig") == F.col("node")).select("sig", "rep", "n", F.col("root").alias("block")), "blocks")
-    chunks = placed.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks"))
-    tasks = placed.join(chunks, "block").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
-    most = chunks.agg(F.max("chunks")).first()[0] or 0
+
+    posts = real.dropDuplicates(["sig"]).select("sig", "n", F.explode("prefix").alias("shingle"))
+    row = Window.partitionBy("shingle").orderBy("sig")
+    met = posts.select("sig", "n", (F.lag("sig").over(row).isNotNull() | F.lead("sig").over(row).isNotNull()).alias("met")).where("met")
+    some = met.groupBy("sig").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n")).where("met > floor(n / 25)").select("sig")
 
     def shingle(batches):
         for b in batches:
-            rows, lists = [], []
-            expected = b.column("sig").to_numpy()
+            rows, lists, expected = [], [], b.column("sig").to_numpy()
             for i, s in document_sets(b.column("text")):
-                if signature(s) == expected[i]:
+                if signature(s) == expected[i]:  # another row may share the id
                     rows.append(i)
                     lists.append(s)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.empty(0, np.uint64)
-            left = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([left.column(c) for c in ("block", "sig", "own", "chunks")] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], ["block", "sig", "own", "chunks", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(expected[rows], pa.int64()), pa.array([len(x) for x in lists], pa.int64()), _list_array(lists)], ["sig", "n", "items"])
+
+    reps = classes.join(some, "sig", "left_semi").select("sig", "rep")
+    texts = docs.join(reps, F.col("doc_id") == F.col("rep")).select("sig", "text")
+    sets = texts.mapInArrow(shingle, "sig long, n long, items array<long>")
+    if real.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        sets = sets.dropDuplicates(["sig"])  # rows of one id and text may repeat
+    sets = stage_table(sets, "sets")
+
+    items = sets.select("sig", "n", F.explode("items").alias("shingle"))
+    counted = items.select("sig", "n", "shingle", F.count(F.lit(1)).over(Window.partitionBy("shingle")).alias("df")).where("df > 1")
+    rank = Window.partitionBy("sig").orderBy("df", "shingle")
+    ranked = counted.select("sig", "n", "shingle", F.row_number().over(rank).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("sig")).alias("known"))
+    prefix = ranked.where(F.col("k") + F.greatest(F.col("n") - F.col("known"), F.lit(0)) <= F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1)
+    chain = prefix.select(F.lag("sig").over(row).alias("b"), F.col("sig").alias("a")).where("b IS NOT NULL AND b <> a")
+    low = components(chain.distinct())
+    blocks = low.unionByName(low.select(F.col("root").alias("node"), "root")).distinct()
+    placed = stage_table(classes.join(blocks, F.col("sig") == F.col("node")).select("sig", "n", F.col("root").alias("block")), "blocks")
+    chunks = placed.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks"))
+    tasks = placed.join(chunks, "block").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
+    most = chunks.agg(F.max("chunks")).first()[0] or 0
 
-    sets = docs.join(tasks, F.col("doc_id") == F.col("rep")).select("block", "sig", "own", "chunks", "text").mapInArrow(shingle, "block long, sig long, own int, chunks int, items array<long>")
+    sets = sets.select("sig", "items").join(tasks.select("block", "sig", "own", "chunks"), "sig")
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     sets = sets.select("block", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "sig", "items")
 
@@ -253,9 +234,8 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     if len(items) > 1:
                         yield flush()
                     key, sigs, items = keys[i], [], []
-                if not sigs or sigs[-1] != sig:  # rows of one doc_id and text may repeat
-                    sigs.append(sig)
-                    items.append(flat[offs[i] : offs[i + 1]].copy())
+                sigs.append(sig)
+                items.append(flat[offs[i] : offs[i + 1]].copy())
         if len(items) > 1:
             yield flush()
 
