@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, resharding, toxicity
+from . import chat, decontaminate, jaccard, language, mixing, quality, resharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +42,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.shard_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.shingle_components(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op7_resharding": op7_resharding,
+    "op9_language": op9_language,
     "op10_jaccard": op10_jaccard,
 }
 
