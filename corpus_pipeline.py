@@ -39,7 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard (of 40 of near-equal bytes) and slot, moving the fewest bytes from the files they lie in."""
     out = resharding.reshard(docs)
-    return out.select(*[out[c] for c in docs.columns], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    return out.select(*kept, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 
 
 STAGES = [

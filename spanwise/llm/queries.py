@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language, mixing, quality, resharding, toxicity
+from . import chat, decontaminate, jaccard, language, mixing, neighbours, quality, resharding, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__tokens").alias("n_tokens"), F.col("__domain").alias("domain"), F.round("__rate", 6).alias("rate"), F.col("__copies").alias("copies"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = neighbours.build_index(table(spark, sf_dir, "embeddings"))
+    return neighbours.search(index, index.where("vec_id % 50 = 0").select("vec_id", "v"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +55,10 @@ def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.shard_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted_languages(table(spark, sf_dir, "documents"))
 
@@ -61,16 +70,19 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_mixing": op2_mixing,
+    "op3_neighbours": op3_neighbours,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_resharding": op7_resharding,
+    "op8_secrets": op8_secrets,
     "op9_language": op9_language,
     "op10_jaccard": op10_jaccard,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat": chat.ORACLE,
+    "op3_neighbours": neighbours.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op10_jaccard": jaccard.ORACLE,
 }
