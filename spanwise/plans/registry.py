@@ -1,10 +1,307 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries over the shared tables, each with its DuckDB equivalent.
+
+The tables stand in for genomic ones: l_returnflag is the contig (A, N, R, of
+2,500 days each), the day since 1995-01-01 the position, l_linestatus the sample.
+``depth`` is the day's summed quantity, with the value missing on days ending in 3.
+Alignments are lineitem rows from order date to ship date.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import algebra, mask, pileup, reduce, runs
+from .reference import Reference
+from .track import Track, as_regions, points_track
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+DAYS = 2500
+REFERENCE = Reference([("A", DAYS), ("N", DAYS), ("R", DAYS)])
+LABELS = ("F", "O")
+BUCKET = 256
+#: Literal regions: overlapping, repeated, out of order, one base wide, whole contigs.
+REGIONS = [("A", 100, 400), ("N", 0, 2500), ("A", 300, 700), ("R", 1000, 1001), ("A", 100, 400), ("R", 2400, 2500), ("N", 1200, 1900)]
+
+PTS = """pts AS (
+  SELECT l_returnflag AS contig, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS pos, l_linestatus AS label,
+         CASE WHEN date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 10 <> 3 THEN CAST(sum(l_quantity) AS BIGINT) END AS v, count(*) AS c
+  FROM lineitem WHERE date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) BETWEEN 0 AND 2499 GROUP BY ALL)"""
+PTS = PTS.replace("GROUP BY ALL", "GROUP BY l_returnflag, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)), l_linestatus")
+REG = "reg AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', {s}, {e})" for i, (c, s, e) in enumerate(REGIONS)) + ") t(region_id, contig, s, e))"
+LAB = "lab AS (SELECT * FROM (VALUES ('F'), ('O')) t(label))"
+#: Every region, label and base, with the fill-less value.
+CELLS = f"WITH {PTS}, {REG}, {LAB}, cell AS (SELECT region_id, lab.label, s, e, pts.pos, v FROM reg CROSS JOIN lab LEFT JOIN pts ON pts.contig = reg.contig AND pts.label = lab.label AND pos >= s AND pos < e)"
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contig, pos, label, value, c): a day's quantity (missing on days ending in 3) and rows."""
+    pos = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("contig"), pos.alias("pos"), F.col("l_linestatus").alias("label"), "l_quantity")
+    days = rows.where(F.col("pos").between(0, DAYS - 1)).groupBy("contig", "pos", "label").agg(F.sum("l_quantity").cast("long").alias("q"), F.count(F.lit(1)).alias("c"))
+    return days.select("contig", "pos", "label", F.when(F.col("pos") % 10 != 3, F.col("q")).alias("value"), "c")
+
+
+def depth_track(spark: SparkSession, sf_dir: str, fill=None) -> Track:
+    return points_track(points(spark, sf_dir), REFERENCE, LABELS, fill)
+
+
+def count_track(spark: SparkSession, sf_dir: str) -> Track:
+    return points_track(points(spark, sf_dir).withColumn("value", F.col("c")), REFERENCE, LABELS, 0)
+
+
+def regions(spark: SparkSession) -> DataFrame:
+    return as_regions(spark, REGIONS, REFERENCE)
+
+
+def _reduced(name: str, reducer: str, expression: str, kind: str = "double", **options) -> None:
+    sql = f"{CELLS} SELECT CAST(region_id AS BIGINT) AS region_id, label, {expression} AS value FROM cell GROUP BY region_id, label, s, e"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = reduce.reduce_regions(depth_track(spark, sf_dir), regions(spark), reducer, bucket=BUCKET, **options)
+        value = F.round(F.col("value").cast("double"), 6) if kind == "double" else F.col("value").cast("long")
+        return out.select("region_id", "label", value.alias("value"))
+
+    query(name, sql)(run)
+
+
+_reduced("region_mean", "mean", "round(avg(v), 6)")
+_reduced("region_sum", "sum", "CAST(coalesce(sum(v), 0) AS BIGINT)", "long")
+_reduced("region_count", "count", "count(v)", "long")
+_reduced("region_min", "min", "min(v)", "long")
+_reduced("region_max", "max", "max(v)", "long")
+_reduced("region_var", "var", "round(var_pop(v), 6)")
+_reduced("region_std_ddof1", "std", "round(stddev_samp(v), 6)", ddof=1)
+_reduced("region_median", "median", "round(median(v), 6)")
+_reduced("region_quantile", "quantile", "round(quantile_cont(v, 0.25), 6)", q=0.25)
+_reduced("region_skipna_false", "mean", "CASE WHEN count(v) = e - s THEN round(avg(v), 6) END", skipna=False)
+
+
+@query("region_quantiles", f"{CELLS}, q AS (SELECT * FROM (VALUES (0.1), (0.5), (0.9)) t(quantile)), r AS (SELECT region_id, label, quantile_cont(v, [0.1, 0.5, 0.9]) AS vs FROM cell GROUP BY region_id, label) SELECT CAST(region_id AS BIGINT) AS region_id, label, CAST(unnest([0.1, 0.5, 0.9]) AS DOUBLE) AS quantile, round(unnest(coalesce(vs, [NULL, NULL, NULL])), 6) AS value FROM r")
+def region_quantiles(spark, sf_dir):
+    out = reduce.reduce_regions(depth_track(spark, sf_dir), regions(spark), "quantile", q=[0.1, 0.5, 0.9], bucket=BUCKET)
+    return out.select("region_id", "label", "quantile", F.round("value", 6).alias("value"))
+
+
+@query("fill_vs_null", f"{CELLS} SELECT CAST(region_id AS BIGINT) AS region_id, label, round(coalesce(CAST(sum(v) AS DOUBLE), 0) / (e - s - count(*) FILTER (pos IS NOT NULL AND v IS NULL)), 6) AS value FROM cell GROUP BY region_id, label, s, e")
+def fill_vs_null(spark, sf_dir):
+    """Means where uncovered bases count as the fill 0 and missing ones don't count."""
+    out = reduce.reduce_regions(depth_track(spark, sf_dir, fill=0), regions(spark), "mean", bucket=BUCKET)
+    return out.select("region_id", "label", F.round("value", 6).alias("value"))
+
+
+@query("region_summit", f"{CELLS}, k AS (SELECT region_id, cell.label, cell.pos, cell.v, coalesce(p.c, 0) AS c FROM (SELECT region_id, reg.contig, lab.label, reg.s + g.i AS pos, pts.v FROM reg CROSS JOIN lab CROSS JOIN (SELECT unnest(range(2500)) AS i) g LEFT JOIN pts ON pts.contig = reg.contig AND pts.label = lab.label AND pts.pos = reg.s + g.i WHERE g.i < reg.e - reg.s) cell LEFT JOIN pts p ON p.contig = cell.contig AND p.label = cell.label AND p.pos = cell.pos) SELECT CAST(region_id AS BIGINT) AS region_id, label, CAST(pos AS BIGINT) AS summit_position, c AS rows, v AS depth FROM (SELECT *, row_number() OVER (PARTITION BY region_id, label ORDER BY c DESC, v DESC NULLS LAST, pos) AS k FROM k) WHERE k = 1")
+def region_summit(spark, sf_dir):
+    out = reduce.summit({"rows": count_track(spark, sf_dir), "depth": depth_track(spark, sf_dir)}, regions(spark), ["rows", "depth"])
+    return out.select("region_id", "label", "summit_position", "rows", "depth")
+
+
+@query("stat_contig_mean", f"WITH {PTS} SELECT CAST(CASE contig WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS BIGINT) AS region_id, label, round(avg(v), 6) AS value FROM (SELECT c.contig, l.label, v FROM (VALUES ('A'), ('N'), ('R')) c(contig) CROSS JOIN (VALUES ('F'), ('O')) l(label) LEFT JOIN pts ON pts.contig = c.contig AND pts.label = l.label) GROUP BY contig, label")
+def stat_contig_mean(spark, sf_dir):
+    out = reduce.stat(depth_track(spark, sf_dir), None, "mean")
+    return out.select("region_id", "label", F.round("value", 6).alias("value"))
+
+
+@query("stat_median_lower", f"{CELLS} SELECT CAST(region_id AS BIGINT) AS region_id, label, quantile_disc(v, 0.5) AS value FROM cell GROUP BY region_id, label")
+def stat_median_lower(spark, sf_dir):
+    return reduce.stat(depth_track(spark, sf_dir), regions(spark), "median").select("region_id", "label", "value")
+
+
+@query("stat_hist_union", f"WITH {PTS}, {REG}, u AS (SELECT DISTINCT pts.contig, pos, label, c FROM pts JOIN reg ON pts.contig = reg.contig AND pos >= s AND pos < e), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT contig, p FROM (SELECT contig, unnest(range(s, e)) AS p FROM reg))), h AS (SELECT CAST(c AS BIGINT) AS value, count(*) FILTER (label = 'F') AS f, count(*) FILTER (label = 'O') AS o FROM u GROUP BY c UNION ALL SELECT 0, n - (SELECT count(*) FROM u WHERE label = 'F'), n - (SELECT count(*) FROM u WHERE label = 'O') FROM n) SELECT value, CAST(sum(f) AS BIGINT) AS F, CAST(sum(o) AS BIGINT) AS O FROM h GROUP BY value")
+def stat_hist_union(spark, sf_dir):
+    return reduce.stat(count_track(spark, sf_dir), regions(spark), "hist")
+
+
+ORDERS = "ord AS (SELECT o_orderstatus AS contig, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS s, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 + o_custkey % 3 AS e FROM orders WHERE o_custkey % 7 = 0)"
+ORDER_REFERENCE = Reference([("F", 4000), ("O", 4000), ("P", 4000)])
+
+
+def order_intervals(spark, sf_dir) -> DataFrame:
+    start = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
+    rows = table(spark, sf_dir, "orders").where("o_custkey % 7 = 0")
+    return rows.select(F.col("o_orderstatus").alias("contig"), start.alias("start"), (start + 1 + F.col("o_custkey") % 3).alias("end"))
+
+
+ISLANDS = f"WITH {ORDERS}, m AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ord), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m), isl AS (SELECT contig, CAST(min(s) AS BIGINT) AS s, CAST(max(e) AS BIGINT) AS e FROM g GROUP BY contig, k)"
+
+
+@query("interval_coalesce", f'{ISLANDS} SELECT contig, s AS start, e AS "end" FROM isl')
+def interval_coalesce(spark, sf_dir):
+    return mask.coalesce_intervals(order_intervals(spark, sf_dir)).select("contig", "start", "end")
+
+
+@query("interval_mask_bases", f"{ISLANDS}, t AS (SELECT contig, sum(e - s) AS n FROM isl GROUP BY contig) SELECT contig, CAST(n AS BIGINT) AS masked, CAST(4000 - n AS BIGINT) AS unmasked FROM t")
+def interval_mask_bases(spark, sf_dir):
+    cover = mask.interval_mask(order_intervals(spark, sf_dir), ORDER_REFERENCE).cover().runs
+    n = F.col("end") - F.col("start")
+    return cover.groupBy("contig").agg(F.sum(F.when(F.col("value"), n).otherwise(0)).alias("masked"), F.sum(F.when(~F.col("value"), n).otherwise(0)).alias("unmasked")).where("masked > 0")
+
+
+@query("region_slice", f"WITH {PTS}, {LAB} SELECT 'A' AS contig, CAST(g.p AS BIGINT) AS pos, 'A:' || g.p AS position, lab.label, v AS value FROM (SELECT unnest(range(120, 180)) AS p) g CROSS JOIN lab LEFT JOIN pts ON pts.contig = 'A' AND pts.label = lab.label AND pts.pos = g.p")
+def region_slice(spark, sf_dir):
+    return mask.region(depth_track(spark, sf_dir), "A:120-180").select("contig", "pos", "position", "label", "value")
+
+
+@query("region_bins", f"WITH {PTS}, {LAB} SELECT CAST(g.p AS BIGINT) AS pos, lab.label, v AS value FROM (SELECT unnest(range(700, 1000, 100)) AS p) g CROSS JOIN lab LEFT JOIN (SELECT label, pos // 100 * 100 AS pos, CAST(sum(v) AS BIGINT) AS v FROM pts WHERE contig = 'R' GROUP BY 1, 2) b ON b.label = lab.label AND b.pos = g.p")
+def region_bins(spark, sf_dir):
+    """Bins of 100 that a region meets, whole ones, from a track of bin sums."""
+    sums = algebra.binned(depth_track(spark, sf_dir), 100, "sum")
+    binned = Track(sums.select("contig", (F.col("bin") * 100).alias("start"), F.least((F.col("bin") + 1) * 100, F.lit(DAYS)).alias("end"), "label", F.nullif("value", F.lit(-1)).alias("value")), REFERENCE, LABELS)
+    held = depth_track(spark, sf_dir).runs.select("contig", F.floor(F.col("start") / 100).alias("bin"), "label").distinct()
+    out = mask.region(binned, "R:750-1000", "bin_100")
+    known = held.where("contig = 'R'").select((F.col("bin") * 100).alias("pos"), "label", F.lit(True).alias("known"))
+    return out.join(known, ["pos", "label"], "left").select("pos", "label", F.when(F.col("known"), F.col("value")).alias("value"))
+
+
+VIEW = f"WITH {PTS}, {REG}, b AS (SELECT region_id, reg.contig, s + i AS p, s FROM reg CROSS JOIN (SELECT unnest(range(2500)) AS i) WHERE i < e - s), w AS (SELECT region_id, b.contig, b.p, max(CAST(c > 2 AS INT)) FILTER (label = 'F') AS f, max(CAST(c > 2 AS INT)) FILTER (label = 'O') AS o FROM b LEFT JOIN pts ON pts.contig = b.contig AND pts.pos = b.p GROUP BY region_id, b.contig, b.p)"
+
+
+@query("view_runs", VIEW + ", k AS (SELECT * FROM w WHERE f IS NOT NULL OR o IS NOT NULL), m AS (SELECT *, CASE WHEN lag(p) OVER x = p - 1 AND lag(f) OVER x IS NOT DISTINCT FROM f AND lag(o) OVER x IS NOT DISTINCT FROM o THEN 0 ELSE 1 END AS fresh FROM k WINDOW x AS (PARTITION BY region_id ORDER BY p)), n AS (SELECT *, sum(fresh) OVER (PARTITION BY region_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT CAST(region_id AS BIGINT) AS region_id, contig, CAST(min(p) AS BIGINT) AS start, CAST(max(p) + 1 AS BIGINT) AS \"end\", any_value(f) AS F, any_value(o) AS O FROM n GROUP BY region_id, contig, run")
+def view_runs(spark, sf_dir):
+    track = points_track(points(spark, sf_dir).withColumn("value", (F.col("c") > 2).cast("int")), REFERENCE, LABELS)
+    return runs.view(track, regions(spark))
+
+
+@query("binned_mean", f"WITH {PTS} SELECT contig, CAST(pos // 30 AS BIGINT) AS bin, label, round(avg(v), 6) AS value FROM pts WHERE v IS NOT NULL GROUP BY contig, pos // 30, label")
+def binned_mean(spark, sf_dir):
+    return algebra.binned(depth_track(spark, sf_dir), 30).where("value IS NOT NULL").select("contig", "bin", "label", F.round("value", 6).alias("value"))
+
+
+@query("rolling_mean", f"WITH {PTS}, {LAB}, g AS (SELECT c.contig, lab.label, p, coalesce(pts.c, 0) AS c FROM (VALUES ('A'), ('N'), ('R')) c(contig) CROSS JOIN lab CROSS JOIN (SELECT unnest(range(2500)) AS p) LEFT JOIN pts ON pts.contig = c.contig AND pts.label = lab.label AND pts.pos = p), r AS (SELECT contig, label, p, avg(c) OVER w AS m, count(*) OVER w AS n FROM g WINDOW w AS (PARTITION BY contig, label ORDER BY p ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) SELECT contig, CAST(p AS BIGINT) AS pos, label, CASE WHEN n = 7 THEN round(m, 6) END AS value FROM r")
+def rolling_mean(spark, sf_dir):
+    return algebra.rolling_mean(count_track(spark, sf_dir), 7, block=512).select("contig", "pos", "label", F.round("value", 6).alias("value"))
+
+
+READS = "rd AS (SELECT l_returnflag AS contig, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS s, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS e, l_linestatus AS label, l_linenumber AS mapq FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(l_shipdate AS DATE) > CAST(o_orderdate AS DATE) AND CAST(o_orderdate AS DATE) >= DATE '1992-01-01')"
+DEPTH = "ev AS (SELECT contig, label, p, sum(d) AS d FROM (SELECT contig, label, s AS p, 1 AS d FROM {0} UNION ALL SELECT contig, label, e, -1 FROM {0}) GROUP BY contig, label, p), run AS (SELECT contig, label, CAST(p AS BIGINT) AS s, CAST(lead(p) OVER w AS BIGINT) AS e, sum(d) OVER (PARTITION BY contig, label ORDER BY p ROWS UNBOUNDED PRECEDING) AS v FROM ev WINDOW w AS (PARTITION BY contig, label ORDER BY p))"
+READ_REFERENCE = Reference([("A", 6000), ("N", 6000), ("R", 6000)])
+
+
+def lineitem_reads(spark, sf_dir) -> DataFrame:
+    """(contig, start, end, label, mapq): lineitem rows from order date to ship date."""
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
+    both = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_linenumber").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = both.select(F.col("l_returnflag").alias("contig"), day("o_orderdate").alias("start"), day("l_shipdate").alias("end"), F.col("l_linestatus").alias("label"), F.col("l_linenumber").alias("mapq"))
+    return rows.where("end > start AND start >= 0")
+
+
+def _depth_bases(track: Track) -> DataFrame:
+    n = F.col("end") - F.col("start")
+    return track.runs.groupBy("contig", "label", F.col("value").cast("long").alias("depth")).agg(F.sum(n).alias("bases"))
+
+
+@query("pileup_depth", f"WITH {READS}, {DEPTH.format('rd')} SELECT contig, label, CAST(v AS BIGINT) AS depth, CAST(sum(e - s) AS BIGINT) AS bases FROM run WHERE v > 0 AND e IS NOT NULL GROUP BY contig, label, v")
+def pileup_depth(spark, sf_dir):
+    return _depth_bases(pileup.sweep(lineitem_reads(spark, sf_dir), READ_REFERENCE, LABELS))
+
+
+@query("pileup_filtered", f"WITH {READS}, f AS (SELECT * FROM rd WHERE mapq >= 3), {DEPTH.format('f')} SELECT contig, label, CAST(v AS BIGINT) AS depth, CAST(sum(e - s) AS BIGINT) AS bases FROM run WHERE v > 0 AND e IS NOT NULL GROUP BY contig, label, v")
+def pileup_filtered(spark, sf_dir):
+    return _depth_bases(pileup.sweep(lineitem_reads(spark, sf_dir).where("mapq >= 3"), READ_REFERENCE, LABELS))
+
+
+@query("mate_dedup_depth", "WITH r AS (SELECT l_returnflag AS contig, l_orderkey AS q, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s, l_linenumber AS k FROM lineitem WHERE l_linenumber IN (1, 2)), s AS (SELECT contig, q, s, k FROM (SELECT *, row_number() OVER (PARTITION BY q, k ORDER BY contig, s) AS n FROM r) WHERE n = 1), b AS (SELECT contig, q, k, s + i AS p FROM s CROSS JOIN (SELECT unnest(range(20)) AS i)), u AS (SELECT DISTINCT contig, q, p FROM b) SELECT contig, count(*) AS bases, CAST(sum(n) AS BIGINT) AS depth_sum, max(n) AS depth_max FROM (SELECT contig, p, count(*) AS n FROM u GROUP BY contig, p) GROUP BY contig")
+def mate_dedup_depth(spark, sf_dir):
+    """Lines 1 and 2 of an order as mates of 20 bases: where they overlap, a base counts once."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber IN (1, 2)")
+    start = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    one = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_returnflag", start.alias("start"))).alias("r")).select("r.l_returnflag", "l_orderkey", "l_linenumber", "r.start")
+    other = one.select(F.col("l_returnflag").alias("f"), F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("k"), F.col("start").alias("mate_start"))
+    pairs = one.join(other, (F.col("l_orderkey") == F.col("q")) & (F.col("l_linenumber") + F.col("k") == 3), "left")
+    flag = F.when(F.col("k").isNotNull(), 0x1 | 0x2).otherwise(0x1 | 0x8)
+    reads = pairs.select(
+        F.concat_ws("-", "l_returnflag", "l_orderkey").alias("qname"), F.col("l_returnflag").alias("contig"), F.lit("").alias("label"), flag.alias("flag"), "start", F.lit(60).alias("mapq"), F.lit("20M").alias("cigar"),
+        F.coalesce("mate_start", F.lit(-1)).alias("mate_start"), F.coalesce(F.col("f") == F.col("l_returnflag"), F.lit(False)).alias("same_contig"), F.lit("*").alias("seq"), F.lit("*").alias("qual"), F.col("l_linenumber").cast("long").alias("line"),
+    )
+    runs_ = pileup.depth(reads, READ_REFERENCE, pileup.PileupOptions(mates="all")).runs
+    return runs_.groupBy("contig").agg(F.count(F.lit(1)).alias("bases"), F.sum("value").alias("depth_sum"), F.max("value").cast("long").alias("depth_max"))
+
+
+@query("callable_fraction", f"WITH {PTS}, {LAB}, t AS (SELECT contig, label, count(*) FILTER (c >= 3) AS n FROM pts GROUP BY contig, label) SELECT lab.label, CAST(coalesce(sum(n), 0) AS BIGINT) AS bases, round(coalesce(sum(n), 0) / 7500.0, 6) AS fraction FROM lab LEFT JOIN t USING (label) GROUP BY lab.label")
+def callable_fraction(spark, sf_dir):
+    called = count_track(spark, sf_dir).map((F.col("value") >= 3).cast("int"), 0)
+    totals = algebra.label_totals(called)
+    return totals.select("label", F.col("total").cast("long").alias("bases"), F.round("mean", 6).alias("fraction"))
+
+
+@query("callable_per_region", f"WITH {PTS}, {REG}, {LAB} SELECT CAST(region_id AS BIGINT) AS region_id, lab.label, count(*) FILTER (c >= 3) AS value FROM reg CROSS JOIN lab LEFT JOIN pts ON pts.contig = reg.contig AND pts.label = lab.label AND pos >= s AND pos < e GROUP BY region_id, lab.label")
+def callable_per_region(spark, sf_dir):
+    called = count_track(spark, sf_dir).map((F.col("value") >= 3).cast("int"), 0)
+    return reduce.reduce_regions(called, regions(spark), "sum", bucket=BUCKET).select("region_id", "label", F.col("value").cast("long").alias("value"))
+
+
+@query("cohort_normalize", f"WITH {PTS}, m AS (SELECT label, sum(c) / 7500.0 AS mean FROM pts GROUP BY label) SELECT contig, CAST(pos AS BIGINT) AS pos, label, round(c / mean, 6) AS value FROM pts JOIN m USING (label)")
+def cohort_normalize(spark, sf_dir):
+    track = count_track(spark, sf_dir)
+    out = algebra.by_label(track, algebra.label_totals(track).select("label", "mean"), F.col("value") / F.col("mean"))
+    return out.dense().select("contig", "pos", "label", F.round("value", 6).alias("value"))
+
+
+def _aligned(spark, sf_dir, how: str) -> DataFrame:
+    a = mask.region(depth_track(spark, sf_dir), "N:1250-1350").where("value IS NOT NULL")
+    b = mask.region(count_track(spark, sf_dir), "N:1300-1400").where("value > 0")
+    return mask.align_loci(a, b, how).select("contig", "pos", "label", F.col("left_value").alias("depth"), F.col("right_value").alias("rows"))
+
+
+ALIGN = "WITH {0}, a AS (SELECT * FROM pts WHERE contig = 'N' AND pos BETWEEN 1250 AND 1349 AND v IS NOT NULL), b AS (SELECT * FROM pts WHERE contig = 'N' AND pos BETWEEN 1300 AND 1399 AND c > 0) SELECT 'N' AS contig, CAST(coalesce(a.pos, b.pos) AS BIGINT) AS pos, coalesce(a.label, b.label) AS label, a.v AS depth, b.c AS rows FROM a {1} JOIN b ON a.pos = b.pos AND a.label = b.label"
+for _how in ("inner", "outer", "left", "right"):
+    query(f"locus_align_{_how}", ALIGN.format(PTS, "FULL OUTER" if _how == "outer" else _how.upper()))(lambda spark, sf_dir, how=_how: _aligned(spark, sf_dir, how))
+
+
+@query("threshold_outer", f"WITH {PTS} SELECT label, CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (c >= threshold) AS bases FROM pts CROSS JOIN (VALUES (1), (3), (5)) t(threshold) GROUP BY label, threshold")
+def threshold_outer(spark, sf_dir):
+    wide = algebra.thresholds(count_track(spark, sf_dir), [1.0, 3.0, 5.0])
+    return wide.groupBy("label", "threshold").agg(F.coalesce(F.sum(F.when(F.col("value"), F.col("end") - F.col("start"))), F.lit(0)).alias("bases"))
+
+
+@query("summarize_samples", f"WITH {PTS}, p AS (SELECT contig, pos, coalesce(max(c) FILTER (label = 'F'), 0) AS f, coalesce(max(c) FILTER (label = 'O'), 0) AS o FROM pts GROUP BY contig, pos) SELECT contig, CAST(greatest(f, o) AS BIGINT) AS most, round((f + o) / 2.0, 6) AS mean, count(*) AS bases FROM p GROUP BY contig, greatest(f, o), round((f + o) / 2.0, 6)")
+def summarize_samples(spark, sf_dir):
+    found = algebra.across_labels(count_track(spark, sf_dir), most=F.max("value"), mean=F.avg("value"))
+    return found.groupBy("contig", "most", F.round("mean", 6).alias("mean")).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
+
+
+@query("combine_tracks", f"WITH {PTS} SELECT contig, label, count(*) AS bases, CAST(sum(v - c) AS BIGINT) AS total FROM pts WHERE v IS NOT NULL GROUP BY contig, label")
+def combine_tracks(spark, sf_dir):
+    both = algebra.combine({"depth": depth_track(spark, sf_dir), "rows": count_track(spark, sf_dir)}, F.col("depth") - F.col("rows"))
+    known = both.runs.where("value IS NOT NULL")
+    return known.groupBy("contig", "label").agg(F.sum(F.col("end") - F.col("start")).alias("bases"), F.sum(F.col("value") * (F.col("end") - F.col("start"))).alias("total"))
+
+
+@query("mask_where", f"WITH {PTS}, {REG}, u AS (SELECT DISTINCT contig, p FROM (SELECT contig, unnest(range(s, e)) AS p FROM reg)) SELECT pts.contig, label, CAST(sum(c) AS BIGINT) AS total FROM pts JOIN u ON u.contig = pts.contig AND u.p = pts.pos GROUP BY pts.contig, label")
+def mask_where(spark, sf_dir):
+    kept = mask.where(count_track(spark, sf_dir), mask.interval_mask(regions(spark), REFERENCE))
+    total = F.sum(F.col("value") * (F.col("end") - F.col("start")))
+    return kept.runs.where("value > 0").groupBy("contig", "label").agg(total.alias("total"))
+
+
+def _sets(name: str, how: str, condition: str) -> None:
+    sql = f"WITH {REG}, g AS (SELECT contig, p, bool_or(region_id % 2 = 0) AS a, bool_or(region_id % 2 = 1) AS b FROM (SELECT region_id, contig, unnest(range(s, e)) AS p FROM reg) GROUP BY contig, p), k AS (SELECT contig, p, p - row_number() OVER (PARTITION BY contig ORDER BY p) AS run FROM g WHERE {condition}) SELECT contig, CAST(min(p) AS BIGINT) AS start, CAST(max(p) + 1 AS BIGINT) AS \"end\" FROM k GROUP BY contig, run"
+
+    def run(spark, sf_dir):
+        even, odd = (mask.interval_mask(regions(spark).where(f"region_id % 2 = {k}"), REFERENCE) for k in (0, 1))
+        return mask.combine_masks(even, odd, how).select("contig", "start", "end")
+
+    query(name, sql)(run)
+
+
+_sets("interval_intersect", "and", "a AND b")
+_sets("interval_union", "or", "a OR b")
+_sets("interval_except", "andnot", "a AND NOT b")
