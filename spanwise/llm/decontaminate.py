@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from .shared import bounded, stage_table
+
 SPAN = 13
 GRAM = 5
 WINDOW = SPAN - GRAM + 1  # 9; _kept() builds it as 3 x 3
@@ -184,6 +186,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contamination(docs, benchmark)
     n_hit = hit_words(F.col("spans"))
     bad = found.where(is_contaminated(n_hit, F.col("n_words"))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"))
+    bad = bounded(stage_table(bad, "contaminated"))
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left_anti")
 
 

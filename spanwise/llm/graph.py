@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage_table
+from .shared import stage_table, unstage
 
 
 class Forest:
@@ -66,4 +66,6 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: u and its neighbours below go to the least of those.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        done = now
         now = stage_table(small.where("a <> b").mapInArrow(contract, "a long, b long").distinct(), "edges")
+        unstage(done)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .graph import Forest, components
-from .shared import stage_table
+from .shared import bounded, stage_table, unstage
 
 SHINGLE = 5
 PERCENT = 80
@@ -173,15 +173,16 @@ def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
 def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    meta = stage_table(_prefixes(docs, percent), "prefixes")
+    prefixes = stage_table(_prefixes(docs, percent), "prefixes")
+    meta = stage_table(prefixes.select("doc_id", "sig", "n"), "signatures")
     real = meta.where("n > 0 AND doc_id IS NOT NULL")
 
     classes = real.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
 
-    posts = real.dropDuplicates(["sig"]).select("sig", "n", F.explode("prefix").alias("shingle"))
+    posts = prefixes.where("n > 0 AND doc_id IS NOT NULL").dropDuplicates(["sig"]).select("sig", F.explode("prefix").alias("shingle"))
     row = Window.partitionBy("shingle").orderBy("sig")
-    met = posts.select("sig", "n", (F.lag("sig").over(row).isNotNull() | F.lead("sig").over(row).isNotNull()).alias("met")).where("met")
-    some = met.groupBy("sig").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n")).where("met > floor(n / 25)").select("sig")
+    met = posts.select("sig", (F.lag("sig").over(row).isNotNull() | F.lead("sig").over(row).isNotNull()).alias("met")).where("met")
+    some = met.groupBy("sig").agg(F.count(F.lit(1)).alias("met"))
 
     def shingle(batches):
         for b in batches:
@@ -192,12 +193,13 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     lists.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(expected[rows], pa.int64()), pa.array([len(x) for x in lists], pa.int64()), _list_array(lists)], ["sig", "n", "items"])
 
-    reps = classes.join(some, "sig", "left_semi").select("sig", "rep")
-    texts = docs.join(reps, F.col("doc_id") == F.col("rep")).select("sig", "text")
+    reps = stage_table(classes.join(some, "sig").where("met > floor(n / 25)").select("sig", "rep"), "survivors")
+    unstage(prefixes)
+    texts = docs.join(bounded(reps), F.col("doc_id") == F.col("rep")).select("sig", "text")
     sets = texts.mapInArrow(shingle, "sig long, n long, items array<long>")
     if real.groupBy("doc_id").count().where("count > 1").limit(1).count():
         sets = sets.dropDuplicates(["sig"])  # rows of one id and text may repeat
-    sets = stage_table(sets, "sets")
+    staged = sets = stage_table(sets, "sets")
 
     items = sets.select("sig", "n", F.explode("items").alias("shingle"))
     counted = items.select("sig", "n", "shingle", F.count(F.lit(1)).over(Window.partitionBy("shingle")).alias("df")).where("df > 1")
@@ -240,6 +242,7 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield flush()
 
     links = stage_table(sets.repartition("block", "one", "two").sortWithinPartitions("block", "one", "two", "sig").mapInArrow(join_blocks, "a long, b long"), "links")
+    unstage(staged)
     # Where each block was one task, its forest holds stars already.
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")) if most <= 1 else components(links)
 
@@ -258,8 +261,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Documents without words, or without an id, stay.
     """
     found = stage_table(shingle_components(docs), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = stage_table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    left = docs.join(bounded(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
     again = found.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return left.dropDuplicates(["doc_id", "text"]) if again else left
 

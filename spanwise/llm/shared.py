@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Folds of the hold-out rule: crc32(doc_id as text) mod FOLDS; remainder 0 is held out.
 FOLDS = 5
+#: Rows of ids up to which a counted table is broadcast (some 20 MB in memory).
+BROADCAST_ROWS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +28,24 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a table of stage_table() that nothing will read again."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if its counted rows are at most ``limit``; else the planner's shuffled join stands.
+
+    ``df`` should be a staged table of a few narrow columns.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def held_out(doc_id: Column) -> Column:
