@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.grammar import quantize
 from ..operators import algebra, mask, pileup, reduce, runs
+from ..sources.text import last_wins
 from .reference import Reference
 from .track import Track, as_regions, points_track
 
@@ -305,3 +307,50 @@ def _sets(name: str, how: str, condition: str) -> None:
 _sets("interval_intersect", "and", "a AND b")
 _sets("interval_union", "or", "a OR b")
 _sets("interval_except", "andnot", "a AND NOT b")
+
+
+@query("bed_last_wins", f"WITH b AS (SELECT o_orderstatus AS contig, o_orderkey AS line, CAST(o_custkey % 10 AS BIGINT) AS v, unnest(range(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)), date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 + o_custkey % 3)) AS p FROM orders WHERE o_custkey % 7 = 0), w AS (SELECT contig, p, arg_max(v, line) AS v FROM b GROUP BY contig, p) SELECT contig, v AS value, count(*) AS bases FROM w GROUP BY contig, v")
+def bed_last_wins(spark, sf_dir):
+    """Overlapping interval lines: each base has the value of the last line that covers it."""
+    start = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
+    rows = table(spark, sf_dir, "orders").where("o_custkey % 7 = 0")
+    lines = rows.select(F.col("o_orderstatus").alias("contig"), start.alias("start"), (start + 1 + F.col("o_custkey") % 3).alias("end"), F.lit("").alias("label"), (F.col("o_custkey") % 10).alias("value"), F.col("o_orderkey").alias("line"))
+    return last_wins(lines).groupBy("contig", "value").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
+
+
+@query("append_columns", f"WITH {PTS} SELECT contig, CASE label WHEN 'F' THEN 'F' ELSE 'O' END AS label, CAST(sum(c) AS BIGINT) AS total FROM pts GROUP BY contig, label")
+def append_columns(spark, sf_dir):
+    """Two one-column tracks side by side."""
+    both = count_track(spark, sf_dir)
+    joined = algebra.concat([both.select(["F"]), both.select(["O"])])
+    return joined.runs.groupBy("contig", "label").agg(F.sum(F.col("value") * (F.col("end") - F.col("start"))).alias("total"))
+
+
+@query("quantized_runs", f"WITH {PTS} SELECT label, CAST(floor(v / 10) AS BIGINT) AS tens, count(*) AS bases FROM pts WHERE v BETWEEN 10 AND 99 GROUP BY label, floor(v / 10)")
+def quantized_runs(spark, sf_dir):
+    """Values rounded to one significant digit after taking off half a unit."""
+    rows = depth_track(spark, sf_dir).runs.where("value BETWEEN 10 AND 99")
+    tens = quantize(F.floor(F.col("value") / 10).cast("double"), 1).cast("long")
+    return rows.groupBy("label", tens.alias("tens")).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
+
+
+@query("genome_positions", f"WITH {PTS} SELECT CAST(CASE contig WHEN 'A' THEN 0 WHEN 'N' THEN 2500 ELSE 5000 END + pos AS BIGINT) AS position, contig || ':' || pos AS locus, label, c AS value FROM pts")
+def genome_positions(spark, sf_dir):
+    """The flat position axis with locus labels."""
+    flat = REFERENCE.flat(F.col("contig"), F.col("pos"))
+    return count_track(spark, sf_dir).dense().select(flat.cast("long").alias("position"), F.concat_ws(":", "contig", "pos").alias("locus"), "label", "value")
+
+
+COMPOSE = "SELECT l_returnflag AS contig, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s, l_orderkey % 4 AS k FROM lineitem WHERE l_linenumber = 1"
+
+
+@query("pileup_composition", f"WITH r AS ({COMPOSE}), m AS (SELECT contig, s + i AS p, substr('acgt', CAST((i + k) % 4 + 1 AS INTEGER), 1) AS b FROM r CROSS JOIN (SELECT unnest(range(4)) AS i)), d AS (SELECT contig, s + 4 + i AS p, 'del' AS b FROM r CROSS JOIN (SELECT unnest(range(2)) AS i)), e AS (SELECT contig, s + 6 + i AS p, substr('acgt', CAST((i + 4 + k) % 4 + 1 AS INTEGER), 1) AS b FROM r CROSS JOIN (SELECT unnest(range(2)) AS i)), i AS (SELECT contig, s + 7 AS p, 'ins' AS b FROM r), u AS (SELECT * FROM m UNION ALL SELECT * FROM d UNION ALL SELECT * FROM e UNION ALL SELECT * FROM i) SELECT contig, b AS kind, count(*) AS n, CAST(sum(p) AS BIGINT) AS positions FROM u GROUP BY contig, b")
+def pileup_composition(spark, sf_dir):
+    """Base composition of synthetic reads 4M2D2M1I over the reference acgt, shifted by order."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    start = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    seq = F.upper(F.substring(F.lit("acgtacgtacgt"), (F.col("l_orderkey") % 4 + 1).cast("int"), F.lit(6)))
+    reads = rows.select(F.lit("*").alias("qname"), F.col("l_returnflag").alias("contig"), F.lit("").alias("label"), F.lit(0).alias("flag"), start.alias("start"), F.lit(60).alias("mapq"), F.lit("4M2D2M1I").alias("cigar"), F.lit(-1).alias("mate_start"), F.lit(False).alias("same_contig"), F.concat(seq, F.lit("A")).alias("seq"), F.lit("*").alias("qual"), F.col("l_orderkey").alias("line"))
+    found = pileup.composition(reads)
+    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in ("a", "c", "g", "t", "ins", "del")]))
+    return found.select("contig", "pos", kinds).where("n > 0").groupBy("contig", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("pos")).alias("positions"))
