@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .graph import Forest, components
-from .shared import bounded, stage_table, unstage
+from .shared import bounded, small_batches, stage_table, unstage
 
 SHINGLE = 5
 PERCENT = 80
@@ -172,6 +172,7 @@ def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
 
 def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prefixes = stage_table(_prefixes(docs, percent), "prefixes")
     meta = stage_table(prefixes.select("doc_id", "sig", "n"), "signatures")

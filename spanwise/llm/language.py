@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .shared import held_out
+from .shared import held_out, small_batches
 
 ORDER = 3
 #: Training documents of each language at most (in hash order of doc_id), and languages (the most frequent).
@@ -188,6 +188,7 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
 
 def predicted_languages(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every document."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     out = predict(docs, fit(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .shared import labelled_sample, stage_table
+from .shared import labelled_sample, small_batches, stage_table
 
 #: Labelled rows that training takes at most; places of hashed words.
 TRAIN_ROWS, BITS = 8_000, 15
@@ -71,6 +71,7 @@ class Mixture:
 
 def classifier(docs: DataFrame, labels: DataFrame, domain: str = "domain", rows: int = TRAIN_ROWS) -> Mixture:
     """Train on a bounded sample of ``labels`` (doc_id, domain) outside the held-out fold."""
+    small_batches(docs.sparkSession)
     sample = labelled_sample(labels, domain, rows)
     shift = np.uint64(64 - BITS)
 
@@ -108,6 +109,7 @@ def fit_rates(docs: DataFrame, model: Mixture, targets, low: float = 0.0, high:
     Returns the model and, for each pass, the totals it reached.
     """
     model.low, model.high, model.steps = low, high, []
+    small_batches(docs.sparkSession)
     spark, kinds = docs.sparkSession, len(model.domains)
     shipped = spark.sparkContext.broadcast(model)
 
@@ -162,6 +164,7 @@ def tempered(power: float, keep_all: bool = False):
 
 def apply_rates(docs: DataFrame, model: Mixture) -> DataFrame:
     """``docs`` with __tokens, __domain (the likeliest), __rate and __copies: the rate's whole part, and one more by a hash of id and text."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     schema = docs.select("*").schema.add("__tokens", "long").add("__domain", "string").add("__rate", "double")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .shared import held_out, labelled_sample
+from .shared import held_out, labelled_sample, small_batches
 
 #: Positives and unlabelled rows that training takes at most (in hash order of doc_id).
 POSITIVES, UNLABELLED = 4_000, 8_000
@@ -138,6 +138,7 @@ class QualityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityModel:
     """Train on bounded samples outside the held-out fold: positives of ``labels``, and any documents as unlabelled."""
+    small_batches(docs.sparkSession)
     trusted = labelled_sample(labels.where(F.col(label) == 1), label, POSITIVES).select("doc_id", F.lit(1).alias("kind"))
     any_ = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(UNLABELLED).select("doc_id", F.lit(0).alias("kind"))
     sample = trusted.distinct().unionByName(any_.distinct())

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage_table
+from .shared import small_batches, stage_table
 
 # Fixed patterns of the base kinds, in their fixed order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -83,10 +83,9 @@ def battery(run: str, letters: str) -> float:
     size, n = len(letters), len(run)
     at = np.array([letters.index(c) for c in run])
     k = min(BUCKETS, size)
-    edges = (np.arange(size) * k) // size
-    expected = np.bincount(edges, minlength=k) * n / size
-    # Frequency ranks differ within a bucket too, so letters are dealt to buckets round-robin.
-    counts = np.bincount(edges[(at * 7919) % size] if math.gcd(7919, size) == 1 else at % k, minlength=k)
+    # Letters are dealt to buckets in turn, so that neighbours in the alphabet differ in bucket.
+    expected = np.bincount(np.arange(size) % k, minlength=k) * n / size
+    counts = np.bincount(at % k, minlength=k)
     p1 = chi_squared_tail(float(((counts - expected) ** 2 / expected).sum()), k - 1)
     # Repeats of single letters, against the spread of a uniform draw.
     same = np.bincount(at, minlength=size)
@@ -137,6 +136,7 @@ def cuts(counts: dict[tuple[str, int], int]) -> dict[str, float]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, base array<struct<start:int,kind:int,end:int>>, more array<struct<start:int,end:int,class:string,p:double>>"
 
     def run(batches):

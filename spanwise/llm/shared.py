@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 FOLDS = 5
 #: Rows of ids up to which a counted table is broadcast (some 20 MB in memory).
 BROADCAST_ROWS = 300_000
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches to Python hold BATCH_ROWS rows at most: texts are long, and every copy of a batch costs both sides memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .shared import held_out, labelled_sample
+from .shared import held_out, labelled_sample, small_batches
 
 #: Labelled rows that training takes at most (in hash order of doc_id).
 TRAIN_ROWS = 12_000
@@ -118,6 +118,7 @@ def fit(texts: DataFrame, bits: int = BITS) -> FtrlModel:
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> FtrlModel:
     """Train on a bounded sample of ``labels`` joined with their texts; rows of the held-out fold take no part."""
+    small_batches(docs.sparkSession)
     sample = labelled_sample(labels, label, rows)
     return fit(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
 
@@ -125,6 +126,7 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
 def score(docs: DataFrame, model: FtrlModel, out: str = "score") -> DataFrame:
     """``docs`` with the column ``out`` (double, 0 to 1); other columns, whatever their names, pass through unread."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
     names = docs.columns
     text_at = names.index("text")
