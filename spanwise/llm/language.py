@@ -34,7 +34,7 @@ ORDER = 3
 #: Training documents of each language at most (in hash order of doc_id), and languages (the most frequent).
 TRAIN_ROWS, LANGUAGES = 600, 12
 #: Symbols at most: the most frequent bytes of the sample, one more for all others.
-SYMBOLS = 48
+SYMBOLS = 40
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -75,6 +75,7 @@ class ContextTrees:
                 p = base * ~seen * (escape / np.maximum(rest, 1e-300))[:, None]
                 p += count / np.maximum(np.where(rest > 1e-12, total + kinds, total), 1)[:, None]
                 lower = p
+                del count, base, seen
             out[:, k] = -np.log2(np.maximum(lower.ravel(), 1e-30))
         return out
 
