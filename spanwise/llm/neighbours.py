@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import stage_table
 
-EPSILON = 4.0
+EPSILON = 2.5
 QUERIES = 4_096
 #: Codes compared with a block of queries at once.
 ROWS = 1_024
@@ -54,14 +54,21 @@ def decode(codes: np.ndarray, dim: int) -> np.ndarray:
     return (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of the rows of two float64 matrices; sums run from the first component to the last."""
-    dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two float64 matrices, summed from the first component to the last."""
+    total = np.zeros(len(a))
     for i in range(a.shape[1]):
-        dot += a[:, i] * b[:, i]
-        aa += a[:, i] * a[:, i]
-        bb += b[:, i] * b[:, i]
-    return dot / (np.sqrt(aa) * np.sqrt(bb))
+        total += a[:, i] * b[:, i]
+    return total
+
+
+def norms(a: np.ndarray) -> np.ndarray:
+    return np.sqrt(dots(a, a))
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of two float64 matrices."""
+    return dots(a, b) / (norms(a) * norms(b))
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -102,41 +109,56 @@ def build_index(vectors: DataFrame, key: str = "vec_id", column: str = "embeddin
 def _near(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
     """Task: the k nearest rows of its partition for each query; queries by dimension: (ids, matrix)."""
 
+    def rerank(state, ids, m, sizes, names, hq, hr):
+        """Exact scores of the pairs (query hq, row hr), merged into each query's best k."""
+        best, who = state["best"], state["who"]
+        for part in range(0, len(hq), 1 << 16):
+            pq, pr = hq[part : part + (1 << 16)], hr[part : part + (1 << 16)]
+            other = names[pr] != ids[pq]
+            pq, pr = pq[other], pr[other]
+            exact = np.zeros(len(pq))
+            for i in range(len(m)):  # as dots() does, by component: short contiguous columns stay in the cache
+                exact += state["columns"][i][pq] * m[i][pr]
+            exact /= state["sizes"][pq] * sizes[pr]
+            good = exact >= best[pq, -1]
+            pq, pr, exact = pq[good], pr[good], exact[good]
+            touched, own = np.unique(pq, return_inverse=True)
+            owner = np.concatenate([own, np.repeat(np.arange(len(touched)), k)])
+            score = np.concatenate([exact, best[touched].ravel()])
+            name = np.concatenate([names[pr], who[touched].ravel()])
+            order = np.lexsort((name, -score, owner))
+            first = np.searchsorted(owner[order], np.arange(len(touched)))
+            take = order[first[:, None] + np.arange(k)]
+            best[touched], who[touched] = score[take], name[take]
+
     def run(batches):
         state = {}
         for dim, (ids, q) in queries.items():
             unit = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ rotation(dim)
-            state[dim] = [unit.astype(np.float32), np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)]
+            state[dim] = {"columns": np.ascontiguousarray(q.T), "unit": unit.astype(np.float32), "sizes": norms(q), "best": np.full((len(ids), k), -np.inf), "who": np.full((len(ids), k), np.iinfo(np.int64).max)}
         for b in batches:
-            names, scalars, packed = b.column("vec_id").to_numpy(), b.column("f").to_numpy(), b.column("code").to_pylist()
-            for dim, rows, m in _matrices(b):
+            ids_all, scalars, packed = b.column("vec_id").to_numpy(), b.column("f").to_numpy(), b.column("code").to_pylist()
+            for dim, rows, m_all in _matrices(b):
                 if dim not in state:
                     continue
-                (ids, q), (unit, best, who) = queries[dim], state[dim]
+                ids, mine = queries[dim][0], state[dim]
                 for lo in range(0, len(rows), ROWS):
-                    at = rows[lo : lo + ROWS]
+                    at, m = rows[lo : lo + ROWS], m_all[lo : lo + ROWS]
                     codes = decode(np.frombuffer(b"".join(packed[r] for r in at), np.uint8).reshape(len(at), -1), dim)
-                    f = scalars[at]
-                    guess = (unit @ codes.T) / f.astype(np.float32)
-                    bound = EPSILON * np.sqrt(np.maximum(1 - f * f, 0) / (f * f) / max(dim - 1, 1)) + 1e-5
-                    hit_q, hit_r = np.nonzero(guess + bound.astype(np.float32) >= best[:, -1:].astype(np.float32) - 1e-6)
-                    for part in range(0, len(hit_q), 1 << 16):
-                        hq, hr = hit_q[part : part + (1 << 16)], hit_r[part : part + (1 << 16)]
-                        other = names[at[hr]] != ids[hq]
-                        hq, hr = hq[other], hr[other]
-                        exact = cosine(q[hq], m[lo : lo + ROWS][hr])
-                        good = exact >= best[hq, -1]
-                        hq, hr, exact = hq[good], hr[good], exact[good]
-                        touched, own = np.unique(hq, return_inverse=True)
-                        owner = np.concatenate([own, np.repeat(np.arange(len(touched)), k)])
-                        score = np.concatenate([exact, best[touched].ravel()])
-                        name = np.concatenate([names[at[hr]], who[touched].ravel()])
-                        order = np.lexsort((name, -score, owner))
-                        first = np.searchsorted(owner[order], np.arange(len(touched)))
-                        take = order[first[:, None] + np.arange(k)]
-                        best[touched], who[touched] = score[take], name[take]
+                    f, names, sizes = scalars[at], ids_all[at], norms(m)
+                    guess = mine["unit"] @ (codes / f[:, None].astype(np.float32)).T
+                    bound = (EPSILON * np.sqrt(np.maximum(1 - f * f, 0) / (f * f) / max(dim - 1, 1)) + 1e-5).astype(np.float32)
+                    # The best guesses first: their exact scores let the bound drop most others.
+                    turned = np.ascontiguousarray(m.T)
+                    few = min(k + 1, len(at))
+                    top = np.argpartition(guess, len(at) - few, axis=1)[:, len(at) - few :]
+                    rerank(mine, ids, turned, sizes, names, np.repeat(np.arange(len(ids)), few), top.ravel())
+                    floor = mine["best"][:, -1:].astype(np.float32) - 1e-6
+                    np.put_along_axis(guess, top, -np.inf, axis=1)
+                    guess += bound
+                    rerank(mine, ids, turned, sizes, names, *np.nonzero((guess >= floor) & (guess > -np.inf)))
         for dim, (ids, _) in queries.items():
-            _, best, who = state[dim]
+            best, who = state[dim]["best"], state[dim]["who"]
             at, col = np.nonzero(np.isfinite(best))
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(who[at, col]), pa.array(best[at, col])], ["query_id", "vec_id", "score"])
 
