@@ -88,6 +88,8 @@ def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 0):
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, side="right")) - 1)
         yield lo, hi - lo, raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    # Workers live on between tasks: give back what this batch took.
+    pa.default_memory_pool().release_unused()
 
 
 def word_bounds(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
