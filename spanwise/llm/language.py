@@ -90,7 +90,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> ContextTrees:
     picks = ready.sparkSession.createDataFrame([], ready.schema)
     for name in names:
         picks = picks.unionByName(ready.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    sample = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picks.distinct()), "doc_id")
     size = 256
 
     def grams(batches):

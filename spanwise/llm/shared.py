@@ -65,8 +65,9 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(labels: DataFrame, label: str, limit: int, key: str = "doc_id") -> DataFrame:
     """At most ``limit`` labelled training rows in hash order: (doc_id, label). Bounded, so it may be broadcast.
 
-    A row of the held-out fold, or whose id or label is null, is never taken.
+    A row of the held-out fold, or whose id or label is null, is never taken; equal
+    rows count once.
     """
     ready = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("label"))
     ready = ready.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-    return ready.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
+    return ready.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)

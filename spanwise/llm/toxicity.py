@@ -8,8 +8,8 @@ bounded, documented sample of labelled rows; what comes out is a short list of
 non-zero weights, small enough to ship to every task whatever the corpus.
 
 Null and empty texts have no features and get the score of the bias alone.
-Repeated rows are scored each; repeated or conflicting labels are examples
-each. With no labelled row at all, every score is 0.5.
+Repeated rows are scored each; conflicting labels are examples each, repeated
+ones count once. With no labelled row at all, every score is 0.5.
 """
 
 from __future__ import annotations
