@@ -59,7 +59,8 @@ def kept_reads(reads: DataFrame, options: PileupOptions) -> DataFrame:
 def events(reads: DataFrame, options: PileupOptions = PileupOptions()) -> DataFrame:
     """(contig, pos, label, kind): one row for each counted base or event of each read.
 
-    ``reads`` are as read_sam() gives them. Kinds: a c g t n for aligned bases (n
+    ``reads`` are as read_sam() gives them; ``line`` tells apart the reads of one
+    name and label. Kinds: a c g t n for aligned bases (n
     where the base is unknown or of low quality), ins, del, ref_skip. An insertion
     sits on the last consumed reference base, a leading one on the read's start.
     Of two mates that overlap, the second skips what the first claimed: a position
@@ -67,7 +68,7 @@ def events(reads: DataFrame, options: PileupOptions = PileupOptions()) -> DataFr
     """
     if options.mates not in MATES:
         raise ValueError(f"unknown mate mode {options.mates!r}")
-    reads = kept_reads(reads, options).withColumn("read", F.monotonically_increasing_id())
+    reads = kept_reads(reads, options)
     steps = cigar_steps(reads)
     match = F.col("op").isin("M", "=", "X")
     each = F.sequence(F.lit(0), F.col("size") - 1)
@@ -75,7 +76,7 @@ def events(reads: DataFrame, options: PileupOptions = PileupOptions()) -> DataFr
     at = F.col("query_at") + F.col("i") + 1
     good = F.when(F.col("qual") == "*", F.lit(True)).otherwise(F.ascii(F.substring("qual", at, F.lit(1))) - 33 >= options.min_base_quality)
     base = F.lower(F.when(F.col("seq") == "*", F.lit("n")).otherwise(F.substring("seq", at, F.lit(1))))
-    keys = ["contig", "label", "qname", "read", "line", "flag", "start", "span", "mate_start", "same_contig"]
+    keys = ["contig", "label", "qname", "line"]
     bases = one.select(*keys, (F.col("start") + F.col("ref_at") + F.col("i")).alias("pos"), F.when(good & base.isin("a", "c", "g", "t"), base).otherwise("n").alias("kind"), good.alias("good"))
     gaps = steps.where(F.col("op").isin("D", "N")).select("*", F.explode(each).alias("i"))
     gaps = gaps.select(*keys, (F.col("start") + F.col("ref_at") + F.col("i")).alias("pos"), F.when(F.col("op") == "D", "del").otherwise("ref_skip").alias("kind"), F.lit(True).alias("good"))
@@ -89,12 +90,12 @@ def events(reads: DataFrame, options: PileupOptions = PileupOptions()) -> DataFr
     if options.mates == "proper":
         pairs = pairs & (F.col("flag").bitwiseAND(0x2) != 0)
     order = Window.partitionBy("contig", "label", "qname").orderBy("start", "line")
-    able = reads.where(pairs).select("read", "contig", "label", "qname", "start", "line", "mate_start", F.aggregate(
+    able = reads.where(pairs).select("contig", "label", "qname", "start", "line", "mate_start", F.aggregate(
         F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"), F.lit(1)), F.lit(0), lambda acc, x: acc + x.cast("int")).alias("span"))
     turn = able.withColumn("k", F.row_number().over(order)).withColumn("parks", F.first(F.struct("mate_start", "start", "span")).over(order))
     meets = (F.col("parks.mate_start") >= F.col("parks.start")) & (F.col("parks.mate_start") < F.col("parks.start") + F.col("parks.span"))
-    roles = turn.where(meets & (F.col("k") <= 2)).select("read", "k")
-    played = found.join(roles, "read", "left")
+    roles = turn.where(meets & (F.col("k") <= 2)).select("contig", "label", "qname", "line", "k")
+    played = found.join(roles, ["contig", "label", "qname", "line"], "left")
     claims = played.where("k = 1 AND good").select("contig", "label", "qname", "pos", "class").distinct()
     second = played.where("k = 2").join(claims, ["contig", "label", "qname", "pos", "class"], "left_anti")
     rest = played.where("k IS NULL OR k = 1")

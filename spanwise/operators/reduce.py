@@ -142,7 +142,7 @@ def histogram(track: Track, regions: DataFrame) -> DataFrame:
     """(value, one column of base counts for each label), values ascending; overlapping regions count once."""
     from .mask import coalesce_intervals
 
-    union = coalesce_intervals(regions).withColumn("region_id", F.monotonically_increasing_id())
+    union = coalesce_intervals(regions).withColumn("region_id", F.concat_ws(":", "contig", "start"))
     _, pieces = _pieces(track, union)
     counts = pieces.where("value IS NOT NULL").groupBy(F.col("value").cast("long").alias("value"), "label").agg(F.sum("n").alias("n"))
     return counts.groupBy("value").agg(*[F.coalesce(F.sum(F.when(F.col("label") == x, F.col("n"))), F.lit(0)).alias(x or "count") for x in track.labels]).orderBy("value")

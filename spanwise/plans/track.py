@@ -77,7 +77,7 @@ def as_regions(spark: SparkSession, regions, reference: Reference) -> DataFrame:
     """(region_id, contig, start, end) in input order, duplicates kept.
 
     Takes a region text, a RegionQuery, a (contig, start, end) tuple, a list of
-    those, three arrays, or a DataFrame (Spark's or pandas') with one of contig, chrom, #chrom and start and
+    those, three arrays, or a DataFrame that gives its rows in one order each time or has a region_id (Spark's or pandas') with one of contig, chrom, #chrom and start and
     end. Ranges outside of their contig raise; nothing is clipped.
     """
     if isinstance(regions, DataFrame):
