@@ -318,6 +318,37 @@ def bed_last_wins(spark, sf_dir):
     return last_wins(lines).groupBy("contig", "value").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
+#: Every order as an interval of 1 to 30 days; customers are dealt to 251 contigs a status, so that gaps and overlaps both stay.
+ALL_ORDERS = "ord AS (SELECT o_orderstatus || '-' || o_custkey % 251 AS contig, o_orderkey AS line, CAST(o_custkey % 10 AS BIGINT) AS v, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS s, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 + o_orderkey % 30 AS e FROM orders)"
+ALL_ISLANDS = ISLANDS.replace(ORDERS, ALL_ORDERS)
+ALL_ORDER_REFERENCE = Reference([(f"{status}-{k}", 4000) for status in "FOP" for k in range(251)])
+
+
+def all_order_lines(spark, sf_dir) -> DataFrame:
+    """(contig, start, end, label, value, line) of every order."""
+    start = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
+    contig = F.concat_ws("-", "o_orderstatus", F.col("o_custkey") % 251)
+    return table(spark, sf_dir, "orders").select(contig.alias("contig"), start.alias("start"), (start + 1 + F.col("o_orderkey") % 30).alias("end"), F.lit("").alias("label"), (F.col("o_custkey") % 10).cast("long").alias("value"), F.col("o_orderkey").alias("line"))
+
+
+@query("interval_coalesce_all", f'{ALL_ISLANDS} SELECT contig, s AS start, e AS "end" FROM isl')
+def interval_coalesce_all(spark, sf_dir):
+    return mask.coalesce_intervals(all_order_lines(spark, sf_dir)).select("contig", "start", "end")
+
+
+@query("interval_mask_bases_all", f"{ALL_ISLANDS}, t AS (SELECT contig, sum(e - s) AS n FROM isl GROUP BY contig) SELECT contig, CAST(n AS BIGINT) AS masked, CAST(4000 - n AS BIGINT) AS unmasked FROM t")
+def interval_mask_bases_all(spark, sf_dir):
+    cover = mask.interval_mask(all_order_lines(spark, sf_dir), ALL_ORDER_REFERENCE).cover().runs
+    n = F.col("end") - F.col("start")
+    return cover.groupBy("contig").agg(F.sum(F.when(F.col("value"), n).otherwise(0)).alias("masked"), F.sum(F.when(~F.col("value"), n).otherwise(0)).alias("unmasked")).where("masked > 0")
+
+
+@query("bed_last_wins_all", f"WITH {ALL_ORDERS}, b AS (SELECT contig, line, v, unnest(range(s, e)) AS p FROM ord), w AS (SELECT contig, p, arg_max(v, line) AS v FROM b GROUP BY contig, p) SELECT contig, v AS value, count(*) AS bases FROM w GROUP BY contig, v")
+def bed_last_wins_all(spark, sf_dir):
+    """Overlapping interval lines of every order: each base has the value of the last line that covers it."""
+    return last_wins(all_order_lines(spark, sf_dir)).groupBy("contig", "value").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
+
+
 @query("append_columns", f"WITH {PTS} SELECT contig, CASE label WHEN 'F' THEN 'F' ELSE 'O' END AS label, CAST(sum(c) AS BIGINT) AS total FROM pts GROUP BY contig, label")
 def append_columns(spark, sf_dir):
     """Two one-column tracks side by side."""
@@ -334,6 +365,13 @@ def quantized_runs(spark, sf_dir):
     return rows.groupBy("label", tens.alias("tens")).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
+@query("quantized_runs_all", f"WITH {PTS}, d AS (SELECT label, v, CAST(pow(10, greatest(length(CAST(abs(v) AS VARCHAR)) - 1, 0)) AS BIGINT) AS unit FROM pts WHERE v IS NOT NULL) SELECT label, CAST(round_even(v / unit, 0) * unit AS BIGINT) AS value, count(*) AS bases FROM d GROUP BY 1, 2")
+def quantized_runs_all(spark, sf_dir):
+    """All values, of any magnitude, rounded to one significant digit."""
+    rows = depth_track(spark, sf_dir).runs.where("value IS NOT NULL")
+    return rows.groupBy("label", F.round(quantize(F.col("value"), 1)).cast("long").alias("value")).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
+
+
 @query("genome_positions", f"WITH {PTS} SELECT CAST(CASE contig WHEN 'A' THEN 0 WHEN 'N' THEN 2500 ELSE 5000 END + pos AS BIGINT) AS position, contig || ':' || pos AS locus, label, c AS value FROM pts")
 def genome_positions(spark, sf_dir):
     """The flat position axis with locus labels."""
@@ -342,15 +380,25 @@ def genome_positions(spark, sf_dir):
 
 
 COMPOSE = "SELECT l_returnflag AS contig, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s, l_orderkey % 4 AS k FROM lineitem WHERE l_linenumber = 1"
+COMPOSE_ALL = COMPOSE.removesuffix(" WHERE l_linenumber = 1")
 
 
-@query("pileup_composition", f"WITH r AS ({COMPOSE}), m AS (SELECT contig, s + i AS p, substr('acgt', CAST((i + k) % 4 + 1 AS INTEGER), 1) AS b FROM r CROSS JOIN (SELECT unnest(range(4)) AS i)), d AS (SELECT contig, s + 4 + i AS p, 'del' AS b FROM r CROSS JOIN (SELECT unnest(range(2)) AS i)), e AS (SELECT contig, s + 6 + i AS p, substr('acgt', CAST((i + 4 + k) % 4 + 1 AS INTEGER), 1) AS b FROM r CROSS JOIN (SELECT unnest(range(2)) AS i)), i AS (SELECT contig, s + 7 AS p, 'ins' AS b FROM r), u AS (SELECT * FROM m UNION ALL SELECT * FROM d UNION ALL SELECT * FROM e UNION ALL SELECT * FROM i) SELECT contig, b AS kind, count(*) AS n, CAST(sum(p) AS BIGINT) AS positions FROM u GROUP BY contig, b")
-def pileup_composition(spark, sf_dir):
-    """Base composition of synthetic reads 4M2D2M1I over the reference acgt, shifted by order."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+def _composition(rows: DataFrame) -> DataFrame:
     start = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
     seq = F.upper(F.substring(F.lit("acgtacgtacgt"), (F.col("l_orderkey") % 4 + 1).cast("int"), F.lit(6)))
     reads = rows.select(F.lit("*").alias("qname"), F.col("l_returnflag").alias("contig"), F.lit("").alias("label"), F.lit(0).alias("flag"), start.alias("start"), F.lit(60).alias("mapq"), F.lit("4M2D2M1I").alias("cigar"), F.lit(-1).alias("mate_start"), F.lit(False).alias("same_contig"), F.concat(seq, F.lit("A")).alias("seq"), F.lit("*").alias("qual"), F.col("l_orderkey").alias("line"))
     found = pileup.composition(reads)
     kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in ("a", "c", "g", "t", "ins", "del")]))
     return found.select("contig", "pos", kinds).where("n > 0").groupBy("contig", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("pos")).alias("positions"))
+
+
+@query("pileup_composition", f"WITH r AS ({COMPOSE}), m AS (SELECT contig, s + i AS p, substr('acgt', CAST((i + k) % 4 + 1 AS INTEGER), 1) AS b FROM r CROSS JOIN (SELECT unnest(range(4)) AS i)), d AS (SELECT contig, s + 4 + i AS p, 'del' AS b FROM r CROSS JOIN (SELECT unnest(range(2)) AS i)), e AS (SELECT contig, s + 6 + i AS p, substr('acgt', CAST((i + 4 + k) % 4 + 1 AS INTEGER), 1) AS b FROM r CROSS JOIN (SELECT unnest(range(2)) AS i)), i AS (SELECT contig, s + 7 AS p, 'ins' AS b FROM r), u AS (SELECT * FROM m UNION ALL SELECT * FROM d UNION ALL SELECT * FROM e UNION ALL SELECT * FROM i) SELECT contig, b AS kind, count(*) AS n, CAST(sum(p) AS BIGINT) AS positions FROM u GROUP BY contig, b")
+def pileup_composition(spark, sf_dir):
+    """Base composition of synthetic reads 4M2D2M1I over the reference acgt, shifted by order."""
+    return _composition(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+
+
+@query("pileup_composition_all", f"WITH r AS ({COMPOSE_ALL}), m AS (SELECT contig, s + i AS p, substr('acgt', CAST((i + k) % 4 + 1 AS INTEGER), 1) AS b FROM r CROSS JOIN (SELECT unnest(range(4)) AS i)), d AS (SELECT contig, s + 4 + i AS p, 'del' AS b FROM r CROSS JOIN (SELECT unnest(range(2)) AS i)), e AS (SELECT contig, s + 6 + i AS p, substr('acgt', CAST((i + 4 + k) % 4 + 1 AS INTEGER), 1) AS b FROM r CROSS JOIN (SELECT unnest(range(2)) AS i)), i AS (SELECT contig, s + 7 AS p, 'ins' AS b FROM r), u AS (SELECT * FROM m UNION ALL SELECT * FROM d UNION ALL SELECT * FROM e UNION ALL SELECT * FROM i) SELECT contig, b AS kind, count(*) AS n, CAST(sum(p) AS BIGINT) AS positions FROM u GROUP BY contig, b")
+def pileup_composition_all(spark, sf_dir):
+    """The same over every line of every order."""
+    return _composition(table(spark, sf_dir, "lineitem"))
