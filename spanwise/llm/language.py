@@ -7,11 +7,13 @@ method C and exclusion: after a context with T counts of D kinds, a seen byte
 costs -log2(n / (T + D)); otherwise an escape of D / (T + D) leads to the next
 shorter context, bytes seen in the longer one being excluded, down to a uniform
 order. Since the statistics are frozen, every (context, byte) has one fixed cost:
-a table holds them all, and a text's exact code length is the sum of its entries.
+hash tables hold those of all that was seen, with the escapes that give the others,
+and a text's exact code length is the sum of its bytes' costs.
 
 Bytes are taken from the lower-cased text, runs of other ASCII than letters
-being one space; bytes unseen in training share one symbol. The language of the
-shortest code wins (ties: the first by name). ``und`` with score 0 is given to
+being one space. Bytes unseen in training share one symbol, which loses nothing: no
+context holds one, so to tell them apart costs the same in every language. The
+language of the shortest code wins (ties: the first by name). ``und`` with score 0 is given to
 null texts and texts without a letter, and to all when nothing was learned.
 Repeated rows are predicted each; extra columns are ignored.
 """
@@ -33,8 +35,8 @@ from .shared import held_out, small_batches
 ORDER = 3
 #: Training documents of each language at most (in hash order of doc_id), and languages (the most frequent).
 TRAIN_ROWS, LANGUAGES = 600, 12
-#: Symbols at most: the most frequent bytes of the sample, one more for all others.
-SYMBOLS = 40
+#: Languages that share a table of costs; bits of a byte at most.
+TOGETHER, MOST_BITS = 8, -np.log2(1e-30)
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -45,39 +47,134 @@ def normal_bytes(column: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(text, r"[\x00-\x60\x7B-\x7F]+", " ")
 
 
+class Places:
+    """Row numbers of distinct codes, by open addressing in a table at most half full."""
+
+    def __init__(self, codes: np.ndarray):
+        bits = max(4, (2 * len(codes)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.codes, self.rows = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        left, slot = np.arange(len(codes)), self.slots(codes)
+        while len(left):
+            free = self.codes[slot] < 0
+            self.codes[slot[free]] = codes[left[free]]
+            mine = self.codes[slot] == codes[left]
+            self.rows[slot[mine]] = left[mine]
+            left, slot = left[~mine], (slot[~mine] + 1) & self.mask
+
+    def slots(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The row of each code, -1 where there is none."""
+        slot = self.slots(codes)
+        held = self.codes[slot]
+        out = np.where(held == codes, self.rows[slot], -1)
+        left = np.flatnonzero((held != codes) & (held >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & self.mask
+            held = self.codes[slot]
+            hit = held == codes[left]
+            out[left[hit]] = self.rows[slot[hit]]
+            more = ~hit & (held >= 0)
+            left, slot = left[more], slot[more]
+        return out
+
+
+def among(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each code stands in ``sorted_codes``, and whether it does."""
+    at = np.minimum(np.searchsorted(sorted_codes, codes), max(0, len(sorted_codes) - 1))
+    return at, sorted_codes[at] == codes if len(sorted_codes) else np.zeros(len(codes), bool)
+
+
+class CostTable:
+    """Bits of bytes in some languages, held for the seen codes and contexts only.
+
+    For each order: rows of bits of the codes that any of the languages has seen, and
+    of the escapes from the contexts that any has seen (0 for the others: a context
+    that was never seen leads to the shorter one free of charge).
+    """
+
+    def __init__(self, size: int, uniform: np.ndarray, counts: list[list[tuple[np.ndarray, np.ndarray]]]):
+        self.size, self.floor, self.levels = size, -np.log2(np.maximum(uniform, 1e-30)), []
+        own = [self.language(orders, uniform) for orders in counts]
+        for order in range(ORDER + 1):
+            codes = np.unique(np.concatenate([x[order][0] for x in own]))
+            contexts = np.unique(np.concatenate([x[order][2] for x in own]))
+            bits, escapes = np.empty((len(codes), len(own)), np.float32), np.zeros((len(contexts), len(own)), np.float32)
+            for k, x in enumerate(own):
+                bits[:, k] = np.minimum(self.exact(x, order, codes), MOST_BITS)
+                at, ok = among(x[order][2], contexts)
+                escapes[ok, k] = x[order][3][at[ok]]
+            self.levels.append((Places(codes), bits, Places(contexts), escapes))
+
+    def language(self, orders, uniform: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """For each order of one language: seen codes, their bits, seen contexts, bits of their escapes."""
+        out: list = []
+        for order, (codes, n) in enumerate(orders):
+            if not len(codes):
+                out.append((codes, np.empty(0), codes, np.empty(0)))
+                continue
+            contexts, first, back = np.unique(codes // self.size, return_index=True, return_inverse=True)
+            total, kinds = np.add.reduceat(n, first), np.bincount(back)
+            # Exclusion: what the shorter context gives to bytes not seen in this one, scaled to sum to one.
+            base = np.exp2(-self.exact(out, order - 1, codes % self.size**order)) if order else uniform[codes]
+            rest = 1 - np.add.reduceat(base, first)
+            ends = rest <= 1e-12
+            escape = np.where(ends, 1e-30, kinds / (total + kinds) / np.where(ends, 1, rest))
+            out.append((codes, -np.log2(n / np.where(ends, total, total + kinds)[back]), contexts, -np.log2(escape)))
+        return out
+
+    def exact(self, levels, order: int, codes: np.ndarray) -> np.ndarray:
+        """Bits of codes of ``order`` in one language."""
+        if order < 0:
+            return self.floor[codes]
+        seen, bits, contexts, escapes = levels[order]
+        at, ok = among(seen, codes)
+        out = np.zeros(len(codes))
+        out[ok] = bits[at[ok]]
+        missed = np.flatnonzero(~ok)
+        if len(missed):
+            at, ok = among(contexts, codes[missed] // self.size)
+            out[missed[ok]] = escapes[at[ok]]
+            out[missed] += self.exact(levels, order - 1, codes[missed] % self.size ** max(order, 1))
+        return out
+
+    def bits(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Bits of each code of ``order`` by language, float32."""
+        places, bits, contexts, escapes = self.levels[order]
+        at = places.find(codes)
+        out = bits[at]
+        missed = np.flatnonzero(at < 0)
+        if len(missed):
+            shorter = codes[missed]
+            at = contexts.find(shorter // self.size)
+            more = escapes[at] * (at >= 0)[:, None] if len(escapes) else 0
+            lower = self.bits(shorter % self.size**order, order - 1) if order else self.floor[shorter, None]
+            out[missed] = np.minimum(lower + more, MOST_BITS)
+        return out
+
+
 @dataclass
 class ContextTrees:
-    """Byte to symbol, and for each language and order the (context and symbol) codes with their counts."""
+    """Byte to symbol, and for each language and order the sorted (context and symbol) codes with their counts."""
 
     languages: list[str]
     symbol: np.ndarray
     size: int
     counts: list[list[tuple[np.ndarray, np.ndarray]]]
 
+    def tables(self) -> list[CostTable]:
+        """Tables of TOGETHER languages each, in order."""
+        # All 256 bytes alike; the last symbol stands for all that no training text holds.
+        uniform = np.bincount(self.symbol, minlength=self.size) / 256
+        return [CostTable(self.size, uniform, self.counts[k : k + TOGETHER]) for k in range(0, len(self.languages), TOGETHER)]
+
     def costs(self) -> np.ndarray:
-        """Bits of each (context of ORDER symbols, symbol) in each language, float32 of shape (size**(ORDER + 1), languages)."""
-        size, out = self.size, np.empty((self.size ** (ORDER + 1), len(self.languages)), np.float32)
-        for k, orders in enumerate(self.counts):
-            # Shortest order: uniform, below order 0.
-            lower, lower_counts = np.full((1, size), 1.0 / size), None
-            for order, (codes, n) in enumerate(orders):
-                contexts = size**order
-                count = np.zeros((contexts, size))
-                count.ravel()[codes] = n
-                total, kinds = count.sum(axis=1), (count > 0).sum(axis=1)
-                tail = np.arange(contexts) % max(1, contexts // size)
-                seen = count > 0
-                # Exclusion: what the shorter context gives to bytes not seen in this one, scaled to sum to one.
-                base = lower[tail]
-                rest = (base * ~seen).sum(axis=1)
-                escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-                escape = np.where(rest > 1e-12, escape, 0.0)
-                p = base * ~seen * (escape / np.maximum(rest, 1e-300))[:, None]
-                p += count / np.maximum(np.where(rest > 1e-12, total + kinds, total), 1)[:, None]
-                lower = p
-                del count, base, seen
-            out[:, k] = -np.log2(np.maximum(lower.ravel(), 1e-30))
-        return out
+        """Bits of every (context of ORDER symbols, symbol) in each language, of shape (size**(ORDER + 1), languages): for small alphabets."""
+        codes = np.arange(self.size ** (ORDER + 1))
+        return np.concatenate([t.bits(codes) for t in self.tables()], axis=1)
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> ContextTrees:
@@ -85,7 +182,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> ContextTrees:
     ready = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
     names = [r.lang for r in ready.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     if not names:
-        return ContextTrees([], np.zeros(256, np.uint8), 1, [])
+        return ContextTrees([], np.zeros(256, np.int64), 1, [])
     # The least hashes of each language; a plain top-N of each, so no language's rows meet in one task.
     picks = ready.sparkSession.createDataFrame([], ready.schema)
     for name in names:
@@ -126,11 +223,9 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> ContextTrees:
     table = sample.mapInArrow(grams, "lang string, order int, code long, n long").groupBy("lang", "order", "code").agg(F.sum("n").alias("n")).toArrow()
     langs, orders = np.array(table.column("lang").to_pylist(), dtype=str), table.column("order").to_numpy()
     codes, counts = table.column("code").to_numpy(), table.column("n").to_numpy()
-    single = np.bincount(codes[orders == 0], weights=counts[orders == 0], minlength=256)
-    known = np.argsort(-single, kind="stable")[: SYMBOLS - 1]
-    known = np.sort(known[single[known] > 0])
-    size = len(known) + 1  # the last symbol stands for all other bytes
-    symbol = np.full(256, len(known), np.uint8)
+    known = np.unique(codes[orders == 0])
+    size = len(known) + 1  # the last symbol stands for all bytes that the sample lacks
+    symbol = np.full(256, len(known), np.int64)
     symbol[known] = np.arange(len(known))
     trees = []
     for name in sorted(names):
@@ -157,27 +252,28 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
         if t.languages and tag not in kept:
             for old in [k for k in kept if str(k).startswith("costs-")]:
                 del kept[old]
-            kept[tag] = t.costs()
+            kept[tag] = t.tables()
         for b in batches:
             text = b.column("text")
             bits = np.zeros((b.num_rows, max(1, len(t.languages))))
             plain = [x is not None and LETTER.search(x) is not None for x in text.to_pylist()]
             if t.languages:
-                costs = kept[tag]
                 for lo, n, buf, offs in bt.blocks(normal_bytes(text), 1 << 19):
-                    s = t.symbol[buf].astype(np.int32)
+                    s = t.symbol[buf]
                     code = s.copy()
                     blank = int(t.symbol[0x20])
                     for k in range(1, ORDER + 1):
-                        earlier = np.full(len(s), blank, np.int32)
+                        earlier = np.full(len(s), blank)
                         earlier[k:] = s[:-k]
                         for j in range(k):  # before a text's start: spaces
                             at = offs[:-1][np.diff(offs) > j] + j
                             earlier[at] = blank
                         code += earlier * t.size**k
-                    sums = np.zeros((len(s) + 1, len(t.languages)))
-                    np.cumsum(costs[code], axis=0, dtype=np.float64, out=sums[1:])
-                    bits[lo : lo + n] = sums[offs[1:]] - sums[offs[:-1]]
+                    for g, table in enumerate(kept[tag]):
+                        found = table.bits(code)
+                        sums = np.zeros((len(s) + 1, found.shape[1]))
+                        np.cumsum(found, axis=0, dtype=np.float64, out=sums[1:])
+                        bits[lo : lo + n, g * TOGETHER : g * TOGETHER + found.shape[1]] = sums[offs[1:]] - sums[offs[:-1]]
             best = bits.argmin(axis=1)
             share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
             ok = np.array(plain, bool) & bool(t.languages)

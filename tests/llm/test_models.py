@@ -78,6 +78,22 @@ def test_code_lengths_are_codes(world):
     assert np.abs(p - 1).max() < 1e-4
 
 
+def test_language_of_rare_scripts(make_docs):
+    """Every byte of the sample has a symbol of its own, so that scarce languages of other scripts stay apart."""
+    rng = random.Random(4)
+    scripts = {"en": (97, 26, 300), "aa": (0x3B1, 16, 20), "ab": (0x3C0, 16, 20), "ba": (0x430, 16, 20), "bb": (0x440, 16, 20), "ca": (0x4E10, 100, 20), "cb": (0x5E10, 100, 20)}
+    rows = []
+    for lang, (low, n, docs) in scripts.items():
+        words = ["".join(chr(low + rng.randrange(n)) for _ in range(5)) for _ in range(30)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words) for _ in range(30)), lang) for i in range(docs)]
+    docs = make_docs(rows)
+    held = language.predicted_languages(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.lang for r in held} == set(scripts) and all(r.lang_pred == r.lang for r in held)
+    trees = language.fit(docs)
+    seen = {b for _, text, _ in rows for b in text.encode()}
+    assert len(seen) > 64 and len({int(trees.symbol[b]) for b in seen}) >= len(seen) - 2
+
+
 def test_mixing(spark, world):
     docs, _ = world
     labels = docs.select("doc_id", docs["lang"].alias("domain"))
