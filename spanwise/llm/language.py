@@ -28,13 +28,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import bytetext as bt
 from .shared import held_out, small_batches
 
 ORDER = 3
-#: Training documents of each language at most (in hash order of doc_id), and languages (the most frequent).
-TRAIN_ROWS, LANGUAGES = 600, 12
+#: Training documents of each language at most (in hash order of doc_id).
+TRAIN_ROWS = 600
 #: Languages that share a table of costs; bits of a byte at most.
 TOGETHER, MOST_BITS = 8, -np.log2(1e-30)
 LETTER = re.compile(r"[^\W\d_]")
@@ -145,7 +146,7 @@ class CostTable:
         """Bits of each code of ``order`` by language, float32."""
         places, bits, contexts, escapes = self.levels[order]
         at = places.find(codes)
-        out = bits[at]
+        out = bits[at] if len(bits) else np.zeros((len(codes), bits.shape[1]), np.float32)
         missed = np.flatnonzero(at < 0)
         if len(missed):
             shorter = codes[missed]
@@ -180,20 +181,27 @@ class ContextTrees:
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> ContextTrees:
     """Count contexts over a bounded sample of documents whose lang is known and which aren't held out."""
     ready = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    names = [r.lang for r in ready.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    # The least hashes of each language: rows are counted by the hash's first bits, so that few candidates meet in a language's task.
+    ready = ready.withColumn("hash", F.xxhash64("doc_id")).withColumn("bin", F.shiftright("hash", 54).cast("int"))
+    reach, held = {}, {}
+    for r in ready.groupBy("lang", "bin").count().orderBy("lang", "bin").collect():  # at most 1,024 rows a language
+        if held.setdefault(r.lang, 0) < rows:
+            reach[r.lang] = r.bin
+        held[r.lang] += r["count"]
+    names = sorted(reach)
     if not names:
         return ContextTrees([], np.zeros(256, np.int64), 1, [])
-    # The least hashes of each language; a plain top-N of each, so no language's rows meet in one task.
-    picks = ready.sparkSession.createDataFrame([], ready.schema)
-    for name in names:
-        picks = picks.unionByName(ready.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    bounds = ready.sparkSession.createDataFrame(list(reach.items()), "lang string, reach int")
+    near = ready.join(F.broadcast(bounds), "lang").where("bin <= reach")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    picks = near.withColumn("place", place).where(F.col("place") <= rows).select("doc_id", "lang")
     sample = docs.select("doc_id", "text").join(F.broadcast(picks.distinct()), "doc_id")
     size = 256
 
     def grams(batches):
         """Counts of (language, order, code) over a batch; code packs up to ORDER + 1 raw bytes."""
         for b in batches:
-            langs = np.array(b.column("lang").to_pylist(), dtype=str)
+            langs, own = np.unique(np.array(b.column("lang").to_pylist(), dtype=str), return_inverse=True)
             found: dict = {}
             for lo, n, buf, offs in bt.blocks(normal_bytes(b.column("text"))):
                 row = np.repeat(np.arange(n), np.diff(offs))
@@ -205,17 +213,15 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> ContextTrees:
                     else:
                         code += buf
                     ok = place >= order
-                    for name in np.unique(langs[lo : lo + n]):
-                        mine = ok & (langs[lo : lo + n][row] == name)
-                        values, counts = np.unique(code[mine], return_counts=True)
-                        found.setdefault((name, order), []).append((values, counts))
+                    values, counts = np.unique(code[ok] + (own[lo : lo + n][row[ok]] << 32), return_counts=True)
+                    found.setdefault(order, []).append((values, counts))
             out = [[], [], [], []]
-            for (name, order), parts in found.items():
+            for order, parts in found.items():
                 values, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
                 counts = np.bincount(at, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
-                out[0] += [name] * len(values)
+                out[0] += langs[values >> 32].tolist()
                 out[1] += [order] * len(values)
-                out[2].append(values)
+                out[2].append(values & 0xFFFFFFFF)
                 out[3].append(counts)
             join = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(join(out[2]), pa.int64()), pa.array(join(out[3]), pa.int64())], ["lang", "order", "code", "n"])
@@ -228,7 +234,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> ContextTrees:
     symbol = np.full(256, len(known), np.int64)
     symbol[known] = np.arange(len(known))
     trees = []
-    for name in sorted(names):
+    for name in names:
         own = []
         for order in range(ORDER + 1):
             at = (langs == name) & (orders == order)
@@ -238,7 +244,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> ContextTrees:
             values, back = np.unique(packed, return_inverse=True)
             own.append((values, np.bincount(back, weights=counts[at], minlength=len(values))))
         trees.append(own)
-    return ContextTrees(sorted(names), symbol, size, trees)
+    return ContextTrees(names, symbol, size, trees)
 
 
 def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:

@@ -94,6 +94,23 @@ def test_language_of_rare_scripts(make_docs):
     assert len(seen) > 64 and len({int(trees.symbol[b]) for b in seen}) >= len(seen) - 2
 
 
+def test_every_language_is_learned(make_docs):
+    """Twenty languages, of fewer and fewer documents."""
+    rng, rows = random.Random(6), []
+    for k in range(20):
+        words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(15)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words) for _ in range(30)), f"l{k:02}") for i in range(60 - 2 * k)]
+    docs = make_docs(rows)
+    trees = language.fit(docs)
+    assert trees.languages == [f"l{k:02}" for k in range(20)]
+    held = language.predict(docs, trees).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(held) == len(rows) and all(r.lang_pred == r.lang for r in held)
+    blank = make_docs([(i, "", "en") for i in range(20)])
+    assert {r.lang_pred for r in language.predict(docs.limit(5), language.fit(blank)).collect()} == {"en"}
+    few = language.fit(docs, 5)
+    assert [sum(o[0][1]) > 0 for o in few.counts] == [True] * 20 and all(sum(o[0][1]) <= 5 * 210 for o in few.counts)
+
+
 def test_mixing(spark, world):
     docs, _ = world
     labels = docs.select("doc_id", docs["lang"].alias("domain"))
