@@ -5,9 +5,13 @@ Base spans, leftmost and non-overlapping per kind, in code points: ``assign``
 ``access`` (AKIA and more, 20 or more characters), ``hex`` (24 or more). They
 always stay. The method adds ``random`` spans:
 
-* Candidates are runs of [A-Za-z0-9+/_=-] of MIN_LENGTH or more that meet no base
-  span. The encoding is inferred as the smallest alphabet that holds the run
-  (decimal, hex, base32, lower-case or mixed letters, base36, base62, base64).
+* Candidates are parts of MIN_LENGTH or more that meet no base span: runs of
+  [A-Za-z0-9+/_-] between '=', and what is left of them when cut at '+/', at '-_'
+  and at all four, so that a key is tested without the name or path that it is
+  joined to. The encoding is inferred as the smallest alphabet that holds the part
+  (decimal, hex, base32, lower-case or mixed letters, base36, base62, base64); a
+  part that none holds is tested in its cuts only. Accepted parts that overlap
+  are one span.
 * Each candidate gets three p-values under "drawn uniformly from the alphabet":
   a chi-squared test of uniformity (over at most BUCKETS equal classes of the
   alphabet), a runs test about the alphabet's median, and a lag-1 serial
@@ -32,7 +36,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches, stage_table
@@ -45,6 +49,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 MIN_LENGTH, MIN_BITS, BUCKETS, HALF, FDR, GRID = 20, 64.0, 8, 0.5, 0.05, 40
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
+#: Ways to cut a run into parts; the first takes it whole.
+CUTS = tuple(re.compile(x) for x in (r"[^=]+", r"[^=+/]+", r"[^=_-]+", r"[^=+/_-]+"))
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Alphabets from the smallest; the first that holds a run is its encoding.
 ALPHABETS = {
@@ -110,12 +116,16 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     """(start, end, class, p) of each candidate; the class is its encoding and length class."""
     found = []
     for m in CANDIDATE.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        run = m[0].rstrip("=")
-        name = encoding(run)
-        if name and len(run) >= MIN_LENGTH and len(run) * math.log2(len(ALPHABETS[name])) >= MIN_BITS:
-            found.append((m.start(), m.end(), f"{name}:{int(2 * math.log2(len(run)))}", battery(run, ALPHABETS[name])))
+        inner = m[0].rstrip("=")
+        for lo, hi in sorted({x.span() for cut in CUTS for x in cut.finditer(inner) if x.end() - x.start() >= MIN_LENGTH}):
+            # Padding belongs to the part before it.
+            start, end = m.start() + lo, m.start() + hi if hi < len(inner) else m.end()
+            if any(s < end and start < e for s, _, e in taken):
+                continue
+            part = inner[lo:hi]
+            name = encoding(part)
+            if name and len(part) * math.log2(len(ALPHABETS[name])) >= MIN_BITS:
+                found.append((start, end, f"{name}:{int(2 * math.log2(len(part)))}", battery(part, ALPHABETS[name])))
     return found
 
 
@@ -134,6 +144,17 @@ def cuts(counts: dict[tuple[str, int], int]) -> dict[str, float]:
     return out
 
 
+def merged(spans: Column) -> Column:
+    """Spans (start, end) with overlapping ones joined."""
+
+    def add(done, m):
+        last = F.try_element_at(done, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], m["end"]).alias("end"))
+        return F.when(last["end"] > m["start"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(m)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), add)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for each row of ``docs``."""
     small_batches(docs.sparkSession)
@@ -152,6 +173,7 @@ def scan(docs: DataFrame) -> DataFrame:
     accept = cuts({(r.c, r.i): r["count"] for r in cells.collect()})  # at most encodings x length classes x grid cells
     least = F.create_map(*[F.lit(x) for k in sorted(accept) for x in (k, accept[k])]) if accept else F.create_map().cast("map<string,double>")
     random = F.filter("more", lambda m: F.coalesce(m["p"] >= least[m["class"]], F.lit(False)))
+    random = merged(F.transform(random, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
     spans = F.array_sort(F.concat("base", F.transform(random, lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")

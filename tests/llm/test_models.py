@@ -188,3 +188,19 @@ def test_secrets(spark, make_docs, rng):
     assert sum(got[i].spans == "random:4:36" for i in range(60)) > 50
     assert (got[62].n_assign, got[63].n_access, got[64].n_hex) == (1, 1, 1)
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_secrets_joined_to_names_and_paths(spark, make_docs, rng):
+    plain = string.ascii_letters + string.digits
+    key = lambda extra="": "".join(rng.choice(plain + extra) for _ in range(40))
+    shapes = [("SIGNING_KEY=", "", ""), ("https://h/x?sig=", "", ""), ("/a-b/", "", ""), ("/some/path/of/words/to/", "", ""), ("SIGNING_KEY=", "+/", "=="), ("the/long/path/", "-_", "")]
+    rows = [(before, key(signs), after) for before, signs, after in shapes for _ in range(40)]
+    got = {r.doc_id: r.spans for r in secrets.scan(make_docs([(i, "see " + "".join(row) + " here") for i, row in enumerate(rows)])).collect()}
+    for k, (before, _, _) in enumerate(shapes):
+        covered = 0
+        for i in range(40 * k, 40 * k + 40):
+            start, end = 4 + len(before), 44 + len(before)
+            covered += any(int(a) <= start and end <= int(b) for _, a, b in (x.split(":") for x in got[i].split(",") if x))
+        assert covered > 30, (before, covered)
+    cells = [x for row in secrets.candidates("donaudampfschifffahrtsgesellschaft=eisenbahnknotenpunkthinundher/a-b", []) for x in row[:2]]
+    assert cells == [0, 34, 35, 64, 35, 66]
