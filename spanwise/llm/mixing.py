@@ -7,7 +7,9 @@ rates r >= 0 (expected copies of each document) then minimise
     sum_k ((sum_d r_d tokens_d p_dk) - target_k)^2 / (2 m_k),   m_k = sum_d tokens_d p_dk
 
 by projected gradient from r = 1, in the metric weighted by tokens: one step is
-r_d <- clip(r_d - sum_k p_dk residual_k / m_k, low, high). All documents' rates
+r_d <- max(r_d - sum_k p_dk residual_k / m_k, low). Passes go on until the totals
+match, or until the sum no longer falls: rates of low or more can't reach some
+targets, and the log then says what was missed. All documents' rates
 follow from the same short list of K-vectors, so a pass over the corpus adds up
 K numbers and nothing else leaves the executors; the rates are replayed wherever
 they are needed.
@@ -19,6 +21,7 @@ rows are documents each. Extra columns pass through.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,6 +36,9 @@ from .shared import labelled_sample, small_batches, stage_table
 TRAIN_ROWS, BITS = 8_000, 15
 #: Log-likelihoods are averaged over words and counted as of so many words at most: memberships stay soft.
 SHARPNESS = 12.0
+#: The fit has stalled when the sum fell by less than this share over so many passes.
+STALL, STALL_GAIN = 10, 1e-3
+LOG = logging.getLogger(__name__)
 
 
 @dataclass
@@ -43,7 +49,7 @@ class Mixture:
     words: np.ndarray
     prior: np.ndarray
     low: float = 0.0
-    high: float = 16.0
+    high: float = np.inf
     steps: list[np.ndarray] = field(default_factory=list)
 
     def posterior(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +109,10 @@ def classifier(docs: DataFrame, labels: DataFrame, domain: str = "domain", rows:
     return Mixture(domains, np.log(words), np.log(seen / seen.sum()))
 
 
-def fit_rates(docs: DataFrame, model: Mixture, targets, low: float = 0.0, high: float = 16.0, passes: int = 25, close: float = 1e-4) -> tuple[Mixture, list[dict]]:
+def fit_rates(docs: DataFrame, model: Mixture, targets, low: float = 0.0, high: float = np.inf, close: float = 1e-4) -> tuple[Mixture, list[dict]]:
     """Fit the steps to ``targets``: token totals by domain, or a function of the observed totals that gives them.
 
-    Returns the model and, for each pass, the totals it reached.
+    ``high`` bounds the rates if given. Returns the model and, for each pass, the totals it reached.
     """
     model.low, model.high, model.steps = low, high, []
     small_batches(docs.sparkSession)
@@ -138,13 +144,18 @@ def fit_rates(docs: DataFrame, model: Mixture, targets, low: float = 0.0, high:
 
     base = totals([])
     want = np.asarray(targets(base) if callable(targets) else [targets.get(k, 0.0) for k in model.domains], float)
-    trace, now = [], base
+    trace, misses, now = [], [], base
     scale = np.maximum(base, 1e-9 * max(base.sum(), 1.0))
-    for _ in range(passes):
+    while True:
         trace.append(dict(zip(model.domains, now.tolist(), strict=True)))
+        misses.append(float(((now - want) ** 2 / scale).sum()))
         if np.abs(now - want).sum() <= close * max(want.sum(), 1.0):
             break
-        model.steps.append(np.clip((now - want) / scale, -high, high))
+        if len(misses) > STALL and misses[-1] > (1 - STALL_GAIN) * misses[-1 - STALL]:
+            missed = ", ".join(f"{k!r}: {x:.6g} of {w:.6g}" for k, x, w in zip(model.domains, now, want, strict=True))
+            LOG.warning("mixing targets not reached after %d passes; expected tokens reached of wanted: %s", len(trace) - 1, missed)
+            break
+        model.steps.append((now - want) / scale)
         now = totals(model.steps)
     return model, trace
 

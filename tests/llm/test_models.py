@@ -121,6 +121,19 @@ def test_mixing(spark, world):
     assert mixing.mixed(docs.limit(0), labels).count() == 0 and mixing.mixed(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_mixing_reaches_skewed_targets(make_docs, caplog):
+    """A domain of some 0.2 % of the tokens needs a rate above 16; a target that no rates reach is told."""
+    rng = random.Random(8)
+    docs = make_docs([(i, " ".join(rng.choice(DE if i % 500 == 1 else EN) for _ in range(40)), "de" if i % 500 == 1 else "en") for i in range(3000)])
+    model = mixing.classifier(docs, docs.select("doc_id", docs["lang"].alias("domain")))
+    model, trace = mixing.fit_rates(docs, model, mixing.tempered(0.5))
+    wanted = mixing.tempered(0.5)(np.array([trace[0][k] for k in model.domains]))
+    assert np.abs(wanted - [trace[-1][k] for k in model.domains]).sum() <= 1e-4 * wanted.sum() and not caplog.records
+    assert mixing.apply_rates(docs, model).where("lang = 'de'").selectExpr("min(__rate)").first()[0] > 16
+    mixing.fit_rates(docs, model, {"de": 10.0, "en": 10.0}, low=1.0)
+    assert "not reached" in caplog.text
+
+
 def test_resharding(spark, make_docs, rng, tmp_path):
     docs = make_docs([(i, "ä" * rng.randrange(200)) for i in range(3000)] + [(None, None), (1, "x"), (1, "x")])
     out = resharding.shard_report(docs, 7).toPandas()
