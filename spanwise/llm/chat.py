@@ -6,20 +6,22 @@ assistant turn (or has none) gets one more example without a trainable span, so
 that the formatted output holds every turn.
 
 Template, for each turn:  ``### role: text</turn>\n``. Inside role and text a
-backslash becomes ``\\``, ``###`` becomes ``#\##`` and ``</turn>`` becomes
+backslash becomes ``\\``, ``#`` becomes ``\#`` and ``</turn>`` becomes
 ``<\/turn>``; inside a role ``:`` becomes ``\:`` too. So a control string never
 occurs inside a text, and dropping the backslash of each pair gives it back.
 
 Null roles and texts are empty; rows of a null conv_id are one conversation.
 Turns go by (turn, role, text), nulls first, so ties and repeated rows have one
 order; each row is a turn. Extra columns are ignored. An example's text is the
-prefix of the conversation's formatted text up to the end of its reply.
+prefix of the conversation's formatted text up to the end of its reply, so a
+conversation is one row, however long its texts. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fixed control strings of the template.
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
@@ -28,7 +30,7 @@ TRAINED_ROLE = "assistant"
 
 def escape(text: Column) -> Column:
     text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    text = F.replace(text, F.lit("###"), F.lit("#\\##"))
+    text = F.replace(text, F.lit("#"), F.lit("\\#"))
     return F.replace(text, F.lit("</turn>"), F.lit("<\\/turn>"))
 
 
@@ -47,17 +49,16 @@ def prefix_target_examples(conversations: DataFrame) -> DataFrame:
     (both null in a tail); ``last`` marks the example that holds all turns.
     """
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    turns = conversations.select("conv_id", F.struct(F.col("turn"), blank("role").alias("role"), blank("text").alias("text")).alias("t"))
-    convs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    pieces = F.transform("turns", lambda t: F.struct(format_turn(t["role"], t["text"]).alias("s"), F.length(escape(t["text"])).alias("n"), (t["role"] == TRAINED_ROLE).alias("trained")))
-    convs = convs.select("conv_id", pieces.alias("pieces"))
-    ends = F.aggregate(
-        F.transform("pieces", lambda p: F.length(p["s"])), F.array().cast("array<int>"),
-        lambda done, n: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + n)),
-    )
-    convs = convs.select("conv_id", "pieces", ends.alias("ends"), F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("whole"))
+    turns = conversations.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    whole = format_turn(F.col("role"), F.col("text"))
+    # Only lengths are added up over the window, so that a turn's text is shuffled once.
+    placed = turns.withColumns({"k": F.count(F.lit(1)).over(order), "end": F.sum(F.length(whole)).over(order).cast("int")})
+    placed = placed.select("conv_id", F.struct("k", whole.alias("s"), F.length(escape(F.col("text"))).alias("n"), "end", (F.col("role") == TRAINED_ROLE).alias("trained")).alias("t"))
+    convs = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("pieces"))
+    convs = convs.select("conv_id", "pieces", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("whole"))
     size = F.size("pieces")
-    cuts = F.transform("pieces", lambda p, i: F.struct((i + 1 == size).alias("last"), p["trained"].alias("trained"), F.get(F.col("ends"), i).alias("end"), p["n"].alias("n")))
+    cuts = F.transform("pieces", lambda p, i: F.struct((i + 1 == size).alias("last"), p["trained"].alias("trained"), p["end"].alias("end"), p["n"].alias("n")))
     rows = convs.select("conv_id", "whole", F.posexplode(F.filter(cuts, lambda c: c["trained"] | c["last"])).alias("example", "cut"))
     end = F.col("cut.end") - len(CLOSE)
     return rows.select(
@@ -92,7 +93,7 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (CAST(-7 AS BIGINT), CAST(0 AS BIGINT), 'user', '\### Assistant: </turn> ok'), (CAST(-7 AS BIGINT), CAST(1 AS BIGINT), 'assistant', '\### Assistant: </turn> ok')
 ), e AS (
-  SELECT *, length(replace(replace(replace(text, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>')) + length(replace(replace(replace(replace(role, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>'), ':', '\:')) + 14 AS n FROM c
+  SELECT *, length(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>')) + length(replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), ':', '\:')) + 14 AS n FROM c
 ), s AS (
   SELECT *, sum(n) OVER w AS reach, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS m FROM e
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,15 @@ BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder is set for a local session, whose driver
+    and executors are one machine; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spanwise-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,10 +39,53 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, whatever its columns are called."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+class Scratch:
+    """Deletes the tables that stage_table() wrote within it at its end, but for the kept ones.
+
+    The results of operators read staged tables lazily, so write or collect them inside.
+    """
+
+    open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, set()
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.discard(df._staged_at)
+        return df
+
+    def __exit__(self, *_) -> None:
+        Scratch.open.remove(self)
+        for path in self.paths:
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if Scratch.open:
+        Scratch.open[-1].paths.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
@@ -44,9 +94,16 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
 def unstage(df: DataFrame) -> None:
     """Delete a table of stage_table() that nothing will read again."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df._staged_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df._staged_at)
+
+
+def row_index(df: DataFrame) -> Column:
+    """A row's number in its file, which tells apart equal rows of tables read from Parquet; 0 for other tables."""
+    try:
+        df.select("_metadata.row_index")
+        return F.col("_metadata.row_index")
+    except AnalysisException:
+        return F.lit(0).cast("long")
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
