@@ -15,12 +15,14 @@ being one space. Bytes unseen in training share one symbol, which loses nothing:
 context holds one, so to tell them apart costs the same in every language. The
 language of the shortest code wins (ties: the first by name). ``und`` with score 0 is given to
 null texts and texts without a letter, and to all when nothing was learned.
-Repeated rows are predicted each; extra columns are ignored.
+Repeated rows are predicted each; extra columns are ignored; an empty table gives
+no rows. A very long text is taken alone, in one array of its bytes.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,10 +40,15 @@ ORDER = 3
 TRAIN_ROWS = 600
 #: Languages that share a table of costs; bits of a byte at most.
 TOGETHER, MOST_BITS = 8, -np.log2(1e-30)
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a character of Unicode's category L; other signs, like those of numbers, are no letters."""
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
+
+
 def normal_bytes(column: pa.Array) -> pa.Array:
     """Lower-cased texts with each run of ASCII non-letters as one space."""
     text = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
@@ -250,7 +257,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> ContextTrees:
 def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs``; score is the posterior of the winner at equal priors."""
     shipped = docs.sparkSession.sparkContext.broadcast(trees)
-    tag = f"costs-{id(trees)}-{hash((tuple(trees.languages), trees.size))}"
+    tag = f"costs-{uuid.uuid4().hex}"  # Python workers live on, and may have served other trees
 
     def run(batches):
         t = shipped.value
@@ -262,7 +269,7 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
         for b in batches:
             text = b.column("text")
             bits = np.zeros((b.num_rows, max(1, len(t.languages))))
-            plain = [x is not None and LETTER.search(x) is not None for x in text.to_pylist()]
+            plain = [x is not None and has_letter(x) for x in text.to_pylist()]
             if t.languages:
                 for lo, n, buf, offs in bt.blocks(normal_bytes(text), 1 << 19):
                     s = t.symbol[buf]

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import string
 
 import numpy as np
@@ -78,6 +79,66 @@ def test_code_lengths_are_codes(world):
     assert np.abs(p - 1).max() < 1e-4
 
 
+def brute_bits(counts, text, order):
+    """Code length of the last byte of ``text`` by PPM with escape method C and exclusion, straight from the definition."""
+    symbol, bits, excluded, level = text[-1], 0.0, set(), order
+    while level >= 0:
+        seen = counts.get(text[-1 - level : -1] if level else b"", {}) if level <= order else {}
+        total, kinds = sum(seen.values()), len(seen)
+        if total:
+            # What lower orders gave to the symbols seen here is spread over the others.
+            if symbol in seen:
+                return bits - math.log2(seen[symbol] / (total + kinds))
+            left = 1 - sum(2 ** -brute_bits(counts, text[:-1] + bytes([b]), level - 1) for b in seen)
+            return bits - math.log2(kinds / (total + kinds)) + math.log2(left) + brute_bits(counts, text, level - 1)
+        level -= 1
+    return 8.0
+
+
+def test_language_equals_brute_force(make_docs):
+    """Scores from code lengths that are added up byte by byte, by counting contexts in dictionaries."""
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        lang, letters = ("aa", "abcab") if i % 2 else ("bb", "abddé")
+        rows.append((i, "".join(rng.choice(letters + " ") for _ in range(12)), lang))
+    docs = make_docs(rows)
+    trees = language.fit(docs)
+    counts: dict = {}
+    held = {r.doc_id for r in language.predicted_languages(docs).where("held_out").collect()}
+    for i, text, lang in rows:
+        if i not in held:
+            raw = re.sub(rb"[\x00-\x60\x7B-\x7F]+", b" ", text.lower().encode())
+            for order in range(language.ORDER + 1):
+                for k in range(order, len(raw)):
+                    seen = counts.setdefault(lang, {}).setdefault(raw[k - order : k], {})
+                    seen[raw[k]] = seen.get(raw[k], 0) + 1
+    asked = [(1000 + i, "".join(rng.choice("abcdé xz") for _ in range(6)), "aa") for i in range(25)]
+    got = {r.doc_id: r for r in language.predict(make_docs(asked), trees).collect()}
+    for i, text, _ in asked:
+        raw = re.sub(rb"[\x00-\x60\x7B-\x7F]+", b" ", text.lower().encode())
+        total = [sum(brute_bits(counts[lang], (b"   " + raw)[k : k + 4], language.ORDER) for k in range(len(raw))) for lang in trees.languages]
+        if not any(c.isalpha() for c in text):
+            assert got[i].lang_pred == "und"
+            continue
+        best = min(range(2), key=lambda k: total[k])
+        assert got[i].lang_pred == trees.languages[best]
+        assert got[i].score == pytest.approx(1 / sum(2 ** (total[best] - x) for x in total), rel=1e-3)
+
+
+def test_signs_of_numbers_are_no_letters(make_docs, world):
+    got = language.predict(make_docs([(1, "² ½"), (2, "Ⅷ _1"), (3, "² the")]), language.fit(world[0])).collect()
+    assert [r.lang_pred == "und" for r in sorted(got)] == [True, True, False]
+
+
+def test_models_of_one_process_stay_apart(make_docs):
+    """The same two names with their words changed over: each model's own answers, in Python workers that live on."""
+    rng = random.Random(1)
+    for turn in range(4):
+        bags = {"de": DE, "en": EN} if turn % 2 else {"de": EN, "en": DE}
+        docs = make_docs([(i, " ".join(rng.choice(bags[lang]) for _ in range(30)), lang) for i in range(80) for lang in [("de", "en")[i % 2]]])
+        assert language.predict(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("lang <> lang_pred").count() == 0
+
+
 def test_language_of_rare_scripts(make_docs):
     """Every byte of the sample has a symbol of its own, so that scarce languages of other scripts stay apart."""
     rng = random.Random(4)

@@ -31,6 +31,20 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.prefix_target_examples(df.limit(0))).count() == 0
 
 
+def test_chat_escapes_every_control_string(spark, rng):
+    """Random texts over what control strings are made of: the formatted text holds those of the template alone, and gives the texts back."""
+    parts = ["#", "\\", "</turn>", " ", "### ", "\n", ": ", "/", "a", "<", "####"]
+    rows = [(i, k, rng.choice(["assistant", "user", "#a: b", "\\"]), "".join(rng.choice(parts) for _ in range(rng.randrange(9)))) for i in range(150) for k in range(3)]
+    rows += [(900, 0, "user", "#### Assistant: x"), (901, 0, "assistant", "#" * 100_000 + "</turn>" * 1_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.prefix_target_examples(df).where("last").collect():
+        want = [x for x in rows if x[0] == r.conv_id]
+        assert r.text.count("### ") == r.text.count("</turn>") == len(want)
+    got = {r.conv_id: r.turns_sha256 for r in chat.digests(chat.prefix_target_examples(df)).collect()}
+    for conv in got:
+        assert got[conv] == sha("".join(f"{t[2]}\n{t[3]}\n" for t in rows if t[0] == conv))
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
