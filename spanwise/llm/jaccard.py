@@ -21,12 +21,20 @@ sequence as one shingle; none without words). Two documents link when
    paths, and prunes subtrees by misses so far, by remaining length and by size.
    Subtrees whose sets are all in the probe's component already are skipped, so a
    large group of near copies costs about its own length. Blocks over
-   CHUNK_SHINGLES are cut into chunks, and every pair of chunks is one task.
+   CHUNK_SHINGLES are cut into chunks, and every pair of chunks is one task; in a
+   block of more than ROUTED chunks only sets that share a shingle of step 3 meet.
    Tasks return a spanning forest, never all pairs.
 
+Common shingles (those that MANY different sets of one Arrow batch post, or in step 3
+hold; at most COMMON of them, the most frequent ones) are known before anything is
+shuffled by shingle. Their rows are spread by their sets: they are met for certain, come last in
+the global order, and chain their sets by way of a node of their own. So no
+shingle's rows meet in one task, and the answer doesn't depend on which are known.
+
 Rows whose doc_id is null, and texts without words, link with nothing: their
-component_id is their doc_id. Repeated rows are returned each. Extra columns are
-ignored.
+component_id is their doc_id. Repeated rows are returned each, as are several texts
+under one id: each links by its own text. Extra columns are ignored. An empty
+table gives no rows. A very long text's set is held by one task, as 8 bytes a word.
 """
 
 from __future__ import annotations
@@ -38,12 +46,16 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .graph import Forest, components
-from .shared import bounded, small_batches, stage_table, unstage
+from .shared import bounded, fresh, small_batches, stage_table, unstage
 
 SHINGLE = 5
 PERCENT = 80
 #: Shingles of a chunk of a block, on average; a task holds two chunks.
 CHUNK_SHINGLES = 1 << 19
+#: Chunks of a block from which on its sets go to the shingles that they can share.
+ROUTED = 32
+#: Sets of one batch that make a shingle common; common shingles known at most; tasks to spread one over.
+MANY, COMMON, SPREAD = 4, 100_000, 64
 
 
 def document_sets(column: pa.Array):
@@ -84,20 +96,28 @@ def _list_array(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
+def _common_in(lists: list[np.ndarray], rows: int) -> pa.Array:
+    """A column of ``rows`` lists: on the first row the shingles that MANY of the sets hold, empty on the others."""
+    shingles, sets = np.unique(np.concatenate([*lists, np.empty(0, np.uint64)]), return_counts=True)
+    return _list_array([shingles[sets >= MANY], *[np.empty(0, np.uint64)] * (rows - 1)][:rows])
+
+
 def _prefixes(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, sig, n, prefix): the set's signature and size, and its extended prefix in hash order."""
+    """(doc_id, text_key, sig, n, prefix, common): the set's signature and size, its extended prefix in hash order, and (on a batch's first row) shingles common in the batch."""
 
     def run(batches):
         for b in batches:
-            sigs, sizes, lists = [], [], []
+            sigs, sizes, lists, own = [], [], [], {}
             for _, s in document_sets(b.column(1)):
                 n = len(s)
                 sigs.append(signature(s))
                 sizes.append(n)
                 lists.append(s[: n - least_common(n, percent) + n // 20 + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), _list_array(lists)], ["doc_id", "sig", "n", "prefix"])
+                own[sigs[-1]] = lists[-1]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), _list_array(lists), _common_in(list(own.values()), b.num_rows)], ["doc_id", "text_key", "sig", "n", "prefix", "common"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long, n long, prefix array<long>")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return docs.mapInArrow(run, "doc_id long, text_key long, sig long, n long, prefix array<long>, common array<long>")
 
 
 class Trie:
@@ -170,19 +190,31 @@ def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     return [forest.find(i) for i in range(len(sets))]
 
 
-def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
+def _common(batches: DataFrame) -> DataFrame:
+    """(shingle, known): the shingles in the column ``common`` that were common most often, COMMON at most, staged."""
+    counted = batches.select(F.explode("common").alias("shingle")).groupBy("shingle").count()
+    return stage_table(counted.orderBy(F.desc("count"), "shingle").limit(COMMON).select("shingle", F.lit(True).alias("known")), "common")
+
+
+def _spread(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """Add ``salt`` to (sig, shingle, ...): -1, or for common shingles one of SPREAD tasks by the set."""
+    salt = F.when(F.col("known"), F.pmod(F.xxhash64("sig"), F.lit(SPREAD))).otherwise(-1)
+    return rows.join(F.broadcast(common), "shingle", "left").withColumn("salt", salt).drop("known")
+
+
+def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n, sig) of each row, and (sig, root, rep) of each class: its component, and its least (doc_id, text_key)."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prefixes = stage_table(_prefixes(docs, percent), "prefixes")
-    meta = stage_table(prefixes.select("doc_id", "sig", "n"), "signatures")
+    meta = stage_table(prefixes.select("doc_id", "text_key", "n", "sig"), "signatures")
     real = meta.where("n > 0 AND doc_id IS NOT NULL")
 
-    classes = real.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    classes = real.groupBy("sig").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.max("n").alias("n"))
 
-    posts = prefixes.where("n > 0 AND doc_id IS NOT NULL").dropDuplicates(["sig"]).select("sig", F.explode("prefix").alias("shingle"))
-    row = Window.partitionBy("shingle").orderBy("sig")
-    met = posts.select("sig", (F.lag("sig").over(row).isNotNull() | F.lead("sig").over(row).isNotNull()).alias("met")).where("met")
+    posts = _spread(prefixes.where("n > 0 AND doc_id IS NOT NULL").dropDuplicates(["sig"]).select("sig", F.explode("prefix").alias("shingle")), _common(prefixes))
+    row = Window.partitionBy("shingle", "salt").orderBy("sig")
+    met = posts.select("sig", ((F.col("salt") >= 0) | F.lag("sig").over(row).isNotNull() | F.lead("sig").over(row).isNotNull()).alias("met")).where("met")
     some = met.groupBy("sig").agg(F.count(F.lit(1)).alias("met"))
 
     def shingle(batches):
@@ -192,28 +224,42 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 if signature(s) == expected[i]:  # another row may share the id
                     rows.append(i)
                     lists.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(expected[rows], pa.int64()), pa.array([len(x) for x in lists], pa.int64()), _list_array(lists)], ["sig", "n", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(expected[rows], pa.int64()), pa.array([len(x) for x in lists], pa.int64()), _list_array(lists), _common_in(lists, len(rows))], ["sig", "n", "items", "common"])
 
-    reps = stage_table(classes.join(some, "sig").where("met > floor(n / 25)").select("sig", "rep"), "survivors")
+    reps = stage_table(classes.join(some, "sig").where("met > floor(n / 25)").select("sig", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_key")), "survivors")
     unstage(prefixes)
-    texts = docs.join(bounded(reps), F.col("doc_id") == F.col("rep")).select("sig", "text")
-    sets = texts.mapInArrow(shingle, "sig long, n long, items array<long>")
-    if real.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        sets = sets.dropDuplicates(["sig"])  # rows of one id and text may repeat
+    texts = docs.join(bounded(reps), (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("rep_key"))).select("sig", "text")
+    sets = texts.mapInArrow(shingle, "sig long, n long, items array<long>, common array<long>")
+    if real.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
+        sets = sets.dropDuplicates(["sig"])  # equal rows
     staged = sets = stage_table(sets, "sets")
 
-    items = sets.select("sig", "n", F.explode("items").alias("shingle"))
-    counted = items.select("sig", "n", "shingle", F.count(F.lit(1)).over(Window.partitionBy("shingle")).alias("df")).where("df > 1")
+    items = _spread(sets.select("sig", "n", F.explode("items").alias("shingle")), _common(sets))
+    # Any one order will do: common shingles come last, all alike.
+    df = F.when(F.col("salt") >= 0, F.lit(1 << 62)).otherwise(F.count(F.lit(1)).over(Window.partitionBy("shingle", "salt")))
+    counted = items.select("sig", "n", "shingle", "salt", df.alias("df")).where("df > 1")
     rank = Window.partitionBy("sig").orderBy("df", "shingle")
-    ranked = counted.select("sig", "n", "shingle", F.row_number().over(rank).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("sig")).alias("known"))
+    ranked = counted.select("sig", "n", "shingle", "salt", F.row_number().over(rank).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("sig")).alias("known"))
     prefix = ranked.where(F.col("k") + F.greatest(F.col("n") - F.col("known"), F.lit(0)) <= F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1)
-    chain = prefix.select(F.lag("sig").over(row).alias("b"), F.col("sig").alias("a")).where("b IS NOT NULL AND b <> a")
+    # A common shingle's chains, one for each salt, hang together by the shingle as a node; it names no set.
+    before = F.coalesce(F.lag("sig").over(row), F.when(F.col("salt") >= 0, F.col("shingle")))
+    chain = prefix.select(before.alias("b"), F.col("sig").alias("a")).where("b IS NOT NULL AND b <> a")
     low = components(chain.distinct())
     blocks = low.unionByName(low.select(F.col("root").alias("node"), "root")).distinct()
     placed = stage_table(classes.join(blocks, F.col("sig") == F.col("node")).select("sig", "n", F.col("root").alias("block")), "blocks")
-    chunks = placed.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks"))
-    tasks = placed.join(chunks, "block").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
-    most = chunks.agg(F.max("chunks")).first()[0] or 0
+
+    def cut(cells: DataFrame) -> DataFrame:
+        return cells.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks")).where("chunks > 1")
+
+    several = stage_table(cut(placed), "chunks")
+    most = several.agg(F.max("chunks")).first()[0] or 1
+    if most > ROUTED:
+        wide = bounded(stage_table(several.where(F.col("chunks") > ROUTED).select("block"), "wide"))
+        routed = prefix.select("sig", "shingle").join(placed.join(wide, "block"), "sig").select("sig", "n", F.xxhash64("block", "shingle").alias("block"))
+        placed = stage_table(placed.join(wide, "block", "left_anti").select("sig", "n", "block").unionByName(routed), "routed")
+        several = stage_table(cut(placed), "chunks")
+    tasks = placed.join(bounded(several), "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    tasks = tasks.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
 
     sets = sets.select("sig", "items").join(tasks.select("block", "sig", "own", "chunks"), "sig")
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -247,8 +293,13 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Where each block was one task, its forest holds stars already.
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")) if most <= 1 else components(links)
 
-    named = classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return meta, classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root"), "rep")
+
+
+def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
+    meta, named = _linked(docs, percent)
+    least = named.groupBy("root").agg(F.min("rep.doc_id").alias("component_id"))
     named = named.join(least, "root").select("sig", "component_id")
     return (
         meta.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(named, "sig", "left")
@@ -257,15 +308,24 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one of the least doc_id; equal rows of it count once.
+    """``docs`` with one document of each group of near copies: that of the least doc_id, of its texts that of the least hash.
 
-    Documents without words, or without an id, stay.
+    Equal rows of it count once. Texts without a near copy stay, also where their
+    id has other texts; documents without words, or without an id, all stay.
     """
-    found = stage_table(shingle_components(docs), "components")
-    gone = stage_table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    left = docs.join(bounded(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = found.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id", "text"]) if again else left
+    meta, named = _linked(docs, PERCENT)
+    least = named.groupBy("root").agg(F.min("rep").alias("kept"))
+    found = meta.where("n > 0 AND doc_id IS NOT NULL").join(named.join(least, "root").select("sig", "kept"), "sig")
+    stays = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("text_key") == F.col("kept.text_key"))
+    counted = stage_table(found.groupBy("doc_id", "text_key").agg(F.min(stays).alias("stays"), F.count(F.lit(1)).alias("rows")).where("NOT stays OR rows > 1"), "copies")
+    id_, key = fresh(docs, "__id", "__key")
+    at = (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(key))
+    gone, again = (counted.where(c).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)) for c in ("NOT stays", "stays"))
+    left = docs.join(bounded(gone), at, "left_anti")
+    if again.limit(1).count():
+        again = bounded(again)
+        left = left.join(again, at, "left_anti").unionByName(left.join(again, at, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left
 
 
 ORACLE = r"""

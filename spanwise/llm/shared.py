@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import delete
+
 #: Folds of the hold-out rule: crc32(doc_id as text) mod FOLDS; remainder 0 is held out.
 FOLDS = 5
 #: Rows of ids up to which a counted table is broadcast (some 20 MB in memory).
@@ -75,17 +77,18 @@ class Scratch:
             delete(self.spark, path)
 
 
-def delete(spark: SparkSession, at: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which an open Scratch will delete."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if Scratch.open:
+        Scratch.open[-1].paths.add(path)
+    return path
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if Scratch.open:
-        Scratch.open[-1].paths.add(path)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
