@@ -15,12 +15,14 @@ Every 13-word window of a test item that occurs in a document is found:
   grams of that length are kept (a winnowing window of one).
 
 The item fingerprints are broadcast only if their counted rows are at most
-BROADCAST_ROWS; a larger benchmark takes a shuffled join on fingerprints
-first, which then reduces the documents that are extended.
+BROADCAST_ROWS; a larger benchmark takes a shuffled join of rows without words
+on fingerprints first, which then reduces the documents that are extended.
 
-Null or empty texts have no words: no hits, not contaminated. Repeated rows are
+Null or empty texts have no words: no hits, not contaminated; an empty benchmark
+hits nothing; an empty table of documents gives no rows. Repeated rows are
 returned each, with the hits of their own text. Null ids are kept. Extra
-columns are ignored.
+columns are ignored. Very long texts are worked on by segments, but their words
+are one row's array before that.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .shared import bounded, stage_table
+from .shared import bounded, fresh, stage_table
 
 SPAN = 13
 GRAM = 5
@@ -39,6 +41,8 @@ SEGMENT = 4096
 POSITION_BITS = 13
 #: Fingerprint rows of the benchmark up to which they are broadcast (each is some 400 bytes).
 BROADCAST_ROWS = 60_000
+#: Tasks that the rows of one fingerprint are spread over in the shuffled join.
+SPREAD = 8
 #: What lies between words. split() on it is several times faster than regexp_extract_all() of the words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,6 +109,28 @@ def item_fingerprints(items: DataFrame, short: list[int], key: str = "item_id")
     return whole.select(F.shiftright("kept", POSITION_BITS).alias("hash"), "item_id", "need", "size", gram.alias("gram"), before.alias("before"), after.alias("after"))
 
 
+def _segments(base: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_words, seg, words): overlapping segments of each row's words."""
+    cut = base.withColumn("seg", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(SEGMENT))))
+    return cut.select("doc_id", "text_key", F.size("words").alias("n_words"), "seg", F.slice("words", F.col("seg") + 1, F.lit(SEGMENT + SPAN - 1)).alias("words"))
+
+
+def _shuffled(rows: DataFrame, base: DataFrame, prints: DataFrame) -> DataFrame:
+    """The join for a large benchmark: rows without words meet the fingerprints, then segments with hits get their words back.
+
+    The rows of one fingerprint, which a common passage may have many of, are spread over SPREAD tasks.
+    """
+    thin = rows.where("kept IS NOT NULL").select("doc_id", "text_key", "seg", "kept", F.shiftright("kept", POSITION_BITS).alias("hash"), F.pmod(F.xxhash64("doc_id", "text_key", "seg"), F.lit(SPREAD)).alias("salt"))
+    spread = prints.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    hits = stage_table(thin.join(spread, ["hash", "salt"]).drop("salt"), "hits")
+    owner = lambda t: [F.col("doc_id").eqNullSafe(F.col(f"{t}_id")), F.col("text_key") == F.col(f"{t}_key")]
+    named = hits.select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), F.col("seg").alias("h_seg"), *[c for c in hits.columns if c not in ("doc_id", "text_key", "seg")])
+    whole = base.join(bounded(stage_table(named.select("h_id", "h_key").distinct(), "hit")), owner("h"), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    found = _segments(whole).join(named.distinct(), [*owner("h"), F.col("seg") == F.col("h_seg")]).drop("h_id", "h_key", "h_seg")
+    marks = base.select("doc_id", "text_key", F.size("words").alias("n_words"), F.lit(0).alias("seg"), F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("long").alias("kept"))
+    return found.unionByName(marks, allowMissingColumns=True)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, text_key, copies, n_words, spans, items): hits of each distinct (doc_id, text).
 
@@ -117,26 +143,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id"
     prints = item_fingerprints(benchmark, short)
 
     base = docs.select(F.col(doc_key).alias("doc_id"), F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
-    cut = base.withColumn("seg", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(SEGMENT))))
-    reach = F.lit(SEGMENT + SPAN - 1)
-    cut = cut.select("doc_id", "text_key", F.size("words").alias("n_words"), "seg", F.slice("words", F.col("seg") + 1, reach).alias("words"))
-    cut = _kept(cut.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x))), short)
     # One marker (null) leads each segment's grams, so that documents without any hit come through the join too.
-    rows = cut.select("doc_id", "text_key", "n_words", "seg", "words", F.explode(F.concat(F.array(F.lit(None).cast("long")), "kept")).alias("kept"))
-    mark = F.col("kept").isNull()
+    rows = _kept(_segments(base).withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x))), short)
+    rows = rows.select("doc_id", "text_key", "n_words", "seg", "words", F.explode(F.concat(F.array(F.lit(None).cast("long")), "kept")).alias("kept"))
 
-    small = prints.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if small:
+    if prints.limit(broadcast_rows + 1).count() <= broadcast_rows:
         marker = prints.sparkSession.range(1).select(F.lit(None).cast("long").alias("hash"), *[F.lit(None).cast(prints.schema[c].dataType).alias(c) for c in prints.columns[1:]])
         joined = rows.join(F.broadcast(prints.unionByName(marker)), F.shiftright("kept", POSITION_BITS).eqNullSafe(F.col("hash")))
     else:
-        # Shuffled: light rows find which documents have any common fingerprint; only those go on with their words.
-        keys = rows.where(~mark).select("doc_id", "text_key", "seg", F.shiftright("kept", POSITION_BITS).alias("hash")).join(prints.select("hash").distinct(), "hash", "left_semi")
-        keys = keys.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"), F.col("seg").alias("k_seg")).distinct()
-        picked = rows.where(~mark).join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_text")) & (F.col("seg") == F.col("k_seg")), "left_semi")
-        hits = picked.join(prints, F.shiftright("kept", POSITION_BITS) == F.col("hash"))
-        marks = rows.where(mark)
-        joined = hits.unionByName(marks, allowMissingColumns=True)
+        joined = _shuffled(rows, base, prints)
 
     place = F.col("kept").bitwiseAND((1 << POSITION_BITS) - 1).cast("int")
     gram, before, after = _sided(joined, place, F.col("size"))
@@ -185,9 +200,10 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones. Only ids and text hashes of those are joined, never texts."""
     found = contamination(docs, benchmark)
     n_hit = hit_words(F.col("spans"))
-    bad = found.where(is_contaminated(n_hit, F.col("n_words"))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"))
+    id_, key = fresh(docs, "__id", "__key")
+    bad = found.where(is_contaminated(n_hit, F.col("n_words"))).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
     bad = bounded(stage_table(bad, "contaminated"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left_anti")
 
 
 ORACLE = r"""
