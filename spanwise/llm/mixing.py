@@ -15,8 +15,10 @@ K numbers and nothing else leaves the executors; the rates are replayed wherever
 they are needed.
 
 Null and empty texts have no tokens and the prior as posterior; their rate is 1.
-With an empty labelled table all documents belong to the one domain ''. Repeated
-rows are documents each. Extra columns pass through.
+With an empty labelled table all documents belong to the one domain ''. An empty
+table gives no rows. Repeated rows are documents each, with the same rate, and
+are rounded to copies alike. A very long text is taken alone, in arrays of its words.
+Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .shared import labelled_sample, small_batches, stage_table
+from .shared import fresh, labelled_sample, small_batches, stage_table
 
-#: Labelled rows that training takes at most; places of hashed words.
-TRAIN_ROWS, BITS = 8_000, 15
+#: Labelled rows that training takes at most; places of hashed words; domains that are told apart at most (more raise).
+TRAIN_ROWS, BITS, DOMAINS = 8_000, 15, 1_000
 #: Log-likelihoods are averaged over words and counted as of so many words at most: memberships stay soft.
 SHARPNESS = 12.0
 #: The fit has stalled when the sum fell by less than this share over so many passes.
@@ -96,6 +98,9 @@ def classifier(docs: DataFrame, labels: DataFrame, domain: str = "domain", rows:
 
     texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", F.col("label").cast("string").alias("label"))), "doc_id")
     counts = texts.select("text", "label").mapInArrow(count, "label string, place long, n long").groupBy("label", "place").agg(F.sum("n").alias("n"))
+    kinds = sample.select("label").distinct().count()
+    if kinds > DOMAINS:
+        raise ValueError(f"{kinds} domains; at most {DOMAINS} can be mixed at once")
     got = counts.toArrow().to_pydict()  # at most 2**BITS + 1 rows for each domain of the sample
     domains = sorted(set(got["label"])) or [""]
     index = {k: i for i, k in enumerate(domains)}
@@ -173,27 +178,29 @@ def tempered(power: float, keep_all: bool = False):
     return targets
 
 
-def apply_rates(docs: DataFrame, model: Mixture) -> DataFrame:
-    """``docs`` with __tokens, __domain (the likeliest), __rate and __copies: the rate's whole part, and one more by a hash of id and text."""
+def apply_rates(docs: DataFrame, model: Mixture) -> tuple[DataFrame, list[str]]:
+    """``docs`` with four more columns, and their names: tokens, the likeliest domain, rate, and copies (the rate's whole part, and one more by a hash of id and text)."""
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    schema = docs.select("*").schema.add("__tokens", "long").add("__domain", "string").add("__rate", "double")
+    names, text_at = docs.columns, docs.columns.index("text")
+    tokens_, domain, rate, copies = own = fresh(docs, "__tokens", "__domain", "__rate", "__copies")
+    schema = docs.select("*").schema.add(tokens_, "long").add(domain, "string").add(rate, "double")
 
     def run(batches):
         m = shipped.value
         for b in batches:
-            tokens, p = m.posterior(b.column(names.index("text")))
+            tokens, p = m.posterior(b.column(text_at))
             kinds = [m.domains[i] for i in p.argmax(axis=1)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens.astype(np.int64)), pa.array(kinds, pa.string()), pa.array(m.rates(tokens, p))], names=[*names, "__tokens", "__domain", "__rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens.astype(np.int64)), pa.array(kinds, pa.string()), pa.array(m.rates(tokens, p))], names=[*names, *own[:3]])
 
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    whole = F.floor("__rate")
-    return docs.mapInArrow(run, schema).withColumn("__copies", (whole + (chance < F.col("__rate") - whole).cast("long")).cast("int"))
+    whole = F.floor(rate)
+    return docs.mapInArrow(run, schema).withColumn(copies, (whole + (chance < F.col(rate) - whole).cast("long")).cast("int")), own
 
 
 def mixed(docs: DataFrame, labels: DataFrame, power: float = 0.7) -> DataFrame:
     """``docs`` repeated so that domains' expected tokens follow ``tempered`` weights and no document is lost."""
     model, _ = fit_rates(docs, classifier(docs, labels), tempered(power, keep_all=True), low=1.0)
-    out = apply_rates(docs, model)
-    return out.withColumn("__again", F.explode(F.sequence(F.lit(1), F.greatest("__copies", F.lit(1))))).select(*[out[c] for c in docs.columns])
+    out, (*_, copies) = apply_rates(docs, model)
+    (again,) = fresh(out, "__again")
+    return out.withColumn(again, F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, jaccard, language, mixing, neighbours, quality, resharding, secrets, toxicity
+from .shared import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +31,8 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, _ = mixing.fit_rates(docs, mixing.classifier(docs, language_labels(spark, sf_dir)), mixing.tempered(0.5))
-    out = mixing.apply_rates(docs, model)
-    return out.select("doc_id", F.col("__tokens").alias("n_tokens"), F.col("__domain").alias("domain"), F.round("__rate", 6).alias("rate"), F.col("__copies").alias("copies"))
+    out, (tokens, domain, rate, copies) = mixing.apply_rates(docs, model)
+    return out.select("doc_id", F.col(tokens).alias("n_tokens"), F.col(domain).alias("domain"), F.round(rate, 6).alias("rate"), F.col(copies).alias("copies"))
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resharding.shard_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return resharding.shard_report(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "resharded"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
