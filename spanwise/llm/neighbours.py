@@ -17,7 +17,9 @@ Vectors that are null, zero or hold null or non-finite components take no part,
 as queries or candidates; vectors of different lengths are never compared. Rows
 that share the query's id are its own and no candidates of it; if several rows
 have a query's id, the least vector in array order asks. Other repeated rows are
-candidates each. Ties go to the smaller id. Extra columns are ignored.
+candidates each. Ties go to the smaller id. Extra columns are ignored; an empty
+table, of queries or of vectors, gives no rows. Components of any magnitude are
+fine: vectors are scaled by powers of two before they are multiplied.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytetext import process_cache
 from .shared import stage_table
 
 EPSILON = 2.5
@@ -37,9 +40,20 @@ SEED = 7
 
 
 def rotation(dim: int) -> np.ndarray:
-    """The seeded random rotation of ``dim`` dimensions."""
-    q, r = np.linalg.qr(np.random.default_rng(SEED + dim).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """The seeded random rotation of ``dim`` dimensions, made once in a process."""
+    kept = process_cache().setdefault("rotations", {})
+    if dim not in kept:
+        q, r = np.linalg.qr(np.random.default_rng(SEED + dim).standard_normal((dim, dim)))
+        kept[dim] = q * np.sign(np.diag(r))
+    return kept[dim]
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component is of 0.5 to 1: exact, leaves cosines as they are, and no square over- or underflows."""
+    _, power = np.frexp(np.abs(vectors).max(axis=1, initial=0))
+    # In two steps: the whole factor may itself be too large or too small for a double.
+    half = -power // 2
+    return np.ldexp(np.ldexp(vectors, half[:, None]), (-power - half)[:, None])
 
 
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +82,7 @@ def norms(a: np.ndarray) -> np.ndarray:
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of the rows of two float64 matrices."""
+    a, b = scaled(a), scaled(b)
     return dots(a, b) / (norms(a) * norms(b))
 
 
@@ -87,7 +102,7 @@ def _matrices(batch):
     sizes = np.diff(offs)
     for dim in np.unique(sizes):
         rows = np.flatnonzero(sizes == dim)
-        yield int(dim), rows, flat[offs[rows][:, None] + np.arange(dim)]
+        yield int(dim), rows, scaled(flat[offs[rows][:, None] + np.arange(dim)])
 
 
 def build_index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -134,6 +149,7 @@ def _near(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
     def run(batches):
         state = {}
         for dim, (ids, q) in queries.items():
+            q = scaled(q)
             unit = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ rotation(dim)
             state[dim] = {"columns": np.ascontiguousarray(q.T), "unit": unit.astype(np.float32), "sizes": norms(q), "best": np.full((len(ids), k), -np.inf), "who": np.full((len(ids), k), np.iinfo(np.int64).max)}
         for b in batches:
