@@ -9,7 +9,9 @@ non-zero weights, small enough to ship to every task whatever the corpus.
 
 Null and empty texts have no features and get the score of the bias alone.
 Repeated rows are scored each; conflicting labels are examples each, repeated
-ones count once. With no labelled row at all, every score is 0.5.
+ones count once, and so do equal rows. With no labelled row at all, every score is
+0.5. An empty table gives no rows. A very long text is taken alone, in arrays of its
+words' hashes. Extra columns are ignored, or pass where documents are scored.
 """
 
 from __future__ import annotations
@@ -82,8 +84,8 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float
     return np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((beta + root) / alpha + l2), 0.0), bias
 
 
-def fit(texts: DataFrame, bits: int = BITS) -> FtrlModel:
-    """Train on (doc_id, text, label) rows. The rows must be a bounded sample: one task holds their features."""
+def fit(texts: DataFrame, bits: int = BITS, rows: int = TRAIN_ROWS) -> FtrlModel:
+    """Train on (doc_id, text, label) rows, equal ones once, and at most ``rows`` of them (in hash order of doc_id): one task holds their features."""
 
     def featurise(batches):
         for b in batches:
@@ -109,7 +111,9 @@ def fit(texts: DataFrame, bits: int = BITS) -> FtrlModel:
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([w[at].tolist()], pa.list_(pa.float64())), pa.array([float(bias)])], ["places", "weights", "bias"])
 
-    one = texts.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")).mapInArrow(featurise, "doc_id long, label int, places array<int>").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label", F.size("places"))
+    one = texts.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")).mapInArrow(featurise, "doc_id long, label int, places array<int>")
+    # An id may stand on any number of rows, so the join with a bounded sample of ids bounds nothing.
+    one = one.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.size("places"), F.xxhash64("places")).limit(rows)
     found = one.mapInArrow(train, "places array<int>, weights array<double>, bias double").collect()
     if not found:
         return FtrlModel(bits, np.empty(0, np.int64), np.empty(0), 0.0)
@@ -120,11 +124,11 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     """Train on a bounded sample of ``labels`` joined with their texts; rows of the held-out fold take no part."""
     small_batches(docs.sparkSession)
     sample = labelled_sample(labels, label, rows)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    return fit(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), rows=rows)
 
 
 def score(docs: DataFrame, model: FtrlModel, out: str = "score") -> DataFrame:
-    """``docs`` with the column ``out`` (double, 0 to 1); other columns, whatever their names, pass through unread."""
+    """``docs`` with the column ``out`` (double, 0 to 1), a name that they don't have; other columns pass through unread."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
