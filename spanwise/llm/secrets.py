@@ -13,9 +13,12 @@ always stay. The method adds ``random`` spans:
   part that none holds is tested in its cuts only. Accepted parts that overlap
   are one span.
 * Each candidate gets three p-values under "drawn uniformly from the alphabet":
-  a chi-squared test of uniformity (over at most BUCKETS equal classes of the
-  alphabet), a runs test about the alphabet's median, and a lag-1 serial
-  correlation test. The least of them, times three, is the battery's p-value.
+  a chi-squared test of uniformity, a runs test about the alphabet's median, and a
+  lag-1 serial correlation test. The least of them, times three, is the battery's
+  p-value. Chi-squared is taken over the letters of the alphabet, with the exact mean
+  and variance of the statistic, as most letters are expected less than once; and over
+  at most BUCKETS equal classes of letters, where its own distribution holds: the
+  lesser of the two p-values, times two.
 * Words fail the battery, random strings pass it evenly over p. So, for each
   encoding and length class, over all documents: strings with p of HALF or more
   are counted, twice that count estimates the random ones (Storey's
@@ -26,13 +29,16 @@ always stay. The method adds ``random`` spans:
   MIN_BITS bits.
 
 Only the grid's counts (bounded) reach the driver. Null texts count as empty.
-Repeated rows are scanned and counted each. Extra columns are ignored.
+Repeated rows are scanned and counted each. Extra columns are ignored; an empty table
+gives no rows. A very long text is scanned whole, in one piece.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -58,19 +64,25 @@ ALPHABETS = {
     "base36": DIGITS + LOWER, "BASE36": DIGITS + UPPER, "letters": UPPER + LOWER, "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_",
 }
 
+LETTERS = {name: frozenset(letters) for name, letters in ALPHABETS.items()}
+#: What a text holds, lower-cased, wherever ASSIGN matches.
+NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the base spans, ascending."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    if "AKIA" in text:
+
+def base_spans(text: str, runs: bool = True) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the base spans, ascending. ``runs``: whether CANDIDATE matches, without which two kinds can't."""
+    found, low = [], text.lower()
+    if any(x in low for x in NAMES):
+        found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if runs:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(m.start(), 2, m.end()) for m in HEX_LONG.finditer(text)]
+        found += [(m.start(), 2, m.end()) for m in HEX_LONG.finditer(text)]
     return sorted(found)
 
 
 def encoding(run: str) -> str | None:
     held = set(run)
-    return next((name for name, letters in ALPHABETS.items() if held <= set(letters)), None)
+    return next((name for name, letters in LETTERS.items() if held <= letters), None)
 
 
 def normal_tail(z: float) -> float:
@@ -87,17 +99,17 @@ def chi_squared_tail(x: float, k: int) -> float:
 def battery(run: str, letters: str) -> float:
     """The battery's p-value of ``run`` over the alphabet ``letters``."""
     size, n = len(letters), len(run)
-    at = np.array([letters.index(c) for c in run])
+    place = np.zeros(128, np.int64)
+    place[np.frombuffer(letters.encode(), np.uint8)] = np.arange(size)
+    at = place[np.frombuffer(run.encode(), np.uint8)]
     k = min(BUCKETS, size)
     # Letters are dealt to buckets in turn, so that neighbours in the alphabet differ in bucket.
     expected = np.bincount(np.arange(size) % k, minlength=k) * n / size
     counts = np.bincount(at % k, minlength=k)
     p1 = chi_squared_tail(float(((counts - expected) ** 2 / expected).sum()), k - 1)
-    # Repeats of single letters, against the spread of a uniform draw.
-    same = np.bincount(at, minlength=size)
-    pairs, rate = float((same * (same - 1)).sum()) / 2, 1 / size
-    mean = n * (n - 1) / 2 * rate
-    p1 = min(1.0, 2 * min(p1, normal_tail((pairs - mean) / math.sqrt(max(mean * (1 - rate), 1e-9))) if pairs > mean else 1.0))
+    # Over all letters: mean and variance of the statistic are those of a uniform draw; only an excess counts.
+    x = float((np.bincount(at, minlength=size) ** 2).sum()) * size / n - n
+    p1 = min(1.0, 2 * min(p1, normal_tail((x - size + 1) / math.sqrt(2 * (size - 1) * (n - 1) / n)) if x > size - 1 else 1.0))
     high = at * 2 >= size
     a, b = int(high.sum()), int(n - high.sum())
     if a and b:
@@ -112,15 +124,16 @@ def battery(run: str, letters: str) -> float:
     return min(1.0, 3 * min(p1, p2, p3))
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-    """(start, end, class, p) of each candidate; the class is its encoding and length class."""
-    found = []
-    for m in CANDIDATE.finditer(text):
+def candidates(runs, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
+    """(start, end, class, p) of each candidate in matches of CANDIDATE that meets no span of ``taken``; the class is its encoding and length class."""
+    found, starts, reach = [], [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
+    for m in runs:
         inner = m[0].rstrip("=")
         for lo, hi in sorted({x.span() for cut in CUTS for x in cut.finditer(inner) if x.end() - x.start() >= MIN_LENGTH}):
             # Padding belongs to the part before it.
             start, end = m.start() + lo, m.start() + hi if hi < len(inner) else m.end()
-            if any(s < end and start < e for s, _, e in taken):
+            before = bisect_left(starts, end)  # spans that start before the end; one of them may reach into the part
+            if before and reach[before - 1] > start:
                 continue
             part = inner[lo:hi]
             name = encoding(part)
@@ -162,8 +175,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            base = [base_spans(t or "") for t in b.column(1).to_pylist()]
-            more = [candidates(t or "", s) for t, s in zip(b.column(1).to_pylist(), base, strict=True)]
+            base, more = [], []
+            for text in b.column(1).to_pylist():
+                runs = list(CANDIDATE.finditer(text or ""))
+                base.append(base_spans(text or "", bool(runs)))
+                more.append(candidates(runs, base[-1]))
             kinds = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
             extra = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.string()), ("p", pa.float64())])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[dict(zip(("start", "kind", "end"), x, strict=True)) for x in s] for s in base], pa.list_(kinds)), pa.array([[dict(zip(("start", "end", "class", "p"), x, strict=True)) for x in s] for s in more], pa.list_(extra))], ["doc_id", "base", "more"])
