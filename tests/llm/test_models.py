@@ -1,7 +1,11 @@
+import hashlib
+import itertools
 import math
 import random
 import re
 import string
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -60,7 +64,74 @@ def test_quality(world):
 def test_class_prior():
     rng = np.random.default_rng(1)
     positive, mixed = rng.normal(2, 1, 6000), np.concatenate([rng.normal(2, 1, 2000), rng.normal(-2, 1, 6000)])
-    assert abs(quality.class_prior(positive, mixed) - 0.25) < 0.05
+    shares = (mixed[None, :] >= quality.prior_cuts(positive)[:, None]).mean(axis=1)
+    assert abs(quality.class_prior(positive, shares, len(mixed)) - 0.25) < 0.05
+
+
+def test_quality_risk_equals_brute_force():
+    """The risk added up term by term, its gradient by differences, and its minimum below that of other weights."""
+    rng = np.random.default_rng(4)
+    positive, unlabelled, prior = rng.normal(1, 1, (40, 3)), rng.normal(0, 1, (60, 3)), 0.3
+
+    def brute(w):
+        loss = lambda z: math.log(1 + math.exp(z))
+        score = lambda x: sum(a * b for a, b in zip(x, w, strict=True))
+        plus = prior * sum(loss(-score(x)) for x in positive) / 40
+        return plus, sum(loss(score(x)) for x in unlabelled) / 60 - prior * sum(loss(score(x)) for x in positive) / 40
+
+    for w in rng.normal(0, 1, (5, 3)):
+        assert quality.risk(w, positive, unlabelled, prior) == pytest.approx(brute(w))
+        for part, g in enumerate(quality.risk_gradient(w, positive, unlabelled, prior)):
+            slope = [(brute(w + h)[part] - brute(w - h)[part]) / 2e-5 for h in np.eye(3) * 1e-5]
+            assert g == pytest.approx(slope, abs=1e-6)
+    total = lambda w: brute(w)[0] + max(0.0, brute(w)[1])
+    best = quality.fit_pu(positive, unlabelled, prior, l2=0.0, steps=3000)
+    assert all(total(best) <= total(best + rng.normal(0, 0.3, 3)) + 1e-3 for _ in range(50))
+
+
+def test_quality_offset_and_prior_count_all_documents(world):
+    """The share of documents outside the held-out fold that are predicted good is the prior."""
+    docs, labels = world
+    model = quality.fit(docs.select("doc_id", "text"), labels)
+    out = quality.quality_scores(docs, labels).where("NOT held_out AND doc_id IS NOT NULL")
+    assert abs(out.where("predicted = 1").count() / out.count() - model.prior) < 0.02
+    one = docs.sparkSession.createDataFrame([("abc def",), (None,), ("x",)], "text string")
+    scores = np.sort(quality.features(one.toArrow().column(0).combine_chunks()).astype(np.float64) @ np.arange(quality.WIDTH))
+    assert quality.counts_above(one, np.arange(quality.WIDTH, dtype=float), np.array([scores[0] - 1, scores[1] - 1e-3 * abs(scores[1]), scores[2] + 1e3])).tolist() == [3, 3, 2, 0]
+
+
+@pytest.mark.parametrize("l1", [0.3, 4.0])
+def test_ftrl_equals_brute_force(l1):
+    """FTRL-proximal coordinate by coordinate in dictionaries."""
+    rng = random.Random(3)
+    examples, labels = [np.array(sorted(rng.sample(range(32), 5))) for _ in range(200)], [rng.randrange(2) for _ in range(200)]
+    w, bias = toxicity.ftrl(examples, np.array(labels, float), 5, l1=l1)
+    alpha, beta, l2 = 0.15, 1.0, 0.5
+    z, n, b, drift = {}, {}, 0.0, 1.0
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(3):
+        for x, y in zip(examples, labels, strict=True):
+            held = {int(i): weight(int(i)) for i in x}
+            g = 1 / (1 + math.exp(-(sum(held.values()) + b))) - y
+            for i, v in held.items():
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * v
+                n[i] = before + g * g
+            drift += g * g
+            b -= alpha * g / math.sqrt(drift)
+    assert bias == pytest.approx(b) and w == pytest.approx([weight(i) for i in range(32)]) and (l1 < 1 or (w == 0).any())
+
+
+def test_repeated_ids_dont_swell_the_training(make_docs, world, monkeypatch):
+    """An id on thousands of rows, equal ones and different ones: at most the sample's bound is trained on."""
+    _, labels = world
+    docs = make_docs([(1, "the of and")] * 2000 + [(2, f"text {i}") for i in range(500)] + [(3, "to in"), (4, "is was")])
+    plain = make_docs([(1, "the of and"), *[(2, f"text {i}") for i in range(500)], (3, "to in"), (4, "is was")])
+    a, b = (toxicity.fit_labelled(d, labels.where("doc_id < 5"), rows=300) for d in (docs, plain))
+    assert a.bias == b.bias and a.places.tolist() == b.places.tolist()
+    monkeypatch.setattr(quality, "UNLABELLED", 50)
+    sample = quality.training_sample(docs.select("doc_id", "text"), labels, "quality").groupBy("kind", "doc_id").count().collect()
+    assert sum(r["count"] for r in sample if not r.kind) <= 50 and all(r["count"] == 1 for r in sample if r.doc_id == 1)
 
 
 def test_language(world):
@@ -182,6 +253,46 @@ def test_mixing(spark, world):
     assert mixing.mixed(docs.limit(0), labels).count() == 0 and mixing.mixed(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_mixing_equals_brute_force(make_docs):
+    """Posteriors from word counts in dictionaries, and rates by gradient steps on each document's own rate."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(EN if rng.random() < (i % 3) / 2 else DE) for _ in range(rng.randrange(1, 30))), "en" if i % 3 == 2 else "de") for i in range(150)] + [(900, None), (901, "--")]
+    docs = make_docs(rows).withColumnsRenamed({"lang": "domain"}).selectExpr("*", "1 AS __tokens", "'x' AS __rate")
+    model = mixing.classifier(docs, docs.select("doc_id", "domain"))
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    words, seen = {"de": {}, "en": {}}, {"de": 1, "en": 1}
+    for i, text, *lang in rows:
+        kind = lang[0] if lang else "en"
+        if not held(i):
+            seen[kind] += 1
+            for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()):
+                words[kind][x] = words[kind].get(x, 0) + 1
+    size = {k: sum(c.values()) + 0.1 * (1 << mixing.BITS) for k, c in words.items()}
+    tokens, p = [], []
+    for _, text, *_ in rows:
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        log = {k: math.log(seen[k] / sum(seen.values())) for k in words}
+        for k in words:
+            each = [math.log((words[k].get(x, 0) + 0.1) / size[k]) for x in found]
+            log[k] += sum(each) / max(1, len(each)) * min(len(each), mixing.SHARPNESS)
+        total = sum(math.exp(v) for v in log.values())
+        tokens.append(len(found))
+        p.append([math.exp(log["de"]) / total, math.exp(log["en"]) / total])
+    mass = [sum(t * q[k] for t, q in zip(tokens, p, strict=True)) for k in (0, 1)]
+    want = [0.3 * sum(mass), 0.7 * sum(mass)]
+    model, trace = mixing.fit_rates(docs, model, dict(zip(("de", "en"), want, strict=True)))
+    rates = [1.0] * len(rows)
+    for _ in range(len(trace) - 1):
+        miss = [sum(r * t * q[k] for r, t, q in zip(rates, tokens, p, strict=True)) - want[k] for k in (0, 1)]
+        rates = [max(0.0, r - sum(q[k] * miss[k] / mass[k] for k in (0, 1))) for r, q in zip(rates, p, strict=True)]
+    rates = [r if t else 1.0 for r, t in zip(rates, tokens, strict=True)]
+    out, (n, _, rate, copies) = mixing.apply_rates(docs, model)
+    got = {r.doc_id: r for r in out.collect()}
+    for (i, *_), r, t in zip(rows, rates, tokens, strict=True):
+        assert (got[i][n], got[i][rate]) == (t, pytest.approx(r, abs=1e-6)) and got[i][copies] in (math.floor(r + 1e-9), math.ceil(r - 1e-9))
+    assert [sum(r * t * q[k] for r, t, q in zip(rates, tokens, p, strict=True)) for k in (0, 1)] == pytest.approx(want, rel=1e-3)
+
+
 def test_mixing_reaches_skewed_targets(make_docs, caplog):
     """A domain of some 0.2 % of the tokens needs a rate above 16; a target that no rates reach is told."""
     rng = random.Random(8)
@@ -190,28 +301,74 @@ def test_mixing_reaches_skewed_targets(make_docs, caplog):
     model, trace = mixing.fit_rates(docs, model, mixing.tempered(0.5))
     wanted = mixing.tempered(0.5)(np.array([trace[0][k] for k in model.domains]))
     assert np.abs(wanted - [trace[-1][k] for k in model.domains]).sum() <= 1e-4 * wanted.sum() and not caplog.records
-    assert mixing.apply_rates(docs, model).where("lang = 'de'").selectExpr("min(__rate)").first()[0] > 16
+    assert mixing.apply_rates(docs, model)[0].where("lang = 'de'").selectExpr("min(__rate)").first()[0] > 16
     mixing.fit_rates(docs, model, {"de": 10.0, "en": 10.0}, low=1.0)
     assert "not reached" in caplog.text
 
 
 def test_resharding(spark, make_docs, rng, tmp_path):
-    docs = make_docs([(i, "ä" * rng.randrange(200)) for i in range(3000)] + [(None, None), (1, "x"), (1, "x")])
-    out = resharding.shard_report(docs, 7).toPandas()
+    docs = make_docs([(i, "ä" * rng.randrange(200)) for i in range(3000)] + [(None, None), (1, "x"), (1, "x"), (2, "y" * 30_000)])
+    out = resharding.shard_report(docs, str(tmp_path / "r"), 7).toPandas()
     sizes = out.groupby("shard")["size"].sum()
-    assert len(out) == 3003 and sizes.max() - sizes.min() <= out["size"].max()
+    assert len(out) == 3004 and sizes.max() - sizes.min() <= out["size"].max()
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+    want = sorted(((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.collect()), key=str)
+    assert sorted(((None if math.isnan(a) else int(a), b, c) for a, b, c in zip(out["doc_id"], out["size"], out["text_crc32"], strict=True)), key=str) == want
+    assert resharding.shard_report(docs.limit(0), str(tmp_path / "e")).count() == 0
+
+
+def test_reshards_files_with_the_fewest_bytes(spark, make_docs, rng, tmp_path):
+    """Five files to eight shards, with columns of the operator's own names; the rewritten table holds the same rows."""
+    docs = make_docs([(i, "ä" * rng.randrange(200)) for i in range(3000)]).withColumnsRenamed({"lang": "__size", "source": "shard", "score": "__old", "sig": "slot"})
     docs.repartition(5).write.parquet(str(tmp_path / "d"))
     files = spark.read.parquet(str(tmp_path / "d"))
-    placed = resharding.reshard(files, 8).cache()
-    frame = placed.select("__old", "__shard", "__size").toPandas()
-    total = frame["__size"].sum()
-    moved = frame[frame["__old"] != frame["__shard"]]["__size"].sum()
-    least = sum(max(0, s - total / 8) for s in frame.groupby("__old")["__size"].sum())
-    assert moved <= least + 8 * frame["__size"].max()
+    placed = resharding.reshard(files, 8)
+    frame = placed.rows.select(placed.old, placed.shard, placed.size).toPandas()
+    frame.columns = ["old", "new", "size"]
+    total = frame["size"].sum()
+    least = sum(max(0, s - total / 8) for s in frame.groupby("old")["size"].sum())
+    assert frame[frame["old"] != frame["new"]]["size"].sum() <= least + 8 * frame["size"].max()
     assert resharding.write_shards(placed, str(tmp_path / "out")) == list(range(8))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3003
-    assert resharding.shard_report(docs.limit(0)).count() == 0
+    back = resharding.read_shards(spark, str(tmp_path / "out"))
+    assert sorted(map(str, back.select(files.columns).collect())) == sorted(map(str, files.collect()))
+    by_shard = back.groupBy("_shard").agg({"_slot": "max", "doc_id": "count"}).collect()
+    assert len(by_shard) == 8 and all(r["max(_slot)"] + 1 == r["count(doc_id)"] for r in by_shard)
+
+
+def test_files_of_unchanged_shards_are_not_touched(spark, make_docs, tmp_path):
+    """Capacities that equal what the files hold: nothing is rewritten, and the manifest still reads as one table."""
+    docs = make_docs([(i, "x" * 84) for i in range(400)])
+    docs.repartition(4).write.parquet(str(tmp_path / "d"))
+    files = spark.read.parquet(str(tmp_path / "d"))
+    rows = [r.n for r in files.selectExpr("_metadata.file_path AS f").groupBy("f").agg({"*": "count"}).toDF("f", "n").orderBy("f").collect()]
+    placed = resharding.reshard(files, 4, capacities=rows)
+    assert resharding.write_shards(placed, str(tmp_path / "out")) == []
+    back = resharding.read_shards(spark, str(tmp_path / "out"))
+    assert sorted(r.doc_id for r in back.collect()) == list(range(400)) and [r["count"] for r in back.groupBy("shard").count().orderBy("shard").collect()] == rows
+    placed = resharding.reshard(files, 5, capacities=[*rows[:3], rows[3] - 20, 20])
+    assert resharding.write_shards(placed, str(tmp_path / "out")) == [3, 4]
+    back = resharding.read_shards(spark, str(tmp_path / "out"))
+    assert sorted(r.doc_id for r in back.collect()) == list(range(400)) and back.where("shard = 4").count() == 20
+    assert all(r["max"] + 1 == r["n"] for r in back.groupBy("shard").agg({"slot": "max", "doc_id": "count"}).toDF("shard", "max", "n").collect())
+
+
+def test_equal_rows_are_split(spark, make_docs, tmp_path):
+    make_docs([(1, "z" * 84)] * 4000).write.parquet(str(tmp_path / "d"))
+    out = resharding.reshard(spark.read.parquet(str(tmp_path / "d")), 40)
+    sizes = [r["s"] for r in out.rows.groupBy(out.shard).agg({out.size: "sum"}).toDF("shard", "s").collect()]
+    assert len(sizes) == 40 and max(sizes) - min(sizes) <= 100
+
+
+def test_transfers_of_many_files():
+    """Every file is a shard of its own, however many there are: 20,000 files to 40 shards."""
+    rng = random.Random(2)
+    old = [rng.randrange(1, 1000) for _ in range(20_000)]
+    caps = [sum(old) // 40 + (j < sum(old) % 40) for j in range(40)]
+    began = time.time()
+    plan = resharding.plan_transfers(old, caps)
+    assert time.time() - began < 20
+    assert [sum(p.values()) for p in plan] == old and [sum(p.get(j, 0) for p in plan) for j in range(40)] == caps
+    assert all(plan[j].get(j, 0) == old[j] for j in range(40))
 
 
 def test_transfers_are_least(rng):
@@ -230,7 +387,8 @@ def test_neighbours(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(400)]
     vectors += [(1000 + i, vectors[0][1]) for i in range(20)] + [(50, None), (100, [0.0] * 16), (150, [math.nan] * 16), (200, [None] * 16), (250, [1.0, 2.0]), (251, [2.0, 4.0]), (300, [math.inf] * 16), (0, vectors[0][1])]
-    df = spark.createDataFrame([(*v, 1.0) for v in vectors], "vec_id long, embedding array<float>, score double")
+    vectors += [(500, [3e200, 1e200, 0.0]), (501, [3e-200, 2e-200, 0.0]), (502, [-1.0, 0.0, 1e-300]), (503, [5e-324, 0.0, 0.0]), (504, [1.7e308, 1.7e308, 1.7e308])]
+    df = spark.createDataFrame([(*v, 1.0) for v in vectors], "vec_id long, embedding array<double>, score double")
     index = neighbours.build_index(df)
     got = {}
     for r in neighbours.search(index, index.where("vec_id % 50 = 0").select("vec_id", "v")).collect():
@@ -276,5 +434,102 @@ def test_secrets_joined_to_names_and_paths(spark, make_docs, rng):
             start, end = 4 + len(before), 44 + len(before)
             covered += any(int(a) <= start and end <= int(b) for _, a, b in (x.split(":") for x in got[i].split(",") if x))
         assert covered > 30, (before, covered)
-    cells = [x for row in secrets.candidates("donaudampfschifffahrtsgesellschaft=eisenbahnknotenpunkthinundher/a-b", []) for x in row[:2]]
+    cells = [x for row in secrets.candidates(secrets.CANDIDATE.finditer("donaudampfschifffahrtsgesellschaft=eisenbahnknotenpunkthinundher/a-b"), []) for x in row[:2]]
     assert cells == [0, 34, 35, 64, 35, 66]
+
+
+def brute_base(text):
+    """The base kinds by hand, character by character: (start, kind, end)."""
+    found, word = [], string.ascii_letters + string.digits + "+/_.=-"
+    low = "".join(c.lower() if c in string.ascii_uppercase else c for c in text)
+
+    def assign(i):
+        name = next((x for x in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(x, i)), None)
+        if not name:
+            return None
+        k = i + len(name)
+        k += text[k : k + 1] in ('"', "'") and k < len(text)
+        while text[k : k + 1] == " ":
+            k += 1
+        if text[k : k + 1] not in (":", "=") or k >= len(text):
+            return None
+        k += 1
+        # The value may take an equals sign only after what comes between is skipped.
+        while text[k : k + 1] == " ":
+            k += 1
+        k += text[k : k + 1] in ('"', "'") and k < len(text)
+        end = k
+        while end < len(text) and text[end] in word:
+            end += 1
+        return (end, end - k) if end > k else None
+
+    def run(start, letters):
+        end = start
+        while end < len(text) and text[end] in letters:
+            end += 1
+        return end
+
+    i = 0
+    while i < len(text):
+        hit = assign(i)
+        if hit and hit[1] >= 6:
+            found.append((i, 0, hit[0]))
+        i = hit[0] if hit else i + 1
+    i = 0
+    while i < len(text):
+        if text.startswith("AKIA", i) and (end := run(i + 4, string.ascii_uppercase + string.digits)) > i + 4:
+            if end - i >= 20:
+                found.append((i, 1, end))
+            i = end
+        else:
+            i += 1
+    i = 0
+    while i < len(text):
+        end = run(i, string.digits + "abcdef")
+        if end - i >= 24:
+            found.append((i, 2, end))
+        i = max(end, i + 1)
+    return sorted(found)
+
+
+def test_base_spans_equal_brute_force(spark, make_docs, rng):
+    """Random texts of what the kinds are made of, spans and their digest."""
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCDEFGH", "0123456789", "abcdef", "é", "K", ".", "\n", "x", "deadbeef", "+/"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(1500)] + ["secret=" + "a" * 100_000 + " AKIA" + "B" * 100_000, None, "", "AKIA" * 9]
+    rows = secrets.scan(make_docs([*enumerate(texts), (0, texts[0])])).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        want = brute_base(texts[r.doc_id] or "")
+        listed = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, j, _ in want) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+
+
+def test_battery_equals_brute_force(rng):
+    """The three tests written out by their formulas, and their p-values on random strings, which are seldom small."""
+    low = 0
+    for name in ("hex", "base32", "base62", "decimal"):
+        letters = secrets.ALPHABETS[name]
+        for _ in range(100):
+            run = "".join(rng.choice(letters) for _ in range(rng.randrange(20, 60)))
+            n, size, at = len(run), len(letters), [letters.index(c) for c in run]
+            tail = lambda z: math.erfc(abs(z) / math.sqrt(2))
+            k = min(8, size)
+            bucket = sum((sum(a % k == j for a in at) - e) ** 2 / e for j in range(k) for e in [n * sum(i % k == j for i in range(size)) / size])
+            p = secrets.chi_squared_tail(bucket, k - 1)
+            chi = sum((at.count(i) - n / size) ** 2 / (n / size) for i in range(size))
+            if chi > size - 1:
+                p = min(p, tail((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)))
+            p1 = min(1, 2 * p)
+            signs = [a * 2 >= size for a in at]
+            a, b = sum(signs), n - sum(signs)
+            mu = 2 * a * b / n + 1
+            p2 = tail((1 + sum(x != y for x, y in itertools.pairwise(signs)) - mu) / math.sqrt((mu - 1) * (mu - 2) / (n - 1)))
+            mean = sum(at) / n
+            serial = sum((x - mean) * (y - mean) for x, y in itertools.pairwise(at)) / sum((x - mean) ** 2 for x in at)
+            p3 = tail((serial + 1 / n) * math.sqrt(n))
+            got = secrets.battery(run, letters)
+            assert got == pytest.approx(min(1, 3 * min(p1, p2, p3)))
+            low += got < 0.05
+    assert low < 40 and secrets.battery("a" * 30, secrets.ALPHABETS["hex"]) < 1e-6 and secrets.battery("01" * 15, secrets.ALPHABETS["hex"]) < 1e-3

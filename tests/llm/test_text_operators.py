@@ -108,9 +108,12 @@ def components(docs):
     return sorted(((d, len(s), None if d is None else least[find(i)]) for i, ((d, _), s) in enumerate(zip(docs, sets, strict=True))), key=str)
 
 
-@pytest.mark.parametrize("chunk", [1 << 19, 150])
-def test_jaccard_components(make_docs, rng, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk,routed,common", [(1 << 19, 32, 100_000), (150, 32, 3), (150, 1, 0), (60, 2, 100_000)])
+def test_jaccard_components(make_docs, rng, chunk, routed, common, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", chunk)
+    monkeypatch.setattr(jaccard, "ROUTED", routed)
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "SPREAD", 3)
     base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(30, 90))] for _ in range(12)]
     shared = [f"s{i}" for i in range(25)]
     docs = []
@@ -126,3 +129,14 @@ def test_jaccard_components(make_docs, rng, chunk, monkeypatch):
         left = sorted(str(r.doc_id) for r in jaccard.one_of_each(make_docs(docs)).collect())
         assert left == sorted({str(d) for d, n, c in got if d == c or n == 0})
         assert jaccard.shingle_components(make_docs(docs).limit(0)).count() == 0
+
+
+def test_one_of_each_keeps_other_texts_of_an_id(make_docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (8, c), (8, c), (8, c.upper()), (9, b + " more"), (9, None), (9, None), (None, a), (None, a), (10, "x" * 200_000), (11, "w " * 60_000)]
+    df = make_docs(rows).withColumnsRenamed({"source": "__id", "lang": "__key", "sig": "prefix"})
+    left = jaccard.one_of_each(df)
+    assert left.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    kept = [(3, a), (7, b), (9, None), (9, None), (None, a), (None, a), (10, "x" * 200_000), (11, "w " * 60_000)]
+    assert got in (sorted([*kept, (8, x)], key=str) for x in (c, c.upper()))
