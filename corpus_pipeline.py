@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs.
+
+Nulls: null or empty texts are neither toxic, nor copies, nor contaminated, and
+count as no tokens: they pass all stages once. Rows with a null doc_id link with
+nothing and pass likewise unless toxic or contaminated. Equal rows are one
+document from the second stage on; texts of one doc_id stand or fall each for
+itself. Empty tables pass as empty; with an empty ``labels`` nothing is toxic and all
+is one domain; with an empty ``benchmark`` nothing is contaminated. Very long texts
+are scored whole. Extra columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,14 +19,15 @@ from pyspark.sql import functions as F
 
 from spanwise.llm import decontaminate, jaccard, mixing, resharding, toxicity
 from spanwise.llm.queries import language_labels
-from spanwise.llm.shared import stage_table
+from spanwise.llm.shared import Scratch, fresh, stage_table, unstage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects (score of 0.5 or more) go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.fit_labelled(docs, labels), "__toxic")
-    return scored.where(F.col("__toxic") < 0.5).drop("__toxic")
+    (score,) = fresh(docs, "__toxic")
+    scored = toxicity.score(docs, toxicity.fit_labelled(docs, labels), score)
+    return scored.where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +46,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard (of 40 of near-equal bytes) and slot, moving the fewest bytes from the files they lie in."""
+    """Documents with their shard (of 40 of near-equal bytes) and slot, moving the fewest bytes from the files they lie in.
+
+    Columns that are called so already keep their names; the stage's own ones get underscores before.
+    """
     out = resharding.reshard(docs)
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    return out.select(*kept, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    shard_, slot = fresh(docs, "shard", "slot")
+    return out.rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(out.shard).alias(shard_), F.col(out.slot).alias(slot))
 
 
 STAGES = [
@@ -56,8 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to ``documents``; of the tables in the shared folder only the result's stays."""
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with Scratch(spark) as scratch:
+            after = scratch.keep(stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if docs is not before:
+            unstage(docs)
+        docs = after
     return docs
