@@ -68,11 +68,11 @@ def parse_flags(text: str) -> int:
 
 
 def quantize(value: Column, digits: int) -> Column:
-    """Round to significant digits; zero, null and non-finite values stay."""
+    """Round to significant digits, halves away from zero; zero, null and non-finite values stay, and those whose power of ten is no double."""
     plain = value.cast("double")
     factor = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(plain))))
-    finite = (plain != 0) & ~F.isnan(plain) & (F.abs(plain) < float("inf"))
-    return F.when(finite, F.rint(plain * factor) / factor).otherwise(plain)
+    finite = (plain != 0) & ~F.isnan(plain) & (F.abs(plain) < float("inf")) & (factor > 0) & (factor < float("inf"))
+    return F.when(finite, F.round(plain * factor) / factor).otherwise(plain)
 
 
 def format_g(value: float | None, digits: int = 6) -> str:

@@ -17,7 +17,7 @@ def combine(tracks: dict[str, Track], value: Column, fill=None) -> Track:
     """A track computed base by base from several, named as columns of ``value``."""
     wide = next((t for t in tracks.values() if t.labels != ("",)), next(iter(tracks.values())))
     runs = overlay(tracks).select("contig", "start", "end", "label", value.alias("value"))
-    return replace(wide, runs=collapse(runs), fill=fill)
+    return replace(wide, runs=collapse(runs, wide.reference.bucket()), fill=fill)
 
 
 def concat(tracks: list[Track]) -> Track:
@@ -46,11 +46,15 @@ def thresholds(track: Track, levels: list) -> DataFrame:
 
 def across_labels(track: Track, **aggregates: Column) -> DataFrame:
     """(contig, start, end, one column for each aggregate of ``value``) over all labels of each base, fill included."""
-    spark = track.runs.sparkSession
-    single = {f"c{i}": replace(track.select([x]), labels=("",), runs=track.runs.where(F.col("label") == x).withColumn("label", F.lit(""))) for i, x in enumerate(track.labels)}
-    both = overlay(single).select("contig", "start", "end", F.explode(F.array(*single)).alias("value"))
-    found = both.groupBy("contig", "start", "end").agg(*[a.alias(n) for n, a in aggregates.items()])
-    return collapse(found, ("contig",), tuple(aggregates)) if spark else found
+    bucket = track.reference.bucket()
+    # One scan whatever the number of labels: each label's runs cover a bucket, and break points of any cut all.
+    cut = track.cover().split(bucket).select("contig", "bucket", "value", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    marks = cut.select("contig", "bucket", F.explode(F.array("lo", "hi")).alias("start")).distinct()
+    ends = F.lead("start").over(Window.partitionBy("contig", "bucket").orderBy("start"))
+    segments = marks.withColumn("end", ends).where("end IS NOT NULL")
+    met = segments.join(cut, ["contig", "bucket"]).where("lo <= start AND start < hi")
+    found = met.groupBy("contig", "bucket", "start", "end").agg(*[a.alias(n) for n, a in aggregates.items()])
+    return collapse(found.drop("bucket"), bucket, ("contig",), tuple(aggregates))
 
 
 def binned(track: Track, width: int, aggregate: str = "mean") -> DataFrame:

@@ -10,7 +10,7 @@ from ..plans.track import Track
 
 
 def clip_to_regions(track: Track, regions: DataFrame, bucket: int | None = None) -> DataFrame:
-    """(region_id, label, value, lo, n): each run cut to each region it meets.
+    """(region_id, bucket, label, value, lo, n): each run cut to each region it meets.
 
     Both sides are cut at bucket bounds and joined on (contig, bucket), so each
     base counts once for each region, and long runs or regions spread over tasks.
@@ -20,7 +20,7 @@ def clip_to_regions(track: Track, regions: DataFrame, bucket: int | None = None)
     asked = asked.select("region_id", "contig", "bucket", F.greatest("start", F.col("bucket") * bucket).alias("r_start"), F.least("end", (F.col("bucket") + 1) * bucket).alias("r_end"))
     met = track.split(bucket).join(asked, ["contig", "bucket"]).where("start < r_end AND r_start < end")
     lo, hi = F.greatest("start", "r_start"), F.least("end", "r_end")
-    return met.select("region_id", "label", "value", lo.alias("lo"), (hi - lo).alias("n"))
+    return met.select("region_id", "bucket", "label", "value", lo.alias("lo"), (hi - lo).alias("n"))
 
 
 def overlay(tracks: dict[str, Track]) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_EXTENT = (1 << 63) - 1
+RESERVED = {"position", "contig", "contig_id", "contig_length", "contig_md5", "reference"}
 
 
 def bin_width(dim: str) -> int | None:
@@ -20,6 +22,11 @@ def bin_width(dim: str) -> int | None:
     return int(tail) if head == "bin" and tail.isascii() and tail.isdigit() and tail[0] != "0" else None
 
 
+def reserved(name: str) -> bool:
+    """Names that no track may have: the axes' own and all that look like bins, also of a width that none can have."""
+    return name in RESERVED or name.startswith("bin_")
+
+
 class Reference(Mapping):
     """Ordered contigs (name, length). Immutable; two references are the same if names, lengths and order agree."""
 
@@ -37,6 +44,7 @@ class Reference(Mapping):
             raise ValueError("the reference is longer than 2**63 - 1")
         self.offsets, self.total = tuple(offsets[:-1]), offsets[-1]
         self._index = {n: i for i, n in enumerate(names)}
+        self._starts: dict[int, list[int]] = {}
 
     def __getitem__(self, name: str) -> int:
         return self._contigs[self.ord(name)][1]
@@ -76,7 +84,7 @@ class Reference(Mapping):
 
     def size(self, dim: str) -> int:
         """Extent of a genomic dimension; bins restart in each contig and the last one may be short."""
-        return sum(-(-x // self._width(dim)) for x in self.lengths)
+        return self._first_rows(self._width(dim))[-1]
 
     def resolve(self, contig: str, start: int | None = None, end: int | None = None) -> tuple[str, int, int]:
         """Half-open range with open ends filled in; empty or outside ranges are errors, never clipped."""
@@ -90,22 +98,26 @@ class Reference(Mapping):
         """Rows of ``dim`` that intersect a range."""
         width = self._width(dim)
         contig, start, end = self.resolve(contig, start, end)
-        base = sum(-(-x // width) for x in self.lengths[: self.ord(contig)])
+        base = self._first_rows(width)[self.ord(contig)]
         return base + start // width, base - (-end // width)
 
     def interval(self, row: int, dim: str = "position") -> tuple[str, int, int]:
         """The range of one row of ``dim``."""
         width = self._width(dim)
-        starts = [0]
-        for x in self.lengths:
-            starts.append(starts[-1] - (-x // width))
+        starts = self._first_rows(width)
         if not 0 <= row < starts[-1]:
-            raise IndexError(f"row {row} is outside of {dim}")
+            raise ValueError(f"row {row} is outside of {dim}")
         at = bisect_right(starts, row) - 1
         name, length = self._contigs[at]
         lo = (row - starts[at]) * width
         return name, lo, min(lo + width, length)
 
+    def _first_rows(self, width: int) -> list[int]:
+        """The first row of each contig at a width, and the number of all rows."""
+        if width not in self._starts:
+            self._starts[width] = list(accumulate((-(-x // width) for x in self.lengths), initial=0))
+        return self._starts[width]
+
     def _width(self, dim: str) -> int:
         width = bin_width(dim)
         if width is None:

@@ -15,7 +15,7 @@ from .reference import Reference
 
 @dataclass(frozen=True)
 class Track:
-    """Runs (contig, start, end, label, value), not overlapping within a label. NULL is missing.
+    """Runs (contig, start, end, label, value), not overlapping within a label. NULL is missing, and so is NaN: it becomes NULL here.
 
     ``fill`` is the value of bases that no run covers (None: missing). ``labels``
     are in stored order; a track without a column axis has the one label ''.
@@ -27,6 +27,14 @@ class Track:
     fill: float | int | bool | None = None
     dim: str = "sample"
 
+    def __post_init__(self):
+        if self.runs.schema["value"].dataType.typeName() in ("float", "double") and not hasattr(self.runs, "_without_nan"):
+            runs = self.runs.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+            runs._without_nan = True
+            object.__setattr__(self, "runs", runs)
+        if isinstance(self.fill, float) and self.fill != self.fill:
+            object.__setattr__(self, "fill", None)
+
     def select(self, labels: Iterable[str]) -> Track:
         """Columns by label, in the requested order; an unknown label is an error."""
         labels = tuple(labels)

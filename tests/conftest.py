@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -13,3 +15,8 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def rng():
+    return random.Random(5)

@@ -1,7 +1,7 @@
 import pytest
 
 from spanwise.functions.grammar import RegionQuery, format_g, human_bytes, parse_flags, parse_region
-from spanwise.plans.reference import Reference, bin_width
+from spanwise.plans.reference import Reference, bin_width, reserved
 
 
 def test_rows_and_intervals_of_bins():
@@ -10,7 +10,7 @@ def test_rows_and_intervals_of_bins():
     assert ref.rows("chr2", 3, 5, "bin_4") == (2, 4)
     assert ref.interval(3, "bin_4") == ("chr2", 4, 7)
     assert all(ref.rows(*ref.interval(i, "bin_4"), "bin_4") == (i, i + 1) for i in range(4))
-    with pytest.raises(IndexError):
+    with pytest.raises(ValueError):
         ref.interval(4, "bin_4")
 
 
@@ -28,6 +28,7 @@ def test_references():
     with pytest.raises(KeyError):
         Reference([("a", 1)])["b"]
     assert bin_width("bin_10") == 10 and bin_width("bin_0") is bin_width("bin_04") is bin_width("sample") is None
+    assert all(map(reserved, ["position", "contig", "bin_0", "bin_01", "bin_x", "bin_5"])) and not reserved("binned")
 
 
 def test_region_texts():
