@@ -116,6 +116,33 @@ def bgzf(data: bytes):
         at += size
 
 
+class BgzfWriter:
+    """Writes BGZF to an open file: blocks of at most 64 KiB, and the empty one that ends a file."""
+
+    BLOCK = 0xFF00
+
+    def __init__(self, out):
+        self.out, self.held = out, bytearray()
+
+    def write(self, data: bytes) -> None:
+        self.held += data
+        while len(self.held) >= self.BLOCK:
+            self._block(bytes(self.held[: self.BLOCK]))
+            del self.held[: self.BLOCK]
+
+    def _block(self, raw: bytes) -> None:
+        deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = deflate.compress(raw) + deflate.flush()
+        head = struct.pack("<4BI2BH2sHH", 0x1F, 0x8B, 8, 4, 0, 0, 0xFF, 6, b"BC", 2, len(body) + 25)
+        self.out.write(head + body + struct.pack("<II", zlib.crc32(raw), len(raw)))
+
+    def close(self) -> None:
+        if self.held:
+            self._block(bytes(self.held))
+        self._block(b"")
+        self.out.close()
+
+
 class _Stream:
     """Reads exact counts of bytes from blocks."""
 

@@ -18,15 +18,19 @@ def watch_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def append_stream(runs: DataFrame, store_path: str, track: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch's new labels become columns of ``track``; a label that is there already is skipped, so replays are harmless."""
+    """Each micro-batch's rows join ``track``; labels that aren't there become new columns, wherever a label's rows arrive.
 
-    def add(batch: DataFrame, _: int) -> None:
+    The store's metadata keeps the number of the last batch of this checkpoint, in the
+    same step that makes its rows count: a replayed batch does nothing. A base that
+    arrives again, in a later batch, has its later value.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
         store = open_store(batch.sparkSession, store_path, read_only=False)
         known = store.meta["tracks"][track]
-        batch = batch.persist()
-        fresh = sorted({r.label for r in batch.select("label").distinct().collect()} - set(known["labels"]))
-        if fresh:
-            store.append(track, Track(batch.where(F.col("label").isin(*fresh)).withColumn("value", F.col("value").cast(known["dtype"])), store.reference, tuple(fresh), known["fill"], known["dim"]))
-        batch.unpersist()
+        labels = sorted(r.label for r in batch.select("label").distinct().collect())  # as many as columns
+        if labels:
+            typed = batch.withColumn("value", F.col("value").cast(known["dtype"]))
+            store.append(track, Track(typed, store.reference, tuple(labels), known["fill"], known["dim"]), (checkpoint, number))
 
     return runs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
