@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.reference import Reference
 from ..plans.track import Track
@@ -27,6 +30,36 @@ def _pieces(track: Track, regions: DataFrame, bucket: int | None = None) -> tupl
     return cells, found.unionByName(rest.select(*KEYS, F.lit(track.fill).cast(kind).alias("value"), F.lit(None).cast("long").alias("lo"), "n"))
 
 
+#: Bins of a region's distinct values, of about equal numbers of them.
+BINS = 64
+
+
+def at_ranks(have: DataFrame, ranks: list, interpolate: bool = True) -> DataFrame:
+    """(region_id, label, total, values): for each of ``ranks`` (functions of the total of bases) the value there, interpolated linearly between whole ranks or the lower one.
+
+    Counts by value are cut into BINS bins of each region and label, whose bounds come
+    from a sketch. Running sums over the bins tell which hold the ranks; only those
+    bins' values are put in order, so no task holds all values of a region.
+    """
+    counts = have.groupBy(*KEYS, "value").agg(F.sum("n").alias("n"))
+    cuts = counts.groupBy(*KEYS).agg(F.percentile_approx("value", [k / BINS for k in range(1, BINS)], 1000).alias("cuts"))
+    binned = counts.join(cuts, KEYS).select(*KEYS, "value", "n", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("bin"))
+    order = Window.partitionBy(*KEYS).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = binned.groupBy(*KEYS, "bin").agg(F.sum("n").alias("m"))
+    bins = bins.select(*KEYS, "bin", (F.sum("m").over(order) - F.col("m")).alias("before"), "m", F.sum("m").over(Window.partitionBy(*KEYS)).alias("total"))
+    wanted = [(F.floor(r(F.col("total"))), F.ceil(r(F.col("total")))) for r in ranks]
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("m"))
+    held = functools.reduce(lambda a, b: a | b, [holds(k) for pair in wanted for k in pair])
+    inside = Window.partitionBy(*KEYS, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    rows = binned.join(bins.where(held).select(*KEYS, "bin", "before", "total"), [*KEYS, "bin"])
+    rows = rows.withColumns({"before": F.col("before") + F.sum("n").over(inside) - F.col("n"), "m": F.col("n")})
+    at = lambda k: F.max(F.when(holds(k), F.col("value")))
+    found = rows.groupBy(*KEYS, "total").agg(*[at(k).alias(f"{side}{i}") for i, pair in enumerate(wanted) for side, k in zip(("lo", "hi"), pair, strict=True)])
+    part = lambda i: ranks[i](F.col("total")) - wanted[i][0]
+    value = lambda i: F.when(part(i) == 0, F.col(f"lo{i}").cast("double")).otherwise((1 - part(i)) * F.col(f"lo{i}") + part(i) * F.col(f"hi{i}"))
+    return found.select(*KEYS, "total", F.array(*[value(i) if interpolate else F.col(f"lo{i}") for i in range(len(ranks))]).alias("values"))
+
+
 def reduce_regions(track: Track, regions: DataFrame, reducer: str, *, q=None, ddof: int | None = None, skipna: bool = True, by=None, bucket: int | None = None, **unknown) -> DataFrame:
     """(region_id, label, value) for each region and label; bases without a value are missing.
 
@@ -60,6 +93,11 @@ def reduce_regions(track: Track, regions: DataFrame, reducer: str, *, q=None, dd
         left = F.col("count") - (ddof or 0)
         out = F.when(left > 0, F.col("squares") / F.when(left > 0, left))
         found = squares.select(*KEYS, "count", (F.sqrt(out) if reducer == "std" else out).alias("value"))
+    elif reducer in ("median", "quantile") and not numeric:
+        # Floats may all differ; integers are counted by value in one buffer.
+        fractions = [float(x) for x in wanted] if reducer == "quantile" else [0.5]
+        found = at_ranks(have, [lambda total, f=f: (total - 1) * F.lit(f) for f in fractions])
+        found = found.select(*KEYS, (F.col("values") if reducer == "quantile" else F.col("values")[0]).alias("value"), F.col("total").alias("count"))
     else:
         how = {
             "sum": total, "mean": total.cast("double") / count, "min": F.min("value"), "max": F.max("value"), "count": count,
@@ -128,13 +166,10 @@ def stat(track: Track, regions: DataFrame | None, statistic: str) -> DataFrame:
 
 
 def lower_median(track: Track, regions: DataFrame) -> DataFrame:
-    """The lower of the middle values, from counts of values: percentile_disc over runs."""
+    """The lower of the middle values: percentile_disc over runs."""
     cells, pieces = _pieces(track, regions)
-    counts = pieces.where("value IS NOT NULL").groupBy(*KEYS, F.col("value").cast("long").alias("value")).agg(F.sum("n").alias("n"))
-    listed = counts.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("v"), F.sum("n").alias("total"))
-    step = lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["value"].isNull() & (2 * (acc["seen"] + x["n"]) >= F.col("total")), x["value"]).otherwise(acc["value"]).alias("value"))
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("value"))
-    middle = listed.select(*KEYS, F.aggregate("v", start, step, lambda acc: acc["value"]).alias("value"))
+    have = pieces.where("value IS NOT NULL").withColumn("value", F.col("value").cast("long"))
+    middle = at_ranks(have, [lambda total: F.floor((total - 1) / 2)], interpolate=False).select(*KEYS, F.col("values")[0].alias("value"))
     return cells.join(middle, KEYS, "left").select("region_id", "ord", "label", "value").orderBy("region_id", "ord")
 
 

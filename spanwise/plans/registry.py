@@ -1,21 +1,32 @@
 """Registered queries over the shared tables, each with its DuckDB equivalent.
 
 The tables stand in for genomic ones: l_returnflag is the contig (A, N, R, of
-2,500 days each), the day since 1995-01-01 the position, l_linestatus the sample.
-``depth`` is the day's summed quantity, with the value missing on days ending in 3.
-Alignments are lineitem rows from order date to ship date.
+the 2,500 days that ship dates span), the day since 1995-01-01 the position,
+l_linestatus the sample. ``depth`` is the day's summed quantity, with the value
+missing on days ending in 3. Alignments are lineitem rows from order date to ship date.
+
+The ``long_`` queries have contigs that grow with the data: each order has SPACING
+positions, each of its lines a run of 60 or 100 of them, with NaN for the values of
+every tenth order; regions are those of the parts, some 5,000 to 8,000 positions each.
+The queries of files and stores write what they read in the shared folder first.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.grammar import quantize
 from ..operators import algebra, mask, pileup, reduce, runs
+from ..sources import files
+from ..sources import store as stores
+from ..sources import text as sources
 from ..sources.text import last_wins
+from ..streaming import append
 from .reference import Reference
 from .track import Track, as_regions, points_track
 
@@ -32,7 +43,7 @@ REGIONS = [("A", 100, 400), ("N", 0, 2500), ("A", 300, 700), ("R", 1000, 1001),
 PTS = """pts AS (
   SELECT l_returnflag AS contig, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS pos, l_linestatus AS label,
          CASE WHEN date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 10 <> 3 THEN CAST(sum(l_quantity) AS BIGINT) END AS v, count(*) AS c
-  FROM lineitem WHERE date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) BETWEEN 0 AND 2499 GROUP BY ALL)"""
+  FROM lineitem GROUP BY ALL)"""
 PTS = PTS.replace("GROUP BY ALL", "GROUP BY l_returnflag, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)), l_linestatus")
 REG = "reg AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', {s}, {e})" for i, (c, s, e) in enumerate(REGIONS)) + ") t(region_id, contig, s, e))"
 LAB = "lab AS (SELECT * FROM (VALUES ('F'), ('O')) t(label))"
@@ -58,7 +69,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(contig, pos, label, value, c): a day's quantity (missing on days ending in 3) and rows."""
     pos = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("contig"), pos.alias("pos"), F.col("l_linestatus").alias("label"), "l_quantity")
-    days = rows.where(F.col("pos").between(0, DAYS - 1)).groupBy("contig", "pos", "label").agg(F.sum("l_quantity").cast("long").alias("q"), F.count(F.lit(1)).alias("c"))
+    days = rows.groupBy("contig", "pos", "label").agg(F.sum("l_quantity").cast("long").alias("q"), F.count(F.lit(1)).alias("c"))
     return days.select("contig", "pos", "label", F.when(F.col("pos") % 10 != 3, F.col("q")).alias("value"), "c")
 
 
@@ -132,14 +143,16 @@ def stat_hist_union(spark, sf_dir):
     return reduce.stat(count_track(spark, sf_dir), regions(spark), "hist")
 
 
-ORDERS = "ord AS (SELECT o_orderstatus AS contig, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS s, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 + o_custkey % 3 AS e FROM orders WHERE o_custkey % 7 = 0)"
-ORDER_REFERENCE = Reference([("F", 4000), ("O", 4000), ("P", 4000)])
+#: Every order as an interval of 1 to 30 days; customers are dealt to 251 contigs a status, so that gaps and overlaps both stay.
+ORDERS = "ord AS (SELECT o_orderstatus || '-' || o_custkey % 251 AS contig, o_orderkey AS line, CAST(o_custkey % 10 AS BIGINT) AS v, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS s, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 + o_orderkey % 30 AS e FROM orders)"
+ORDER_REFERENCE = Reference([(f"{status}-{k}", 4000) for status in "FOP" for k in range(251)])
 
 
-def order_intervals(spark, sf_dir) -> DataFrame:
+def order_lines(spark, sf_dir) -> DataFrame:
+    """(contig, start, end, label, value, line) of every order."""
     start = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
-    rows = table(spark, sf_dir, "orders").where("o_custkey % 7 = 0")
-    return rows.select(F.col("o_orderstatus").alias("contig"), start.alias("start"), (start + 1 + F.col("o_custkey") % 3).alias("end"))
+    contig = F.concat_ws("-", "o_orderstatus", F.col("o_custkey") % 251)
+    return table(spark, sf_dir, "orders").select(contig.alias("contig"), start.alias("start"), (start + 1 + F.col("o_orderkey") % 30).alias("end"), F.lit("").alias("label"), (F.col("o_custkey") % 10).cast("long").alias("value"), F.col("o_orderkey").alias("line"))
 
 
 ISLANDS = f"WITH {ORDERS}, m AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ord), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m), isl AS (SELECT contig, CAST(min(s) AS BIGINT) AS s, CAST(max(e) AS BIGINT) AS e FROM g GROUP BY contig, k)"
@@ -147,12 +160,12 @@ ISLANDS = f"WITH {ORDERS}, m AS (SELECT *, max(e) OVER (PARTITION BY contig ORDE
 
 @query("interval_coalesce", f'{ISLANDS} SELECT contig, s AS start, e AS "end" FROM isl')
 def interval_coalesce(spark, sf_dir):
-    return mask.coalesce_intervals(order_intervals(spark, sf_dir)).select("contig", "start", "end")
+    return mask.coalesce_intervals(order_lines(spark, sf_dir), ORDER_REFERENCE.bucket()).select("contig", "start", "end")
 
 
 @query("interval_mask_bases", f"{ISLANDS}, t AS (SELECT contig, sum(e - s) AS n FROM isl GROUP BY contig) SELECT contig, CAST(n AS BIGINT) AS masked, CAST(4000 - n AS BIGINT) AS unmasked FROM t")
 def interval_mask_bases(spark, sf_dir):
-    cover = mask.interval_mask(order_intervals(spark, sf_dir), ORDER_REFERENCE).cover().runs
+    cover = mask.interval_mask(order_lines(spark, sf_dir), ORDER_REFERENCE).cover().runs
     n = F.col("end") - F.col("start")
     return cover.groupBy("contig").agg(F.sum(F.when(F.col("value"), n).otherwise(0)).alias("masked"), F.sum(F.when(~F.col("value"), n).otherwise(0)).alias("unmasked")).where("masked > 0")
 
@@ -220,21 +233,23 @@ def pileup_filtered(spark, sf_dir):
     return _depth_bases(pileup.sweep(lineitem_reads(spark, sf_dir).where("mapq >= 3"), READ_REFERENCE, LABELS))
 
 
-@query("mate_dedup_depth", "WITH r AS (SELECT l_returnflag AS contig, l_orderkey AS q, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s, l_linenumber AS k FROM lineitem WHERE l_linenumber IN (1, 2)), s AS (SELECT contig, q, s, k FROM (SELECT *, row_number() OVER (PARTITION BY q, k ORDER BY contig, s) AS n FROM r) WHERE n = 1), b AS (SELECT contig, q, k, s + i AS p FROM s CROSS JOIN (SELECT unnest(range(20)) AS i)), u AS (SELECT DISTINCT contig, q, p FROM b) SELECT contig, count(*) AS bases, CAST(sum(n) AS BIGINT) AS depth_sum, max(n) AS depth_max FROM (SELECT contig, p, count(*) AS n FROM u GROUP BY contig, p) GROUP BY contig")
+@query("mate_dedup_depth", "WITH r AS (SELECT l_returnflag AS contig, l_orderkey AS q, l_linenumber // 2 AS h, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY contig, q, h ORDER BY s) AS n FROM r), f AS (SELECT contig, q, h, s AS fs FROM k WHERE n = 1), b AS (SELECT k.contig, k.s + i AS p FROM k JOIN f USING (contig, q, h) CROSS JOIN (SELECT unnest(range(20)) AS i) WHERE NOT (k.n = 2 AND k.s + i < fs + 20)) SELECT contig, count(*) AS bases, CAST(sum(n) AS BIGINT) AS depth_sum, max(n) AS depth_max FROM (SELECT contig, p, count(*) AS n FROM b GROUP BY contig, p) GROUP BY contig")
 def mate_dedup_depth(spark, sf_dir):
-    """Lines 1 and 2 of an order as mates of 20 bases: where they overlap, a base counts once."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber IN (1, 2)")
+    """Neighbouring lines of an order as mates of 20 bases: where the first two overlap, a base counts once."""
     start = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
-    one = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_returnflag", start.alias("start"))).alias("r")).select("r.l_returnflag", "l_orderkey", "l_linenumber", "r.start")
-    other = one.select(F.col("l_returnflag").alias("f"), F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("k"), F.col("start").alias("mate_start"))
-    pairs = one.join(other, (F.col("l_orderkey") == F.col("q")) & (F.col("l_linenumber") + F.col("k") == 3), "left")
-    flag = F.when(F.col("k").isNotNull(), 0x1 | 0x2).otherwise(0x1 | 0x8)
-    reads = pairs.select(
-        F.concat_ws("-", "l_returnflag", "l_orderkey").alias("qname"), F.col("l_returnflag").alias("contig"), F.lit("").alias("label"), flag.alias("flag"), "start", F.lit(60).alias("mapq"), F.lit("20M").alias("cigar"),
-        F.coalesce("mate_start", F.lit(-1)).alias("mate_start"), F.coalesce(F.col("f") == F.col("l_returnflag"), F.lit(False)).alias("same_contig"), F.lit("*").alias("seq"), F.lit("*").alias("qual"), F.col("l_linenumber").cast("long").alias("line"),
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_returnflag", "l_orderkey", F.floor(F.col("l_linenumber") / 2)).alias("qname"), F.col("l_returnflag").alias("contig"), start.alias("start"),
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line"),
+    )
+    order = Window.partitionBy("contig", "qname").orderBy("start", "line")
+    other = F.coalesce(F.lead("start").over(order), F.lag("start").over(order))
+    reads = rows.select(
+        "*", F.lit("").alias("label"), F.when(other.isNotNull(), 0x1 | 0x2).otherwise(0x1 | 0x8).alias("flag"), F.lit(60).alias("mapq"), F.lit("20M").alias("cigar"),
+        F.coalesce(other, F.lit(-1)).alias("mate_start"), F.lit(True).alias("same_contig"), F.lit("*").alias("seq"), F.lit("*").alias("qual"),
     )
-    runs_ = pileup.depth(reads, READ_REFERENCE, pileup.PileupOptions(mates="all")).runs
-    return runs_.groupBy("contig").agg(F.count(F.lit(1)).alias("bases"), F.sum("value").alias("depth_sum"), F.max("value").cast("long").alias("depth_max"))
+    runs_ = pileup.depth(reads, READ_REFERENCE).runs
+    n = F.col("end") - F.col("start")
+    return runs_.groupBy("contig").agg(F.sum(n).alias("bases"), F.sum(F.col("value") * n).alias("depth_sum"), F.max("value").cast("long").alias("depth_max"))
 
 
 @query("callable_fraction", f"WITH {PTS}, {LAB}, t AS (SELECT contig, label, count(*) FILTER (c >= 3) AS n FROM pts GROUP BY contig, label) SELECT lab.label, CAST(coalesce(sum(n), 0) AS BIGINT) AS bases, round(coalesce(sum(n), 0) / 7500.0, 6) AS fraction FROM lab LEFT JOIN t USING (label) GROUP BY lab.label")
@@ -309,65 +324,15 @@ _sets("interval_union", "or", "a OR b")
 _sets("interval_except", "andnot", "a AND NOT b")
 
 
-@query("bed_last_wins", f"WITH b AS (SELECT o_orderstatus AS contig, o_orderkey AS line, CAST(o_custkey % 10 AS BIGINT) AS v, unnest(range(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)), date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 + o_custkey % 3)) AS p FROM orders WHERE o_custkey % 7 = 0), w AS (SELECT contig, p, arg_max(v, line) AS v FROM b GROUP BY contig, p) SELECT contig, v AS value, count(*) AS bases FROM w GROUP BY contig, v")
+@query("bed_last_wins", f"WITH {ORDERS}, b AS (SELECT contig, line, v, unnest(range(s, e)) AS p FROM ord), w AS (SELECT contig, p, arg_max(v, line) AS v FROM b GROUP BY contig, p) SELECT contig, v AS value, count(*) AS bases FROM w GROUP BY contig, v")
 def bed_last_wins(spark, sf_dir):
-    """Overlapping interval lines: each base has the value of the last line that covers it."""
-    start = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
-    rows = table(spark, sf_dir, "orders").where("o_custkey % 7 = 0")
-    lines = rows.select(F.col("o_orderstatus").alias("contig"), start.alias("start"), (start + 1 + F.col("o_custkey") % 3).alias("end"), F.lit("").alias("label"), (F.col("o_custkey") % 10).alias("value"), F.col("o_orderkey").alias("line"))
-    return last_wins(lines).groupBy("contig", "value").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
-
-
-#: Every order as an interval of 1 to 30 days; customers are dealt to 251 contigs a status, so that gaps and overlaps both stay.
-ALL_ORDERS = "ord AS (SELECT o_orderstatus || '-' || o_custkey % 251 AS contig, o_orderkey AS line, CAST(o_custkey % 10 AS BIGINT) AS v, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS s, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 + o_orderkey % 30 AS e FROM orders)"
-ALL_ISLANDS = ISLANDS.replace(ORDERS, ALL_ORDERS)
-ALL_ORDER_REFERENCE = Reference([(f"{status}-{k}", 4000) for status in "FOP" for k in range(251)])
-
-
-def all_order_lines(spark, sf_dir) -> DataFrame:
-    """(contig, start, end, label, value, line) of every order."""
-    start = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
-    contig = F.concat_ws("-", "o_orderstatus", F.col("o_custkey") % 251)
-    return table(spark, sf_dir, "orders").select(contig.alias("contig"), start.alias("start"), (start + 1 + F.col("o_orderkey") % 30).alias("end"), F.lit("").alias("label"), (F.col("o_custkey") % 10).cast("long").alias("value"), F.col("o_orderkey").alias("line"))
-
-
-@query("interval_coalesce_all", f'{ALL_ISLANDS} SELECT contig, s AS start, e AS "end" FROM isl')
-def interval_coalesce_all(spark, sf_dir):
-    return mask.coalesce_intervals(all_order_lines(spark, sf_dir)).select("contig", "start", "end")
-
-
-@query("interval_mask_bases_all", f"{ALL_ISLANDS}, t AS (SELECT contig, sum(e - s) AS n FROM isl GROUP BY contig) SELECT contig, CAST(n AS BIGINT) AS masked, CAST(4000 - n AS BIGINT) AS unmasked FROM t")
-def interval_mask_bases_all(spark, sf_dir):
-    cover = mask.interval_mask(all_order_lines(spark, sf_dir), ALL_ORDER_REFERENCE).cover().runs
-    n = F.col("end") - F.col("start")
-    return cover.groupBy("contig").agg(F.sum(F.when(F.col("value"), n).otherwise(0)).alias("masked"), F.sum(F.when(~F.col("value"), n).otherwise(0)).alias("unmasked")).where("masked > 0")
-
-
-@query("bed_last_wins_all", f"WITH {ALL_ORDERS}, b AS (SELECT contig, line, v, unnest(range(s, e)) AS p FROM ord), w AS (SELECT contig, p, arg_max(v, line) AS v FROM b GROUP BY contig, p) SELECT contig, v AS value, count(*) AS bases FROM w GROUP BY contig, v")
-def bed_last_wins_all(spark, sf_dir):
     """Overlapping interval lines of every order: each base has the value of the last line that covers it."""
-    return last_wins(all_order_lines(spark, sf_dir)).groupBy("contig", "value").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
-
+    return last_wins(order_lines(spark, sf_dir), ORDER_REFERENCE.bucket()).groupBy("contig", "value").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
 
-@query("append_columns", f"WITH {PTS} SELECT contig, CASE label WHEN 'F' THEN 'F' ELSE 'O' END AS label, CAST(sum(c) AS BIGINT) AS total FROM pts GROUP BY contig, label")
-def append_columns(spark, sf_dir):
-    """Two one-column tracks side by side."""
-    both = count_track(spark, sf_dir)
-    joined = algebra.concat([both.select(["F"]), both.select(["O"])])
-    return joined.runs.groupBy("contig", "label").agg(F.sum(F.col("value") * (F.col("end") - F.col("start"))).alias("total"))
 
-
-@query("quantized_runs", f"WITH {PTS} SELECT label, CAST(floor(v / 10) AS BIGINT) AS tens, count(*) AS bases FROM pts WHERE v BETWEEN 10 AND 99 GROUP BY label, floor(v / 10)")
+@query("quantized_runs", f"WITH {PTS}, d AS (SELECT label, v, CAST(pow(10, greatest(length(CAST(abs(v) AS VARCHAR)) - 1, 0)) AS BIGINT) AS unit FROM pts WHERE v IS NOT NULL) SELECT label, CAST(round(v / unit) * unit AS BIGINT) AS value, count(*) AS bases FROM d GROUP BY 1, 2")
 def quantized_runs(spark, sf_dir):
-    """Values rounded to one significant digit after taking off half a unit."""
-    rows = depth_track(spark, sf_dir).runs.where("value BETWEEN 10 AND 99")
-    tens = quantize(F.floor(F.col("value") / 10).cast("double"), 1).cast("long")
-    return rows.groupBy("label", tens.alias("tens")).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
-
-
-@query("quantized_runs_all", f"WITH {PTS}, d AS (SELECT label, v, CAST(pow(10, greatest(length(CAST(abs(v) AS VARCHAR)) - 1, 0)) AS BIGINT) AS unit FROM pts WHERE v IS NOT NULL) SELECT label, CAST(round_even(v / unit, 0) * unit AS BIGINT) AS value, count(*) AS bases FROM d GROUP BY 1, 2")
-def quantized_runs_all(spark, sf_dir):
-    """All values, of any magnitude, rounded to one significant digit."""
+    """All values, of any magnitude, rounded to one significant digit, halves away from zero."""
     rows = depth_track(spark, sf_dir).runs.where("value IS NOT NULL")
     return rows.groupBy("label", F.round(quantize(F.col("value"), 1)).cast("long").alias("value")).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
 
@@ -379,8 +344,7 @@ def genome_positions(spark, sf_dir):
     return count_track(spark, sf_dir).dense().select(flat.cast("long").alias("position"), F.concat_ws(":", "contig", "pos").alias("locus"), "label", "value")
 
 
-COMPOSE = "SELECT l_returnflag AS contig, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s, l_orderkey % 4 AS k FROM lineitem WHERE l_linenumber = 1"
-COMPOSE_ALL = COMPOSE.removesuffix(" WHERE l_linenumber = 1")
+COMPOSE = "SELECT l_returnflag AS contig, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s, l_orderkey % 4 AS k FROM lineitem"
 
 
 def _composition(rows: DataFrame) -> DataFrame:
@@ -394,11 +358,189 @@ def _composition(rows: DataFrame) -> DataFrame:
 
 @query("pileup_composition", f"WITH r AS ({COMPOSE}), m AS (SELECT contig, s + i AS p, substr('acgt', CAST((i + k) % 4 + 1 AS INTEGER), 1) AS b FROM r CROSS JOIN (SELECT unnest(range(4)) AS i)), d AS (SELECT contig, s + 4 + i AS p, 'del' AS b FROM r CROSS JOIN (SELECT unnest(range(2)) AS i)), e AS (SELECT contig, s + 6 + i AS p, substr('acgt', CAST((i + 4 + k) % 4 + 1 AS INTEGER), 1) AS b FROM r CROSS JOIN (SELECT unnest(range(2)) AS i)), i AS (SELECT contig, s + 7 AS p, 'ins' AS b FROM r), u AS (SELECT * FROM m UNION ALL SELECT * FROM d UNION ALL SELECT * FROM e UNION ALL SELECT * FROM i) SELECT contig, b AS kind, count(*) AS n, CAST(sum(p) AS BIGINT) AS positions FROM u GROUP BY contig, b")
 def pileup_composition(spark, sf_dir):
-    """Base composition of synthetic reads 4M2D2M1I over the reference acgt, shifted by order."""
-    return _composition(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+    """Base composition of synthetic reads 4M2D2M1I, one for every line, over the reference acgt, shifted by order."""
+    return _composition(table(spark, sf_dir, "lineitem"))
 
 
-@query("pileup_composition_all", f"WITH r AS ({COMPOSE_ALL}), m AS (SELECT contig, s + i AS p, substr('acgt', CAST((i + k) % 4 + 1 AS INTEGER), 1) AS b FROM r CROSS JOIN (SELECT unnest(range(4)) AS i)), d AS (SELECT contig, s + 4 + i AS p, 'del' AS b FROM r CROSS JOIN (SELECT unnest(range(2)) AS i)), e AS (SELECT contig, s + 6 + i AS p, substr('acgt', CAST((i + 4 + k) % 4 + 1 AS INTEGER), 1) AS b FROM r CROSS JOIN (SELECT unnest(range(2)) AS i)), i AS (SELECT contig, s + 7 AS p, 'ins' AS b FROM r), u AS (SELECT * FROM m UNION ALL SELECT * FROM d UNION ALL SELECT * FROM e UNION ALL SELECT * FROM i) SELECT contig, b AS kind, count(*) AS n, CAST(sum(p) AS BIGINT) AS positions FROM u GROUP BY contig, b")
-def pileup_composition_all(spark, sf_dir):
-    """The same over every line of every order."""
-    return _composition(table(spark, sf_dir, "lineitem"))
+SPACING = 1000
+SIG = "sig AS (SELECT l_returnflag AS contig, l_linestatus AS label, l_orderkey * 1000 + l_linenumber * 100 AS s, l_orderkey * 1000 + l_linenumber * 100 + min(CASE WHEN l_suppkey % 2 = 0 THEN 100 ELSE 60 END) AS e, CASE WHEN l_orderkey % 10 <> 3 THEN sum(l_quantity) / 4 END AS v FROM lineitem GROUP BY l_returnflag, l_linestatus, l_orderkey, l_linenumber)"
+PARTS = "preg AS (SELECT p_partkey AS region_id, substr('ANR', CAST(p_partkey % 3 + 1 AS INTEGER), 1) AS contig, p_partkey * 7000 AS s, p_partkey * 7000 + 5000 + p_partkey % 3000 AS e FROM part)"
+MEETS = "FROM preg CROSS JOIN lab LEFT JOIN sig ON sig.contig = preg.contig AND sig.label = lab.label AND sig.s < preg.e AND preg.s < sig.e"
+
+
+def signal_track(spark, sf_dir) -> Track:
+    top = table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0] or 0
+    start = F.col("l_orderkey") * SPACING + F.col("l_linenumber") * 100
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("contig"), start.alias("start"), F.col("l_linestatus").alias("label"), F.when(F.col("l_suppkey") % 2 == 0, 100).otherwise(60).alias("n"), "l_quantity")
+    one = rows.groupBy("contig", "start", "label").agg(F.min("n").alias("n"), F.sum("l_quantity").alias("q"))
+    value = F.when(F.floor(F.col("start") / SPACING) % 10 != 3, F.col("q") / 4).otherwise(F.lit(float("nan")))
+    return Track(one.select("contig", "start", (F.col("start") + F.col("n")).alias("end"), "label", value.alias("value")), Reference([(c, (top + 1) * SPACING) for c in "ANR"]), LABELS)
+
+
+def part_regions(spark, sf_dir) -> DataFrame:
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(key.alias("region_id"), F.substring(F.lit("ANR"), (key % 3 + 1).cast("int"), F.lit(1)).alias("contig"), (key * 7000).alias("start"), (key * 7000 + 5000 + key % 3000).alias("end"))
+
+
+def _long_reduced(reducer: str, expression: str, **options) -> None:
+    sql = f"WITH {SIG}, {PARTS}, {LAB} SELECT region_id, lab.label, {expression} AS value {MEETS} GROUP BY region_id, lab.label"
+
+    def run(spark, sf_dir):
+        track = signal_track(spark, sf_dir)
+        out = reduce.reduce_regions(track, as_regions(spark, part_regions(spark, sf_dir), track.reference), reducer, **options)
+        return out.select("region_id", "label", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+    query(f"long_region_{reducer}", sql)(run)
+
+
+OVERLAP = "(least(sig.e, preg.e) - greatest(sig.s, preg.s))"
+_long_reduced("sum", f"round(coalesce(sum(v * {OVERLAP}), 0), 6)")
+_long_reduced("mean", f"round(sum(v * {OVERLAP}) / sum({OVERLAP}) FILTER (v IS NOT NULL), 6)")
+_long_reduced("count", f"CAST(coalesce(sum({OVERLAP}) FILTER (v IS NOT NULL), 0) AS DOUBLE)")
+_long_reduced("max", "max(v)")
+
+
+@query("long_region_median", f"WITH {SIG}, {PARTS}, {LAB}, b AS (SELECT region_id, lab.label, v, unnest(range(CASE WHEN v IS NULL THEN 1 ELSE CAST({OVERLAP} AS BIGINT) END)) AS i {MEETS}) SELECT region_id, label, round(quantile_cont(v, 0.5), 6) AS value FROM b GROUP BY region_id, label")
+def long_region_median(spark, sf_dir):
+    track = signal_track(spark, sf_dir)
+    out = reduce.reduce_regions(track, as_regions(spark, part_regions(spark, sf_dir), track.reference), "median")
+    return out.select("region_id", "label", F.round("value", 6).alias("value"))
+
+
+@query("long_contig_quantiles", f"WITH {SIG}, b AS (SELECT contig, label, v, unnest(range(e - s)) AS i FROM sig WHERE v IS NOT NULL), r AS (SELECT contig, label, quantile_cont(v, [0.05, 0.5, 0.99]) AS vs FROM b GROUP BY contig, label) SELECT contig, label, CAST(unnest([0.05, 0.5, 0.99]) AS DOUBLE) AS quantile, round(unnest(vs), 6) AS value FROM r")
+def long_contig_quantiles(spark, sf_dir):
+    """Quantiles over whole contigs, whose values are found by counts and cumulative sums."""
+    track = signal_track(spark, sf_dir)
+    contigs = reduce.contig_regions(spark, track.reference)
+    out = reduce.reduce_regions(track, contigs, "quantile", q=[0.05, 0.5, 0.99])
+    return out.join(F.broadcast(contigs.select("region_id", "contig")), "region_id").select("contig", "label", "quantile", F.round("value", 6).alias("value")).where("value IS NOT NULL")
+
+
+@query("long_view", f"WITH {SIG}, q AS (SELECT contig, s, e, CASE WHEN v = 0 THEN 0 ELSE round(v * pow(10, -floor(log10(v)))) / pow(10, -floor(log10(v))) END AS v FROM sig WHERE v IS NOT NULL AND label = 'F'), m AS (SELECT *, CASE WHEN lag(e) OVER w = s AND lag(v) OVER w = v THEN 0 ELSE 1 END AS fresh FROM q WINDOW w AS (PARTITION BY contig ORDER BY s)), k AS (SELECT *, sum(fresh) OVER (PARTITION BY contig ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT contig, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS \"end\", round(any_value(v), 6) AS F FROM k GROUP BY contig, run")
+def long_view(spark, sf_dir):
+    """Runs of whole contigs after rounding to one digit; NaN is left out."""
+    track = signal_track(spark, sf_dir)
+    found = runs.view(track, reduce.contig_regions(spark, track.reference), ["F"], 1)
+    return found.select("contig", "start", "end", F.round("F", 6).alias("F"))
+
+
+@query("long_coalesce", f"WITH {SIG}, m AS (SELECT contig, s, e, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sig), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT contig, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS \"end\" FROM g GROUP BY contig, k")
+def long_coalesce(spark, sf_dir):
+    track = signal_track(spark, sf_dir)
+    return mask.coalesce_intervals(track.runs, track.reference.bucket()).select("contig", "start", "end")
+
+
+@query("long_totals", f"WITH {SIG} SELECT label, CAST(sum(v * (e - s)) AS DOUBLE) AS total, CAST(sum(e - s) FILTER (v IS NOT NULL) AS BIGINT) AS bases FROM sig GROUP BY label")
+def long_totals(spark, sf_dir):
+    return algebra.label_totals(signal_track(spark, sf_dir)).select("label", F.col("total").cast("double").alias("total"), "bases")
+
+
+@query("long_binned", f"WITH {SIG} SELECT contig, CAST(s // 100000 AS BIGINT) AS bin, label, round(sum(v * (e - s)) / sum(e - s), 6) AS value FROM sig WHERE v IS NOT NULL GROUP BY contig, s // 100000, label")
+def long_binned(spark, sf_dir):
+    return algebra.binned(signal_track(spark, sf_dir), 100_000).where("value IS NOT NULL").select("contig", "bin", "label", F.round("value", 6).alias("value"))
+
+
+@query("long_across_labels", f"WITH {SIG}, k AS (SELECT * FROM sig WHERE v IS NOT NULL), j AS (SELECT coalesce(f.contig, o.contig) AS contig, coalesce(f.e - f.s, 0) AS nf, coalesce(o.e - o.s, 0) AS no, f.v AS vf, o.v AS vo FROM (SELECT * FROM k WHERE label = 'F') f FULL JOIN (SELECT * FROM k WHERE label = 'O') o ON f.contig = o.contig AND f.s = o.s), p AS (SELECT contig, 2 AS labels, least(nf, no) AS n, greatest(vf, vo) AS most FROM j WHERE nf > 0 AND no > 0 UNION ALL SELECT contig, 1, greatest(nf, no) - least(nf, no), CASE WHEN nf > no THEN vf ELSE vo END FROM j WHERE nf <> no) SELECT contig, CAST(labels AS BIGINT) AS labels, CAST(sum(n) AS BIGINT) AS bases, CAST(sum(n * most) AS DOUBLE) AS total FROM p GROUP BY contig, labels")
+def long_across_labels(spark, sf_dir):
+    found = algebra.across_labels(signal_track(spark, sf_dir), labels=F.count("value"), most=F.max("value")).where("labels > 0")
+    n = F.col("end") - F.col("start")
+    return found.groupBy("contig", "labels").agg(F.sum(n).alias("bases"), F.sum(F.col("most") * n).alias("total"))
+
+
+COLUMN_TOTALS = f"WITH {PTS} SELECT label, CAST(sum(c) AS BIGINT) AS total FROM pts GROUP BY label"
+
+
+def _column_totals(track: Track) -> DataFrame:
+    return track.runs.groupBy("label").agg(F.sum(F.col("value") * (F.col("end") - F.col("start"))).cast("long").alias("total"))
+
+
+def _half_store(spark, sf_dir) -> tuple[stores.Store, Track]:
+    """A store whose ``rows`` have the column F, and the track of both columns."""
+    both = count_track(spark, sf_dir)
+    both = Track(both.runs.withColumn("value", F.col("value").cast("double")), REFERENCE, LABELS, 0.0)
+    store = stores.create(spark, files.scratch_path(spark, "store"), REFERENCE)
+    store.write({"rows": both.select(["F"])})
+    return store, both
+
+
+@query("append_columns", COLUMN_TOTALS)
+def append_columns(spark, sf_dir):
+    """A store of one column that another is appended to, opened anew."""
+    store, both = _half_store(spark, sf_dir)
+    store.append("rows", both.select(["O"]))
+    return _column_totals(stores.open_store(spark, store.path)["rows"])
+
+
+@query("stream_append", COLUMN_TOTALS)
+def stream_append(spark, sf_dir):
+    """The other column arrives in two files, read as a stream; its rows of both batches count, a replay doesn't."""
+    store, both = _half_store(spark, sf_dir)
+    folder, check = files.scratch_path(spark, "arriving"), files.scratch_path(spark, "progress")
+    late = both.select(["O"]).runs.select("contig", "start", "end", "label", "value")
+    for k in (0, 1, 1):
+        late.where(F.col("start") % 2 == k).write.mode("append").parquet(folder)
+        append.append_stream(append.watch_runs(spark, folder), store.path, "rows", check).awaitTermination()
+    return _column_totals(stores.open_store(spark, store.path)["rows"])
+
+
+@query("zip_store", COLUMN_TOTALS)
+def zip_store(spark, sf_dir):
+    """A store packed as one file and opened from it."""
+    store, both = _half_store(spark, sf_dir)
+    store.append("rows", both.select(["O"]))
+    with tempfile.TemporaryDirectory() as folder:
+        stores.pack(spark, store.path, f"{folder}/rows.zip")
+        return _column_totals(stores.open_zip(spark, f"{folder}/rows.zip", files.scratch_path(spark, "unpacked"))["rows"])
+
+
+@query("store_validate", "SELECT 'valid' AS status, 'rows' AS track, 'F,O' AS labels, 'double' AS dtype, CAST(7500 AS BIGINT) AS positions")
+def store_validate(spark, sf_dir):
+    store, both = _half_store(spark, sf_dir)
+    store.append("rows", both.select(["O"]))
+    status, _ = stores.validate(spark, store.path)
+    found = store.info()
+    return spark.createDataFrame([(status, n, ",".join(t["labels"]), t["dtype"], found["positions"]) for n, t in found["tracks"].items()], "status string, track string, labels string, dtype string, positions long")
+
+
+@query("region_file", ORACLES["region_sum"])
+def region_file(spark, sf_dir):
+    """Regions of a BED file, with comment and track lines, in file order."""
+    path = files.scratch_path(spark, "regions")
+    text = ["# regions", "track name=x", *[f"{c}\t{s}\t{e}" for c, s, e in REGIONS], "", "browser hide all"]
+    spark.createDataFrame([(t,) for t in text], "value string").coalesce(1).write.text(path)
+    read = sources.read_regions(spark, path, REFERENCE)
+    out = reduce.reduce_regions(depth_track(spark, sf_dir), read.select("region_id", "contig", "start", "end"), "sum", bucket=BUCKET)
+    return out.select((F.col("region_id") - 2).alias("region_id"), "label", F.col("value").cast("long").alias("value"))
+
+
+@query("bed_import", f"WITH {ORDERS}, b AS (SELECT line % 2 AS odd, contig, line, v, unnest(range(s, e)) AS p FROM ord), w AS (SELECT odd, contig, p, arg_max(v, line) AS v FROM b GROUP BY odd, contig, p), t AS (SELECT odd, 'digit' AS track, CAST(v AS DOUBLE) AS value FROM w UNION ALL SELECT odd, 'low', CASE WHEN v < 5 THEN 1 ELSE 0 END FROM w) SELECT track, CASE odd WHEN 0 THEN 'even' ELSE 'odd' END AS label, value, count(*) AS bases FROM t GROUP BY track, odd, value")
+def bed_import(spark, sf_dir):
+    """Two BED files of orders with two value columns, whose types are inferred over all cells: a track each, a column for each file."""
+    lines = order_lines(spark, sf_dir)
+    paths = []
+    for k, label in enumerate(("even", "odd")):
+        paths.append((files.scratch_path(spark, label), label))
+        cells = F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("end").cast("string"), F.col("value").cast("string"), (F.col("value") < 5).cast("int").cast("string"))
+        own = lines.where(F.col("line") % 2 == k).repartitionByRange("line").sortWithinPartitions("line")
+        own.select(cells.alias("value")).write.text(paths[-1][0])
+    tracks = sources.import_bed(spark, paths, ORDER_REFERENCE, [sources.Column("4", "digit"), sources.Column("5", "low")], infer_rows=None)
+    found = None
+    for name, track in tracks.items():
+        part = track.runs.select(F.lit(name).alias("track"), "label", F.col("value").cast("int").cast("double").alias("value"), (F.col("end") - F.col("start")).alias("n"))
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("track", "label", "value").agg(F.sum("n").alias("bases"))
+
+
+@query("sam_depth", f"WITH {READS}, one AS (SELECT contig, '' AS label, s, e FROM rd), {DEPTH.format('one')} SELECT contig, CAST(sum(v * (e - s)) AS BIGINT) AS total, CAST(sum(e - s) FILTER (v > 0) AS BIGINT) AS bases, CAST(max(v) AS BIGINT) AS most FROM run WHERE e IS NOT NULL GROUP BY contig")
+def sam_depth(spark, sf_dir):
+    """Every line as an alignment of a SAM file, read back and piled up."""
+    path = files.scratch_path(spark, "sam")
+    reads = lineitem_reads(spark, sf_dir)
+    size = F.col("end") - F.col("start")
+    cells = F.concat_ws("\t", F.lit("*"), F.lit("0"), "contig", (F.col("start") + 1).cast("string"), F.lit("60"), F.concat(size.cast("string"), F.lit("M")), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"))
+    head = spark.createDataFrame([(f"@SQ\tSN:{n}\tLN:{x}",) for n, x in READ_REFERENCE.items()], "value string")
+    head.unionByName(reads.select(cells.alias("value"))).write.text(path)
+    reference, found = sources.read_sam(spark, path)
+    track = pileup.depth(found, reference)
+    n = F.col("end") - F.col("start")
+    return track.runs.groupBy("contig").agg(F.sum(F.col("value") * n).cast("long").alias("total"), F.sum(n).alias("bases"), F.max("value").cast("long").alias("most"))

@@ -1,8 +1,9 @@
 """Binary sources: bigWig and BAM, by the public format descriptions.
 
-Files are handed to executors as whole byte blocks through Spark's binaryFile
-reader, so any Hadoop file system works; one task decodes one file. bigWig
-sections are spread over tasks after the index is read.
+Files of file systems that pyarrow opens (local, S3, GCS, HDFS) are read by ranges, so
+they may be of any size: a bigWig file's sections are listed by one task and decoded
+by many; a BAM file is one task's stream, held a block at a time. Other Hadoop file
+systems are read as whole byte blocks through Spark's binaryFile reader, up to 2 GiB.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ import struct
 import zlib
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.reference import Reference
 
@@ -20,46 +23,94 @@ BIGWIG_MAGIC, CHROM_TREE_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 CIGAR_OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 
 
-def _content(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+def _locate(path: str):
+    """(file system, path) of pyarrow."""
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
 
 
-def bigwig_contigs(data: bytes) -> list[tuple[str, int, int]]:
+class Pages:
+    """Bytes of a file by slices, read and kept in pages."""
+
+    SIZE, KEPT = 1 << 18, 64
+
+    def __init__(self, file):
+        self.file, self.pages = file, {}
+
+    def __getitem__(self, at: slice) -> bytes:
+        out, place = [], at.start
+        while place < at.stop:
+            number, offset = divmod(place, self.SIZE)
+            if number not in self.pages:
+                if len(self.pages) >= self.KEPT:
+                    self.pages.clear()
+                self.pages[number] = self.file.read_at(self.SIZE, number * self.SIZE)
+            piece = self.pages[number][offset : offset + at.stop - place]
+            if not piece:
+                break
+            out.append(piece)
+            place += len(piece)
+        return b"".join(out)
+
+
+def _get(form: str, data, at: int) -> tuple:
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])
+
+
+def _files(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """Rows (source) of one file: its path where pyarrow opens it, else its whole content; and which of them."""
+    try:
+        system, place = _locate(path)
+        if system.get_file_info(place).type == pyarrow.fs.FileType.File:
+            return spark.createDataFrame([(path,)], "source string"), True
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        pass
+    return spark.read.format("binaryFile").load(path).select(F.col("content").alias("source")), False
+
+
+def _opened(source):
+    """A file's bytes by slices: of a path, or of the content itself."""
+    if isinstance(source, bytes):
+        return source
+    system, place = _locate(source)
+    return Pages(system.open_input_file(place))
+
+
+def bigwig_contigs(data) -> list[tuple[str, int, int]]:
     """(name, id, length) from the chromosome tree."""
-    magic, _, _, tree = struct.unpack_from("<IHHQ", data, 0)
+    magic, _, _, tree = _get("<IHHQ", data, 0)
     if magic != BIGWIG_MAGIC:
         raise ValueError("not a little-endian bigWig file")
-    if struct.unpack_from("<I", data, tree)[0] != CHROM_TREE_MAGIC:
+    if _get("<I", data, tree)[0] != CHROM_TREE_MAGIC:
         raise ValueError("bad chromosome tree")
-    key = struct.unpack_from("<I", data, tree + 8)[0]
+    key = _get("<I", data, tree + 8)[0]
     todo, found = [tree + 32], []
     while todo:
         at = todo.pop()
-        leaf, _, count = struct.unpack_from("<BBH", data, at)
+        leaf, _, count = _get("<BBH", data, at)
         for i in range(count):
             item = at + 4 + i * (key + 8)
             if leaf:
                 name = data[item : item + key].rstrip(b"\0").decode()
-                found.append((name, *struct.unpack_from("<II", data, item + key)))
+                found.append((name, *_get("<II", data, item + key)))
             else:
-                todo.append(struct.unpack_from("<Q", data, item + key)[0])
+                todo.append(_get("<Q", data, item + key)[0])
     return sorted(found, key=lambda x: x[1])
 
 
-def bigwig_sections(data: bytes) -> list[tuple[int, int]]:
+def bigwig_sections(data) -> list[tuple[int, int]]:
     """(offset, size) of the data sections, from the index's leaves."""
-    at = struct.unpack_from("<Q", data, 24)[0]
-    if struct.unpack_from("<I", data, at)[0] != INDEX_MAGIC:
+    at = _get("<Q", data, 24)[0]
+    if _get("<I", data, at)[0] != INDEX_MAGIC:
         raise ValueError("bad index")
     todo, found = [at + 48], []
     while todo:
         at = todo.pop()
-        leaf, _, count = struct.unpack_from("<BBH", data, at)
+        leaf, _, count = _get("<BBH", data, at)
         for i in range(count):
             if leaf:
-                found.append(struct.unpack_from("<QQ", data, at + 4 + 32 * i + 16))
+                found.append(_get("<QQ", data, at + 4 + 32 * i + 16))
             else:
-                todo.append(struct.unpack_from("<Q", data, at + 4 + 24 * i + 16)[0])
+                todo.append(_get("<Q", data, at + 4 + 24 * i + 16)[0])
     return sorted(found)
 
 
@@ -73,47 +124,68 @@ def section_runs(raw: bytes) -> list[tuple[int, int, int, float]]:
     return [(chrom, start + i * step, start + i * step + span, struct.unpack_from("<f", raw, 24 + 4 * i)[0]) for i in range(count)]
 
 
-def read_bigwig(spark: SparkSession, path: str, label: str = "") -> tuple[Reference, DataFrame]:
+def read_bigwig(spark: SparkSession, path: str, label: str = "", tasks: int | None = None) -> tuple[Reference, DataFrame]:
     """The file's reference, and its (contig, start, end, label, value) runs; NaN values are left out (missing)."""
-    head = _content(spark, path)
+    head, by_path = _files(spark, path)
 
     def contigs(batches):
         for b in batches:
-            for data in b.column(0).to_pylist():
-                rows = bigwig_contigs(data)
+            for source in b.column(0).to_pylist():
+                rows = bigwig_contigs(_opened(source))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["name", "id", "length"])
 
     names = sorted(head.mapInArrow(contigs, "name string, id long, length long").collect(), key=lambda r: r.id)
     by_id = {r.id: r.name for r in names}
 
-    def decode(batches):
+    def sections(batches):
         for b in batches:
-            for data in b.column(0).to_pylist():
-                packed = struct.unpack_from("<I", data, 52)[0] > 0
-                for at, size in bigwig_sections(data):
-                    raw = zlib.decompress(data[at : at + size]) if packed else data[at : at + size]
-                    rows = [r for r in section_runs(raw) if r[3] == r[3]]
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([by_id[r[0]] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([label] * n, pa.string()), pa.array([r[3] for r in rows], pa.float32())], ["contig", "start", "end", "label", "value"])
+            for source in b.column(0).to_pylist():
+                found = bigwig_sections(_opened(source))
+                yield pa.RecordBatch.from_arrays([pa.array([source] * len(found), pa.string()), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["source", "at", "size"])
 
+    def runs(data, at: int, size: int, packed: bool):
+        raw = data[at : at + size]
+        rows = [r for r in section_runs(zlib.decompress(raw) if packed else raw) if r[3] == r[3]]
+        return pa.RecordBatch.from_arrays([pa.array([by_id[r[0]] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([label] * len(rows), pa.string()), pa.array([r[3] for r in rows], pa.float32())], ["contig", "start", "end", "label", "value"])
+
+    def decode(batches):
+        opened, data = None, None
+        for b in batches:
+            if not by_path:
+                for source in b.column(0).to_pylist():
+                    yield from (runs(source, at, size, _get("<I", source, 52)[0] > 0) for at, size in bigwig_sections(source))
+                continue
+            for source, at, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if source != opened:
+                    opened, data = source, _opened(source)
+                yield runs(data, at, size, _get("<I", data, 52)[0] > 0)
+
+    if by_path:
+        # Neighbouring sections stay together, so that a task reads its pages once.
+        listed = head.mapInArrow(sections, "source string, at long, size long")
+        head = listed.repartitionByRange(tasks or spark.sparkContext.defaultParallelism, "at").sortWithinPartitions("at")
     return Reference([(r.name, r.length) for r in names]), head.mapInArrow(decode, "contig string, start long, end long, label string, value float")
 
 
-def bgzf(data: bytes):
-    """Yield the decompressed blocks of a BGZF file."""
-    at = 0
-    while at < len(data):
-        extra = struct.unpack_from("<H", data, at + 10)[0]
-        field, size = at + 12, None
-        while field < at + 12 + extra:
-            tag, length = data[field : field + 2], struct.unpack_from("<H", data, field + 2)[0]
-            if tag == b"BC":
-                size = struct.unpack_from("<H", data, field + 4)[0] + 1
-            field += 4 + length
-        if size is None:
-            raise ValueError("not a BGZF block")
-        yield zlib.decompress(data[at + 12 + extra : at + size - 8], -15)
-        at += size
+def bgzf(source):
+    """Yield the decompressed blocks of a BGZF file: of its content, or of a path, read as a stream."""
+    if isinstance(source, bytes):
+        stream = pa.BufferReader(source)
+    else:
+        system, place = _locate(source)
+        stream = system.open_input_stream(place, compression=None, buffer_size=1 << 20)
+    with stream:
+        while head := stream.read(12):
+            extra = stream.read(struct.unpack_from("<H", head, 10)[0])
+            field, size = 0, None
+            while field < len(extra):
+                tag, length = extra[field : field + 2], struct.unpack_from("<H", extra, field + 2)[0]
+                if tag == b"BC":
+                    size = struct.unpack_from("<H", extra, field + 4)[0] + 1
+                field += 4 + length
+            if size is None:
+                raise ValueError("not a BGZF block")
+            yield zlib.decompress(stream.read(size - 12 - len(extra))[:-8], -15)
 
 
 class BgzfWriter:
@@ -193,13 +265,13 @@ def bam_record(raw: bytes, contigs: list[tuple[str, int]]) -> tuple | None:
 
 
 def read_bam(spark: SparkSession, path: str, label: str = "") -> tuple[Reference, DataFrame]:
-    """As read_sam(), from a BAM file."""
-    head = _content(spark, path)
+    """As read_sam(), from a BAM file; a header without a reference sequence is refused."""
+    head, _ = _files(spark, path)
 
     def contigs(batches):
         for b in batches:
-            for data in b.column(0).to_pylist():
-                rows = _header(_Stream(bgzf(data)))
+            for source in b.column(0).to_pylist():
+                rows = _header(_Stream(bgzf(source)))
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["id", "name", "length"])
 
     names = sorted(head.mapInArrow(contigs, "id long, name string, length long").collect())
@@ -213,8 +285,8 @@ def read_bam(spark: SparkSession, path: str, label: str = "") -> tuple[Reference
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], columns)
 
         for b in batches:
-            for data in b.column(0).to_pylist():
-                stream, rows, line = _Stream(bgzf(data)), [], 0
+            for source in b.column(0).to_pylist():
+                stream, rows, line = _Stream(bgzf(source)), [], 0
                 known = _header(stream)
                 while (size := stream.number()) is not None:
                     record = bam_record(stream.take(size), known)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -44,3 +45,13 @@ def replace_file(spark: SparkSession, path: str, content: str) -> None:
 
 def read_file(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one in a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

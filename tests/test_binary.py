@@ -6,7 +6,7 @@ import pytest
 
 from spanwise import api, cli
 from spanwise.sources import text
-from spanwise.sources.binary import BASES, CIGAR_OPS, read_bam, read_bigwig
+from spanwise.sources.binary import BASES, CIGAR_OPS, BgzfWriter, bgzf, read_bam, read_bigwig
 
 from .test_sources import SAM
 
@@ -79,3 +79,65 @@ def test_bigwig_and_command_line(spark, tmp_path, capsys):
         cli.main(["stat", store, "-s", "hist"])
     got = api.reduce_regions(api.open(spark, store)["signal"], "chr1:0-15", "max").collect()
     assert got[0].value == 1.0
+
+
+def test_sections_spread_over_tasks(spark, tmp_path):
+    """Many sections, also larger than a page apart: each is decoded once, whatever the tasks."""
+    rows = [[(k * 1000 + i * 5, k * 1000 + i * 5 + 5, float(k)) for i in range(20)] for k in range(30)]
+    sections = [struct.pack("<IIIIIBBH", 0, r[0][0], r[-1][1], 0, 0, 1, 0, len(r)) + b"".join(struct.pack("<IIf", *x) for x in r) for r in rows]
+    tree = 64
+    chroms = struct.pack("<IIIIQQ", 0x78CA8C91, 1, 8, 8, 1, 0) + struct.pack("<BBH", 1, 0, 1) + b"c".ljust(8, b"\0") + struct.pack("<II", 0, 40_000)
+    places, body = [], b""
+    for x in sections:
+        packed = zlib.compress(x)
+        places.append((tree + len(chroms) + len(body), len(packed)))
+        body += packed + b"\0" * 20_000
+    index = tree + len(chroms) + len(body)
+    head = struct.pack("<IHHQQQHHQQIQ", 0x888FFC26, 4, 0, tree, tree + len(chroms), index, 0, 0, 0, 0, 1 << 15, 0)
+    leaves = struct.pack("<IIQIIIIQII", 0x2468ACE0, 256, 30, 0, 0, 0, 40_000, 0, 1, 0) + struct.pack("<BBH", 1, 0, 30) + b"".join(struct.pack("<IIIIQQ", 0, 0, 0, 40_000, a, n) for a, n in places)
+    (tmp_path / "m.bw").write_bytes(head + chroms + body + leaves)
+    for path in (f"{tmp_path}/m.bw", f"file://{tmp_path}/m.bw"):
+        _, runs = read_bigwig(spark, path, "x", 4)
+        assert sorted((r.start, r.end, r.value) for r in runs.collect()) == [x for r in rows for x in r]
+        assert runs.rdd.getNumPartitions() == 4
+
+
+def test_command_line_files(spark, tmp_path, capsys):
+    """BED options, an import that fails, composition, output files as BGZF, and headers left out."""
+    (tmp_path / "sizes").write_text("ref1\t60\n")
+    (tmp_path / "a.bed").write_text("#chrom\tstart\tend\tx\ty\nref1\t0\t4\t7\t0.5\nref1\t4\t6\t300\t2\n")
+    (tmp_path / "list").write_text("# sources\na.bed\tone\n")
+    store, sizes = str(tmp_path / "st"), str(tmp_path / "sizes")
+    with pytest.raises(ValueError):
+        cli.main(["import", "bed", store, f"{tmp_path}/a.bed", "--reference", sizes, "--field", "z"])
+    assert not (tmp_path / "st").exists()
+    assert cli.main(["import", "bed", store, "--emit-schema", "-f", str(tmp_path / "list"), "--fill", "0"]) == 0
+    schema = capsys.readouterr().out
+    assert schema == "column\ttrack\tdtype\tfill\nx\tx\tuint16\t0\ny\ty\tfloat32\t0\n"
+    (tmp_path / "schema").write_text(schema.replace("y\ty", "y\tsignal"))
+    assert cli.main(["import", "bed", store, "-f", str(tmp_path / "list"), "--genome", sizes, "--schema", str(tmp_path / "schema")]) == 0
+    assert cli.main(["view", store, "--track", "signal", "-o", str(tmp_path / "out.bedgraph.gz"), "-r", "ref1:3-8"]) == 0
+    raw = (tmp_path / "out.bedgraph.gz").read_bytes()
+    assert gzip.decompress(raw) == b"#chrom\tstart\tend\tone\nref1\t3\t4\t0.5\nref1\t4\t6\t2\nref1\t6\t8\t0\n" and b"".join(bgzf(raw)) == gzip.decompress(raw)
+    assert cli.main(["stat", store, "--track", "x", "-s", "max", "--no-header"]) == 0
+    assert capsys.readouterr().out == "0\t0\tone\t300\n"
+    (tmp_path / "a.sam").write_text(SAM)
+    made = api.create(spark, str(tmp_path / "bam"), api.Reference([("ref1", 60)]))
+    api.import_bam(made, f"{tmp_path}/a.sam:s", fields=("a", "c", "del"))
+    assert made.names == ["a", "c", "del"] and made["del"].labels == ("s",)
+    api.import_bam(made, f"{tmp_path}/a.sam", "counts", fields=("g", "ins"), axis="column")
+    wide = api.open(spark, made.path)["counts"]
+    assert (wide.labels, wide.dim) == (("g", "ins"), "field") and wide.runs.where("label = 'ins'").count() == 1
+    for wrong in ({"fields": ("a", "a")}, {"fields": ("x",)}, {"axis": "row"}):
+        with pytest.raises(ValueError):
+            api.import_bam(made, f"{tmp_path}/a.sam", "more", **wrong)
+
+
+def test_blocks_of_large_output(tmp_path):
+    with open(tmp_path / "x.gz", "wb") as raw:
+        out = BgzfWriter(raw)
+        for i in range(40_000):
+            out.write(f"line {i}\n".encode())
+        out.close()
+    want = "".join(f"line {i}\n" for i in range(40_000)).encode()
+    assert gzip.decompress((tmp_path / "x.gz").read_bytes()) == want == b"".join(bgzf(str(tmp_path / "x.gz")))
