@@ -45,16 +45,19 @@ def thresholds(track: Track, levels: list) -> DataFrame:
 
 
 def across_labels(track: Track, **aggregates: Column) -> DataFrame:
-    """(contig, start, end, one column for each aggregate of ``value``) over all labels of each base, fill included."""
+    """(contig, start, end, one column for each aggregate of ``value``) over all labels of each base that any run covers, fill included."""
     bucket = track.reference.bucket()
-    # One scan whatever the number of labels: each label's runs cover a bucket, and break points of any cut all.
-    cut = track.cover().split(bucket).select("contig", "bucket", "value", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    # One scan whatever the number of labels: break points of any label cut all, within buckets.
+    cut = track.split(bucket).select("contig", "bucket", "label", "value", F.col("start").alias("lo"), F.col("end").alias("hi"))
     marks = cut.select("contig", "bucket", F.explode(F.array("lo", "hi")).alias("start")).distinct()
     ends = F.lead("start").over(Window.partitionBy("contig", "bucket").orderBy("start"))
-    segments = marks.withColumn("end", ends).where("end IS NOT NULL")
-    met = segments.join(cut, ["contig", "bucket"]).where("lo <= start AND start < hi")
-    found = met.groupBy("contig", "bucket", "start", "end").agg(*[a.alias(n) for n, a in aggregates.items()])
-    return collapse(found.drop("bucket"), bucket, ("contig",), tuple(aggregates))
+    segments = marks.withColumn("end", ends).where("end IS NOT NULL").crossJoin(F.broadcast(track.label_frame().select("label"))).alias("s")
+    same = [F.col(f"s.{k}") == F.col(f"c.{k}") for k in ("contig", "bucket", "label")]
+    met = segments.join(cut.alias("c"), [*same, F.col("lo") <= F.col("s.start"), F.col("s.start") < F.col("hi")], "left")
+    filled = F.when(F.col("lo").isNotNull(), F.col("value")).otherwise(F.lit(track.fill).cast(track.runs.schema["value"].dataType))
+    met = met.select("s.contig", "s.start", "s.end", filled.alias("value"), F.col("lo").isNotNull().alias("__held"))
+    found = met.groupBy("contig", "start", "end").agg(*[a.alias(n) for n, a in aggregates.items()], F.max("__held").alias("__held")).where("__held")
+    return collapse(found.drop("__held"), bucket, ("contig",), tuple(aggregates))
 
 
 def binned(track: Track, width: int, aggregate: str = "mean") -> DataFrame:

@@ -155,7 +155,7 @@ def order_lines(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(contig.alias("contig"), start.alias("start"), (start + 1 + F.col("o_orderkey") % 30).alias("end"), F.lit("").alias("label"), (F.col("o_custkey") % 10).cast("long").alias("value"), F.col("o_orderkey").alias("line"))
 
 
-ISLANDS = f"WITH {ORDERS}, m AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ord), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m), isl AS (SELECT contig, CAST(min(s) AS BIGINT) AS s, CAST(max(e) AS BIGINT) AS e FROM g GROUP BY contig, k)"
+ISLANDS = f"WITH {ORDERS}, m AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT contig, s, e FROM ord)), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m), isl AS (SELECT contig, CAST(min(s) AS BIGINT) AS s, CAST(max(e) AS BIGINT) AS e FROM g GROUP BY contig, k)"
 
 
 @query("interval_coalesce", f'{ISLANDS} SELECT contig, s AS start, e AS "end" FROM isl')
@@ -424,7 +424,7 @@ def long_view(spark, sf_dir):
     return found.select("contig", "start", "end", F.round("F", 6).alias("F"))
 
 
-@query("long_coalesce", f"WITH {SIG}, m AS (SELECT contig, s, e, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sig), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT contig, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS \"end\" FROM g GROUP BY contig, k")
+@query("long_coalesce", f"WITH {SIG}, m AS (SELECT contig, s, e, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT contig, s, e FROM sig)), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT contig, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS \"end\" FROM g GROUP BY contig, k")
 def long_coalesce(spark, sf_dir):
     track = signal_track(spark, sf_dir)
     return mask.coalesce_intervals(track.runs, track.reference.bucket()).select("contig", "start", "end")
