@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from .sources import text
 from .sources.binary import read_bam, read_bigwig
 from .sources.store import StoreError, open_zip, pack
 
-__all__ = ["Reference", "RegionQuery", "StoreError", "create", "import_bam", "import_bed", "import_bigwig", "interval_mask", "open", "open_zip", "pack", "parse_region", "reduce_regions", "region", "select_loci", "write"]
+__all__ = ["Reference", "RegionQuery", "StoreError", "cancel", "create", "import_bam", "import_bed", "import_bigwig", "interval_mask", "job", "open", "open_zip", "pack", "parse_region", "reduce_regions", "region", "select_loci", "write"]
 
 open = stores.open_store  # noqa: A001
 create = stores.create
@@ -25,9 +27,24 @@ region = mask.region
 select_loci = mask.select_loci
 
 
-def write(store: stores.Store, tracks: dict[str, Track]) -> None:
-    """Add derived tracks to a store that is open for writing."""
-    store.write(tracks)
+def write(store: stores.Store, tracks: dict[str, Track], **layout) -> None:
+    """Add derived tracks to a store that is open for writing; ``layout`` as in Store.write()."""
+    store.write(tracks, **layout)
+
+
+@contextmanager
+def job(spark: SparkSession, name: str):
+    """Everything this thread runs within can be ended by cancel(); a store that was being written keeps nothing of it."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name, interruptOnCancel=True)
+    try:
+        yield
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def cancel(spark: SparkSession, name: str) -> None:
+    spark.sparkContext.cancelJobGroup(name)
 
 
 def reduce_regions(tracks: Track | dict[str, Track], intervals, reducer: str, **options):

@@ -81,8 +81,15 @@ class Store:
             raise ValueError(f"name one of the tracks {self.names}")
         return self[self.names[0]]
 
-    def write(self, tracks: dict[str, Track]) -> None:
-        """Add tracks; nothing is overwritten, and a failure leaves no part behind."""
+    def write(self, tracks: dict[str, Track], file_rows: int | None = None, compression: str = "zstd") -> None:
+        """Add tracks; nothing is overwritten, and a failure leaves no part behind.
+
+        ``file_rows`` bounds the runs of a file, ``compression`` is Parquet's; the track's
+        later files are written likewise.
+        """
+        if file_rows is not None and file_rows < 1:
+            raise ValueError("a file holds one run at least")
+        layout = {"file_rows": file_rows, "compression": compression}
         self._writable()
         for name, t in tracks.items():
             if reserved(name) or not safe_name(name):
@@ -101,7 +108,7 @@ class Store:
         added = {}
         with self._cleaning() as done:
             for name, t in tracks.items():
-                added[name] = {"labels": list(t.labels), "fill": t.fill, "dim": t.dim, "dtype": t.runs.schema["value"].dataType.simpleString(), "id": uuid.uuid4().hex, "layers": False, "folders": [self._save(t, name, done)]}
+                added[name] = {"labels": list(t.labels), "fill": t.fill, "dim": t.dim, "dtype": t.runs.schema["value"].dataType.simpleString(), "id": uuid.uuid4().hex, "layers": False, "layout": layout, "folders": [self._save(t, name, done, layout)]}
             self._commit({**self.meta, "tracks": {**self.meta["tracks"], **added}})
         self.names += list(tracks)
 
@@ -128,7 +135,7 @@ class Store:
         with self._cleaning() as done:
             own = meta["tracks"][name]
             # A layer that may cover stored bases keeps its fill's runs too: they count.
-            own["folders"].append(self._save(more, name, done, bool(again)))
+            own["folders"].append(self._save(more, name, done, own["layout"], bool(again)))
             own["layers"] = own["layers"] or bool(again)
             for other in meta["tracks"].values():
                 if other["dim"] == t["dim"] and other["labels"] != [""]:
@@ -143,7 +150,7 @@ class Store:
         self._writable()
         old, meta = self.meta["tracks"][name]["folders"], json.loads(json.dumps(self.meta))
         with self._cleaning() as done:
-            meta["tracks"][name] |= {"folders": [self._save(self[name], name, done)], "layers": False}
+            meta["tracks"][name] |= {"folders": [self._save(self[name], name, done, meta["tracks"][name]["layout"])], "layers": False}
             self._commit(meta)
         for folder in old:
             delete(self.spark, f"{self.path}/{folder}")
@@ -167,14 +174,14 @@ class Store:
                 delete(self.spark, f"{self.path}/{folder}")
             raise
 
-    def _save(self, track: Track, name: str, done: list[str], all_runs: bool = False) -> str:
+    def _save(self, track: Track, name: str, done: list[str], layout: dict, all_runs: bool = False) -> str:
         """Write a track's runs, but those of its fill, to a new folder."""
         folder = f"{name}/{uuid.uuid4().hex}"
         done.append(folder)
         runs = track.runs if track.fill is None or all_runs else track.runs.where(~F.col("value").eqNullSafe(F.lit(track.fill)))
         # Clustered by place, so that row groups' bounds prune scans of a locus.
         ordered = runs.select(*COLUMNS).repartitionByRange("contig", "label", "start").sortWithinPartitions("contig", "label", "start")
-        ordered.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        ordered.write.mode("errorifexists").option("compression", layout["compression"]).option("maxRecordsPerFile", layout["file_rows"] or 0).parquet(f"{self.path}/{folder}")
         return folder
 
     def info(self) -> dict:

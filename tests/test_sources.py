@@ -1,9 +1,13 @@
 import json
+import os
 import re
+import time
 
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
+from spanwise import api
 from spanwise.operators import pileup, reduce
 from spanwise.plans.reference import Reference
 from spanwise.plans.track import Track, as_regions
@@ -211,6 +215,36 @@ def test_validation_names_the_rule(spark, tmp_path):
     assert status(track={"folders": ["nowhere"]})[0] == "incomplete" and status() == ("valid", [])
 
 
+def test_layout_and_cancelled_writes(spark, tmp_path):
+    """Files of few runs; a write that is cancelled half way leaves the store as it was."""
+    path = str(tmp_path / "s")
+    st = store.create(spark, path, REF)
+    many = Track(spark.range(20).selectExpr("'chr1' AS contig", "id AS start", "id + 1 AS end", "'' AS label", "id AS value"), REF)
+    st.write({"few": many}, file_rows=5, compression="snappy")
+    files = [f for f in os.listdir(f"{path}/{st.meta['tracks']['few']['folders'][0]}") if f.endswith(".parquet")]
+    assert len(files) >= 4 and all("snappy" in f for f in files) and st["few"].runs.count() == 20
+    with pytest.raises(ValueError):
+        st.write({"none": many}, file_rows=0)
+    endless = F.udf(lambda x: time.sleep(60) or x, "long")
+    slow = Track(many.runs.withColumn("value", endless("value")), REF)
+    failed = []
+
+    def run():
+        try:
+            with api.job(spark, "import"):
+                st.write({"slow": slow})
+        except Exception as e:
+            failed.append(e)
+
+    worker = InheritableThread(target=run)
+    worker.start()
+    time.sleep(4)
+    api.cancel(spark, "import")
+    worker.join(30)
+    assert failed and not worker.is_alive() and store.open_store(spark, path).names == ["few"]
+    assert not os.path.exists(f"{path}/slow") or not os.listdir(f"{path}/slow")
+
+
 def test_zip_round_trip(spark, tmp_path):
     path, packed = str(tmp_path / "s"), str(tmp_path / "s.zip")
     store.create(spark, path, REF).write({"depth": Track(spark.createDataFrame([("chr1", 0, 5, "a", 2.0)], RUNS), REF, ("a",), 0.0)})
