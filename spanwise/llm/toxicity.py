@@ -38,12 +38,13 @@ STEMS = (4, 5)
 
 @dataclass(frozen=True)
 class FtrlModel:
-    """Sparse weights by feature place; ``bias`` alone is the score of an empty text."""
+    """Sparse weights by feature place; ``bias`` alone is the score of an empty text. ``examples``: how many were learned from."""
 
     bits: int
     places: np.ndarray
     weights: np.ndarray
     bias: float
+    examples: int
 
     def dense(self) -> np.ndarray:
         w = np.zeros(1 << self.bits, np.float32)
@@ -109,15 +110,15 @@ def fit(texts: DataFrame, bits: int = BITS, rows: int = TRAIN_ROWS) -> FtrlModel
             return
         w, bias = ftrl(examples, np.concatenate(labels).astype(float), bits)
         at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([w[at].tolist()], pa.list_(pa.float64())), pa.array([float(bias)])], ["places", "weights", "bias"])
+        yield pa.RecordBatch.from_arrays([pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([w[at].tolist()], pa.list_(pa.float64())), pa.array([float(bias)]), pa.array([len(examples)], pa.int64())], ["places", "weights", "bias", "examples"])
 
     one = texts.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")).mapInArrow(featurise, "doc_id long, label int, places array<int>")
     # An id may stand on any number of rows, so the join with a bounded sample of ids bounds nothing.
     one = one.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.size("places"), F.xxhash64("places")).limit(rows)
-    found = one.mapInArrow(train, "places array<int>, weights array<double>, bias double").collect()
+    found = one.mapInArrow(train, "places array<int>, weights array<double>, bias double, examples long").collect()
     if not found:
-        return FtrlModel(bits, np.empty(0, np.int64), np.empty(0), 0.0)
-    return FtrlModel(bits, np.array(found[0].places, np.int64), np.array(found[0].weights), found[0].bias)
+        return FtrlModel(bits, np.empty(0, np.int64), np.empty(0), 0.0, 0)
+    return FtrlModel(bits, np.array(found[0].places, np.int64), np.array(found[0].weights), found[0].bias, found[0].examples)
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> FtrlModel:

@@ -128,7 +128,7 @@ def test_repeated_ids_dont_swell_the_training(make_docs, world, monkeypatch):
     docs = make_docs([(1, "the of and")] * 2000 + [(2, f"text {i}") for i in range(500)] + [(3, "to in"), (4, "is was")])
     plain = make_docs([(1, "the of and"), *[(2, f"text {i}") for i in range(500)], (3, "to in"), (4, "is was")])
     a, b = (toxicity.fit_labelled(d, labels.where("doc_id < 5"), rows=300) for d in (docs, plain))
-    assert a.bias == b.bias and a.places.tolist() == b.places.tolist()
+    assert a.examples == b.examples and a.bias == b.bias and a.places.tolist() == b.places.tolist()
     monkeypatch.setattr(quality, "UNLABELLED", 50)
     sample = quality.training_sample(docs.select("doc_id", "text"), labels, "quality").groupBy("kind", "doc_id").count().collect()
     assert sum(r["count"] for r in sample if not r.kind) <= 50 and all(r["count"] == 1 for r in sample if r.doc_id == 1)

@@ -86,7 +86,8 @@ def test_decontamination(spark, make_docs, rng, limit, monkeypatch):
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in got if not r[5])
 
 
-def components(docs):
+def row_components(docs):
+    """(doc_id, shingles, component) of each row in order, by comparing all pairs."""
     sets = []
     for _, t in docs:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
@@ -105,7 +106,11 @@ def components(docs):
     for i, (d, _) in enumerate(docs):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
-    return sorted(((d, len(s), None if d is None else least[find(i)]) for i, ((d, _), s) in enumerate(zip(docs, sets, strict=True))), key=str)
+    return [(d, len(s), None if d is None else least[find(i)]) for i, ((d, _), s) in enumerate(zip(docs, sets, strict=True))]
+
+
+def components(docs):
+    return sorted(row_components(docs), key=str)
 
 
 @pytest.mark.parametrize("chunk,routed,common", [(1 << 19, 32, 100_000), (150, 32, 3), (150, 1, 0), (60, 2, 100_000)])
@@ -140,3 +145,26 @@ def test_one_of_each_keeps_other_texts_of_an_id(make_docs):
     got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
     kept = [(3, a), (7, b), (9, None), (9, None), (None, a), (None, a), (10, "x" * 200_000), (11, "w " * 60_000)]
     assert got in (sorted([*kept, (8, x)], key=str) for x in (c, c.upper()))
+
+
+def test_native_operators_run_no_python(spark, make_docs):
+    """The plans of the two operators that are to be native hold no Python worker."""
+    docs, bench = make_docs([(1, "a b c")]), spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    turns = spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    for df in (chat.digests(chat.prefix_target_examples(turns)), decontaminate.contamination_report(docs, bench)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "MapPartitions"))
+
+
+def test_very_long_rows(spark, make_docs, rng):
+    """Texts of a megabyte beside short ones."""
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120_000))
+    docs = make_docs([(1, long), (2, long + " end"), (3, "short text"), (4, "x" * 1_000_000)])
+    got = {r.doc_id: r for r in jaccard.shingle_components(docs).collect()}
+    assert got[2].component_id == 1 and got[1].n_shingles > 119_000 and got[4].n_shingles == 1
+    words_ = long.split()
+    bench = spark.createDataFrame([(7, " ".join(words_[70_000:70_013]))], "item_id long, text string")
+    report = {r.doc_id: r for r in decontaminate.contamination_report(docs, bench).collect()}
+    assert report[1].n_hit == 13 and report[1].n_words == 120_000 and not report[1].contaminated and report[4].n_words == 1
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    assert chat.digests(chat.prefix_target_examples(turns)).first().loss_chars == len(long)
