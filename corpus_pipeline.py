@@ -26,7 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects (score of 0.5 or more) go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     (score,) = fresh(docs, "__toxic")
-    scored = toxicity.score(docs, toxicity.fit_labelled(docs, labels), score)
+    model = toxicity.fit_labelled(docs, labels)
+    if not model.examples:  # its score is 0.5 for all: nothing is known to be toxic
+        return docs
+    scored = toxicity.score(docs, model, score)
     return scored.where(F.col(score) < 0.5).drop(score)
 
 
