@@ -32,18 +32,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd 64-bit base and of its inverse, at least ``n`` of each."""
+    """Powers of an odd 64-bit base and of its inverse, at least ``n`` of each; those that a block needs are kept."""
     kept = process_cache()
-    if "powers" not in kept or len(kept["powers"][0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        base = 0x9E3779B97F4A7C15
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            seq = np.full(size, b, dtype=np.uint64)
-            seq[0] = 1
-            pair.append(np.multiply.accumulate(seq))
+    if "powers" in kept and len(kept["powers"][0]) >= n:
+        return kept["powers"]
+    size = max(n, 2 * BLOCK_BYTES + 1)
+    base = 0x9E3779B97F4A7C15
+    pair = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        seq = np.full(size, b, dtype=np.uint64)
+        seq[0] = 1
+        pair.append(np.multiply.accumulate(seq))
+    if "powers" not in kept and size == 2 * BLOCK_BYTES + 1:
         kept["powers"] = tuple(pair)
-    return kept["powers"]
+    return tuple(pair)
 
 
 def byte_values() -> np.ndarray:
@@ -128,6 +130,17 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of ascending spans that don't overlap, in pieces of a block: a very long text takes no arrays of eight bytes a byte."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK_BYTES)))
+        lo = starts[i]
+        out[i:j] = span_hashes(running_sums(buf[lo : ends[j - 1]]), starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
+
+
 def gram_hashes(words: np.ndarray, first: np.ndarray, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the words at each place plus ``steps``, within a row: (hashes, row of each)."""
     reach = steps[-1]

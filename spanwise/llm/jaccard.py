@@ -63,7 +63,7 @@ def document_sets(column: pa.Array):
     table = bt.nonspace_table()
     for lo, n, buf, offs in bt.blocks(column):
         starts, ends, first = bt.word_bounds(buf, offs, table)
-        words = bt.span_hashes(bt.running_sums(buf), starts, ends)
+        words = bt.word_hashes(buf, starts, ends)
         grams, rows = bt.gram_hashes(words, first, tuple(range(SHINGLE)))
         cuts = np.searchsorted(rows, np.arange(n + 1))
         counts = np.diff(first)

@@ -16,7 +16,7 @@ context holds one, so to tell them apart costs the same in every language. The
 language of the shortest code wins (ties: the first by name). ``und`` with score 0 is given to
 null texts and texts without a letter, and to all when nothing was learned.
 Repeated rows are predicted each; extra columns are ignored; an empty table gives
-no rows. A very long text is taken alone, in one array of its bytes.
+no rows. A very long text is scored in pieces.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from .shared import held_out, small_batches
 ORDER = 3
 #: Training documents of each language at most (in hash order of doc_id).
 TRAIN_ROWS = 600
+#: Bytes of text that are scored at once.
+PIECE = 1 << 19
 #: Languages that share a table of costs; bits of a byte at most.
 TOGETHER, MOST_BITS = 8, -np.log2(1e-30)
 WORDLIKE = re.compile(r"[^\W\d_]")
@@ -254,6 +256,23 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> ContextTrees:
     return ContextTrees(names, symbol, size, trees)
 
 
+def context_codes(trees: ContextTrees, buf: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The code of each byte of ``buf`` from ``lo`` to ``hi`` with the ORDER bytes before it; before a text's start are spaces."""
+    first = max(0, lo - ORDER)
+    s, blank = trees.symbol[buf[first:hi]], int(trees.symbol[0x20])
+    starts = offs[:-1][(offs[:-1] >= first) & (offs[:-1] < hi) & (np.diff(offs) > 0)]
+    code = s.copy()
+    for k in range(1, ORDER + 1):
+        earlier = np.full(len(s), blank)
+        earlier[k:] = s[:-k]
+        for j in range(k):
+            at = starts + j
+            # A text shorter than that ends before: its successor's start blanks what follows.
+            earlier[at[at < hi] - first] = blank
+        code += earlier * trees.size**k
+    return code[lo - first :]
+
+
 def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs``; score is the posterior of the winner at equal priors."""
     shipped = docs.sparkSession.sparkContext.broadcast(trees)
@@ -271,22 +290,15 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
             bits = np.zeros((b.num_rows, max(1, len(t.languages))))
             plain = [x is not None and has_letter(x) for x in text.to_pylist()]
             if t.languages:
-                for lo, n, buf, offs in bt.blocks(normal_bytes(text), 1 << 19):
-                    s = t.symbol[buf]
-                    code = s.copy()
-                    blank = int(t.symbol[0x20])
-                    for k in range(1, ORDER + 1):
-                        earlier = np.full(len(s), blank)
-                        earlier[k:] = s[:-k]
-                        for j in range(k):  # before a text's start: spaces
-                            at = offs[:-1][np.diff(offs) > j] + j
-                            earlier[at] = blank
-                        code += earlier * t.size**k
-                    for g, table in enumerate(kept[tag]):
-                        found = table.bits(code)
-                        sums = np.zeros((len(s) + 1, found.shape[1]))
-                        np.cumsum(found, axis=0, dtype=np.float64, out=sums[1:])
-                        bits[lo : lo + n, g * TOGETHER : g * TOGETHER + found.shape[1]] = sums[offs[1:]] - sums[offs[:-1]]
+                for lo, n, buf, offs in bt.blocks(normal_bytes(text), PIECE):
+                    for a in range(0, len(buf), PIECE):  # a very long text goes by pieces
+                        code = context_codes(t, buf, offs, a, min(a + PIECE, len(buf)))
+                        cut = np.clip(offs, a, a + len(code)) - a
+                        for g, table in enumerate(kept[tag]):
+                            found = table.bits(code)
+                            sums = np.zeros((len(code) + 1, found.shape[1]))
+                            np.cumsum(found, axis=0, dtype=np.float64, out=sums[1:])
+                            bits[lo : lo + n, g * TOGETHER : g * TOGETHER + found.shape[1]] += sums[cut[1:]] - sums[cut[:-1]]
             best = bits.argmin(axis=1)
             share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
             ok = np.array(plain, bool) & bool(t.languages)

@@ -60,7 +60,7 @@ class Mixture:
         tokens, out = np.zeros(len(column)), np.tile(self.prior, (len(column), 1))
         for lo, n, buf, offs in bt.blocks(column):
             starts, ends, first = bt.word_bounds(buf, offs, table)
-            at = (bt.span_hashes(bt.running_sums(buf), starts, ends) >> shift).astype(np.int64)
+            at = (bt.word_hashes(buf, starts, ends) >> shift).astype(np.int64)
             counts = np.diff(first)
             sums = np.zeros((len(at) + 1, len(self.domains)))
             np.cumsum(self.words[at], axis=0, out=sums[1:])
@@ -90,7 +90,7 @@ def classifier(docs: DataFrame, labels: DataFrame, domain: str = "domain", rows:
             total = np.zeros((len(names), 1 << BITS), np.int64)
             for lo, n, buf, offs in bt.blocks(b.column("text")):
                 starts, ends, first = bt.word_bounds(buf, offs, table)
-                at = (bt.span_hashes(bt.running_sums(buf), starts, ends) >> shift).astype(np.int64)
+                at = (bt.word_hashes(buf, starts, ends) >> shift).astype(np.int64)
                 np.add.at(total, (np.repeat(own[lo : lo + n], np.diff(first)), at), 1)
             k, at = np.nonzero(total)
             docs_of = np.bincount(own, minlength=len(names))

@@ -185,22 +185,31 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query (vec_id, v)."""
     spark = index.sparkSession
     asked = stage_table(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    found, block = None, []
+    block, done = [], []
 
     def ask(rows):
         by: dict = {}
         for r in rows:
             by.setdefault(len(r.v), []).append(r)
         shipped = spark.sparkContext.broadcast({dim: (np.array([r.vec_id for r in rs], np.int64), np.array([r.v for r in rs], np.float64)) for dim, rs in by.items()})
-        return index.mapInArrow(lambda batches: _near(shipped.value, k)(batches), "query_id long, vec_id long, score double")
+        return index.mapInArrow(lambda batches: _near(shipped.value, k)(batches), "query_id long, vec_id long, score double"), shipped
+
+    def finish(rows):
+        # One block's vectors at a time are held, here and by the executors.
+        near, shipped = ask(rows)
+        done.append(stage_table(near, "near"))
+        shipped.destroy()
 
     for r in asked.toLocalIterator():
         block.append(r)
-        if len(block) == QUERIES:
-            found = ask(block) if found is None else found.unionByName(ask(block))
-            block = []
-    if block or found is None:
-        found = ask(block) if found is None else found.unionByName(ask(block))
+        if len(block) > QUERIES:
+            finish(block[:-1])
+            block = block[-1:]
+    if done:
+        finish(block)
+        found = spark.read.schema(done[0].schema).parquet(*[d._staged_at for d in done])
+    else:
+        found, _ = ask(block)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -20,7 +20,7 @@ and unlabelled web text, both bounded samples:
 Labels of value 0 are never read. Null and empty texts have the features of an
 empty text. Without positives every score is 0.5. Repeated rows are scored
 each, and count once in the samples; extra columns are ignored; an empty table
-gives no rows. A very long text is taken alone, in arrays of its bytes.
+gives no rows. A very long text is taken alone, in pieces.
 """
 
 from __future__ import annotations
@@ -71,18 +71,20 @@ def features(column: pa.Array) -> np.ndarray:
     line = np.ones(256, bool)
     line[0x0A] = False
     for lo, n, buf, offs in bt.blocks(column):
-        size = np.diff(offs)
-        rows = np.repeat(np.arange(n), size)
-        c = kinds[buf]
-        pair = rows[1:] == rows[:-1]
-        counts = np.bincount((rows[1:] * CLASSES**2 + c[:-1] * CLASSES + c[1:])[pair], minlength=n * CLASSES**2).reshape(n, -1)
+        size, counts = np.diff(offs), np.zeros(n * CLASSES**2, np.int64)
+        for a in range(0, len(buf) - 1, bt.BLOCK_BYTES):  # a very long text goes by pieces, each with the first byte of the next
+            piece = buf[a : a + bt.BLOCK_BYTES + 1]
+            rows = np.repeat(np.arange(n), np.diff(np.clip(offs, a, a + len(piece))))
+            c = kinds[piece]
+            pair = rows[1:] == rows[:-1]
+            counts += np.bincount((rows[1:] * CLASSES**2 + c[:-1] * CLASSES + c[1:])[pair], minlength=n * CLASSES**2)
+        counts = counts.reshape(n, -1)
         out[lo : lo + n, : CLASSES**2] = np.sqrt(counts / np.maximum(size - 1, 1)[:, None])
-        sums = bt.running_sums(buf)
         starts, ends, first = bt.word_bounds(buf, offs, alnum)
         lines, line_ends, first_line = bt.word_bounds(buf, offs, line)
         words = np.diff(first)
         mean = (np.concatenate(([0], np.cumsum(ends - starts)))[first[1:]] - np.concatenate(([0], np.cumsum(ends - starts)))[first[:-1]]) / np.maximum(words, 1)
-        shapes = [np.log1p(size) / 8, np.log1p(words) / 6, mean / 8, _repeats(bt.span_hashes(sums, starts, ends), first), _repeats(bt.span_hashes(sums, lines, line_ends), first_line), np.log1p(np.diff(first_line)) / 4]
+        shapes = [np.log1p(size) / 8, np.log1p(words) / 6, mean / 8, _repeats(bt.word_hashes(buf, starts, ends), first), _repeats(bt.word_hashes(buf, lines, line_ends), first_line), np.log1p(np.diff(first_line)) / 4]
         out[lo : lo + n, CLASSES**2 : CLASSES**2 + SHAPES] = np.stack(shapes, axis=1)
     out[:, -1] = 1
     return out

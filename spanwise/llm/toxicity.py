@@ -57,12 +57,11 @@ def features(column: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray
     table, shift = bt.alnum_table(), np.uint64(64 - bits)
     for lo, n, buf, offs in bt.blocks(column):
         starts, ends, first = bt.word_bounds(buf, offs, table)
-        sums = bt.running_sums(buf)
-        words, owner = bt.span_hashes(sums, starts, ends), np.repeat(np.arange(n), np.diff(first))
+        words, owner = bt.word_hashes(buf, starts, ends), np.repeat(np.arange(n), np.diff(first))
         found = [bt.gram_hashes(words, first, steps) for steps in GRAMS]
         for k in STEMS:
             long = np.flatnonzero(ends - starts > k)
-            found.append((bt.mix(bt.span_hashes(sums, starts[long], starts[long] + k)), owner[long]))
+            found.append((bt.mix(bt.word_hashes(buf, starts[long], starts[long] + k)), owner[long]))
         yield lo, n, np.concatenate([h >> shift for h, _ in found]).astype(np.int64), np.concatenate([r for _, r in found])
 
 
