@@ -80,9 +80,9 @@ def view_lines(runs: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def write_view(runs: DataFrame, path: str, compressed: bool = False) -> None:
-    """Write view() as one text folder in order, with its header line."""
+    """Write view() as a folder of text files that are in order, the first with the header line."""
     names = [c for c in runs.columns if c not in ("region_id", "contig", "start", "end")]
     spark = runs.sparkSession
     head = spark.createDataFrame([(-1, -1, "\t".join(["#chrom", "start", "end", *names]))], "region_id long, start long, value string")
-    lines = head.unionByName(view_lines(runs)).coalesce(1).sortWithinPartitions("region_id", "start").select("value")
+    lines = head.unionByName(view_lines(runs)).orderBy("region_id", "start").select("value")
     lines.write.mode("errorifexists").option("compression", "gzip" if compressed else "none").text(path)

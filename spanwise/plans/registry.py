@@ -513,6 +513,30 @@ def region_file(spark, sf_dir):
     return out.select((F.col("region_id") - 2).alias("region_id"), "label", F.col("value").cast("long").alias("value"))
 
 
+@query("view_file", ORACLES["view_runs"].replace("SELECT CAST(region_id AS BIGINT) AS region_id, contig, CAST(min(p) AS BIGINT) AS start, CAST(max(p) + 1 AS BIGINT) AS \"end\", any_value(f) AS F, any_value(o) AS O", "SELECT contig || chr(9) || min(p) || chr(9) || (max(p) + 1) || chr(9) || coalesce(CAST(any_value(f) AS VARCHAR), 'NaN') || chr(9) || coalesce(CAST(any_value(o) AS VARCHAR), 'NaN') AS line") + " UNION ALL SELECT '#chrom' || chr(9) || 'start' || chr(9) || 'end' || chr(9) || 'F' || chr(9) || 'O'")
+def view_file(spark, sf_dir):
+    """The text export, written and read back."""
+    path = files.scratch_path(spark, "view")
+    runs.write_view(view_runs(spark, sf_dir), path, compressed=True)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("locus_select", f"WITH {PTS}, {LAB} SELECT 'A:' || g.p AS position, lab.label, v AS value FROM (VALUES (125), (121), (150)) g(p) CROSS JOIN lab LEFT JOIN pts ON pts.contig = 'A' AND pts.label = lab.label AND pts.pos = g.p")
+def locus_select(spark, sf_dir):
+    view = mask.region(depth_track(spark, sf_dir), "A:120-180")
+    return mask.select_loci(view, ["A:125", "A:121", "A:150"]).select("position", "label", "value")
+
+
+@query("bed_schema", "SELECT * FROM (VALUES ('4', 'digit', 'uint8'), ('5', 'day', 'uint16'), ('6', 'tenth', 'float32'), ('7', 'signed', 'int8')) t(selector, track, dtype)")
+def bed_schema(spark, sf_dir):
+    """Types inferred from all cells of a BED file of orders, whose dates span some 2,400 days."""
+    path, value = files.scratch_path(spark, "typed"), F.col("value")
+    cells = F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("end").cast("string"), *[c.cast("string") for c in (value, F.col("start"), value / 10, value - 9)])
+    order_lines(spark, sf_dir).select(cells.alias("value")).write.text(path)
+    asked = [sources.Column(str(4 + i), n) for i, n in enumerate(("digit", "day", "tenth", "signed"))]
+    return spark.createDataFrame([(c.selector, c.track, c.dtype) for c in sources.bed_schema(spark, path, asked=asked, infer_rows=None)], "selector string, track string, dtype string")
+
+
 @query("bed_import", f"WITH {ORDERS}, b AS (SELECT line % 2 AS odd, contig, line, v, unnest(range(s, e)) AS p FROM ord), w AS (SELECT odd, contig, p, arg_max(v, line) AS v FROM b GROUP BY odd, contig, p), t AS (SELECT odd, 'digit' AS track, CAST(v AS DOUBLE) AS value FROM w UNION ALL SELECT odd, 'low', CASE WHEN v < 5 THEN 1 ELSE 0 END FROM w) SELECT track, CASE odd WHEN 0 THEN 'even' ELSE 'odd' END AS label, value, count(*) AS bases FROM t GROUP BY track, odd, value")
 def bed_import(spark, sf_dir):
     """Two BED files of orders with two value columns, whose types are inferred over all cells: a track each, a column for each file."""
