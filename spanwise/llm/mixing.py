@@ -7,12 +7,15 @@ rates r >= 0 (expected copies of each document) then minimise
     sum_k ((sum_d r_d tokens_d p_dk) - target_k)^2 / (2 m_k),   m_k = sum_d tokens_d p_dk
 
 by projected gradient from r = 1, in the metric weighted by tokens: one step is
-r_d <- max(r_d - sum_k p_dk residual_k / m_k, low). Passes go on until the totals
-match, or until the sum no longer falls: rates of low or more can't reach some
-targets, and the log then says what was missed. All documents' rates
-follow from the same short list of K-vectors, so a pass over the corpus adds up
-K numbers and nothing else leaves the executors; the rates are replayed wherever
-they are needed.
+r_d <- max(r_d - p_d . g, low). The plain g is residual_k / m_k; it is scaled by the
+inverse of G = sum_d tokens_d p_d p_d' over the documents that are free to move
+(those above ``low``, or drawn up from it), which makes a step exact but for rates that it
+clips, so that a few passes do. A step that gains nothing is halved, and at last
+replaced by the plain one. Passes go on until the totals match, or until the sum no longer
+falls: rates of low or more can't reach some targets, and the log then says what
+was missed. All documents' rates follow from the same short list of K-vectors, so a
+pass over the corpus adds up K + K * K numbers and nothing else leaves the
+executors; the rates are replayed wherever they are needed.
 
 Null and empty texts have no tokens and the prior as posterior; their rate is 1.
 With an empty labelled table all documents belong to the one domain ''. An empty
@@ -40,6 +43,8 @@ TRAIN_ROWS, BITS, DOMAINS = 8_000, 15, 1_000
 SHARPNESS = 12.0
 #: The fit has stalled when the sum fell by less than this share over so many passes.
 STALL, STALL_GAIN = 10, 1e-3
+#: How often a step that gains nothing is made smaller, the last time by taking the plain one.
+HALVINGS = 3
 LOG = logging.getLogger(__name__)
 
 
@@ -131,37 +136,51 @@ def fit_rates(docs: DataFrame, model: Mixture, targets, low: float = 0.0, high:
 
     table = stage_table(docs.select("text").mapInArrow(members, "tokens double, p array<double>"), "members")
 
-    def totals(steps) -> np.ndarray:
+    def totals(steps, want=None) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens by domain, and the Gram matrix of the documents that are free to move towards ``want``."""
+
         def add(batches):
             m = Mixture(model.domains, np.empty((0, kinds)), model.prior, low, high, steps)
-            total = np.zeros(kinds)
+            total, gram = np.zeros(kinds), np.zeros((kinds, kinds))
             for b in batches:
                 tokens = b.column("tokens").to_numpy()
                 p = b.column("p").flatten().to_numpy().reshape(-1, kinds)
-                total += (m.rates(tokens, p) * tokens) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(kinds)), pa.array(total)], ["k", "total"])
-
-        got = table.mapInArrow(add, "k long, total double").groupBy("k").agg(F.sum("total").alias("total")).collect()
-        out = np.zeros(kinds)
+                rates = m.rates(tokens, p)
+                total += (rates * tokens) @ p
+                free = (rates > low) & (rates < high)
+                if want is not None:
+                    free |= (rates <= low) & (p @ want > 0) | (rates >= high) & (p @ want < 0)
+                gram += (p * (tokens * free)[:, None]).T @ p
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(kinds * (kinds + 1))), pa.array(np.concatenate([total, gram.ravel()]))], ["k", "x"])
+
+        got = table.mapInArrow(add, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(kinds * (kinds + 1))
         for r in got:
-            out[r.k] = r.total
-        return out
+            out[r.k] = r.x
+        return out[:kinds], out[kinds:].reshape(kinds, kinds)
 
-    base = totals([])
+    base, gram = totals([])
     want = np.asarray(targets(base) if callable(targets) else [targets.get(k, 0.0) for k in model.domains], float)
     trace, misses, now = [], [], base
     scale = np.maximum(base, 1e-9 * max(base.sum(), 1.0))
+    halved = 0
     while True:
         trace.append(dict(zip(model.domains, now.tolist(), strict=True)))
         misses.append(float(((now - want) ** 2 / scale).sum()))
         if np.abs(now - want).sum() <= close * max(want.sum(), 1.0):
             break
-        if len(misses) > STALL and misses[-1] > (1 - STALL_GAIN) * misses[-1 - STALL]:
+        if len(misses) > STALL and min(misses[-STALL:]) > (1 - STALL_GAIN) * min(misses[:-STALL]):
             missed = ", ".join(f"{k!r}: {x:.6g} of {w:.6g}" for k, x, w in zip(model.domains, now, want, strict=True))
             LOG.warning("mixing targets not reached after %d passes; expected tokens reached of wanted: %s", len(trace) - 1, missed)
             break
-        model.steps.append((now - want) / scale)
-        now = totals(model.steps)
+        if len(misses) > 1 and model.steps and misses[-1] >= misses[kept] and halved < HALVINGS:
+            halved += 1
+            model.steps[-1] = model.steps[-1] / 2 if halved < HALVINGS else plain
+        else:
+            kept, halved, plain = len(misses) - 1, 0, (now - want) / scale
+            ridge = 1e-9 * np.diag(scale)
+            model.steps.append(np.linalg.solve(gram + ridge, now - want))
+        now, gram = totals(model.steps, (want - now) / scale)
     return model, trace
 
 

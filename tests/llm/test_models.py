@@ -282,10 +282,20 @@ def test_mixing_equals_brute_force(make_docs):
     mass = [sum(t * q[k] for t, q in zip(tokens, p, strict=True)) for k in (0, 1)]
     want = [0.3 * sum(mass), 0.7 * sum(mass)]
     model, trace = mixing.fit_rates(docs, model, dict(zip(("de", "en"), want, strict=True)))
+    # Each document's own rate: steps along its posterior, scaled by the Gram matrix of those that may move; none is clipped to begin with.
     rates = [1.0] * len(rows)
+    free = [1.0] * len(rows)
     for _ in range(len(trace) - 1):
-        miss = [sum(r * t * q[k] for r, t, q in zip(rates, tokens, p, strict=True)) - want[k] for k in (0, 1)]
-        rates = [max(0.0, r - sum(q[k] * miss[k] / mass[k] for k in (0, 1))) for r, q in zip(rates, p, strict=True)]
+        now = [sum(r * t * q[k] for r, t, q in zip(rates, tokens, p, strict=True)) for k in (0, 1)]
+        miss = [now[k] - want[k] for k in (0, 1)]
+        gram = [[sum(f * t * q[i] * q[j] for f, t, q in zip(free, tokens, p, strict=True)) for j in (0, 1)] for i in (0, 1)]
+        gram[0][0] += 1e-9 * mass[0]
+        gram[1][1] += 1e-9 * mass[1]
+        det = gram[0][0] * gram[1][1] - gram[0][1] * gram[1][0]
+        g = [(miss[0] * gram[1][1] - miss[1] * gram[0][1]) / det, (gram[0][0] * miss[1] - gram[1][0] * miss[0]) / det]
+        up = [-miss[k] / mass[k] for k in (0, 1)]
+        rates = [max(0.0, r - q[0] * g[0] - q[1] * g[1]) for r, q in zip(rates, p, strict=True)]
+        free = [float(r > 0 or q[0] * up[0] + q[1] * up[1] > 0) for r, q in zip(rates, p, strict=True)]
     rates = [r if t else 1.0 for r, t in zip(rates, tokens, strict=True)]
     out, (n, _, rate, copies) = mixing.apply_rates(docs, model)
     got = {r.doc_id: r for r in out.collect()}
