@@ -113,7 +113,9 @@ def fit(texts: DataFrame, bits: int = BITS, rows: int = TRAIN_ROWS) -> FtrlModel
 
     one = texts.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")).mapInArrow(featurise, "doc_id long, label int, places array<int>")
     # An id may stand on any number of rows, so the join with a bounded sample of ids bounds nothing.
-    one = one.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.size("places"), F.xxhash64("places")).limit(rows)
+    if texts.select("doc_id", "label").groupBy("doc_id", "label").count().where("count > 1").limit(1).count():
+        one = one.distinct()
+    one = one.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.size("places"), F.xxhash64("places")).limit(rows)
     found = one.mapInArrow(train, "places array<int>, weights array<double>, bias double, examples long").collect()
     if not found:
         return FtrlModel(bits, np.empty(0, np.int64), np.empty(0), 0.0, 0)
