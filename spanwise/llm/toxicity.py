@@ -65,7 +65,7 @@ def features(column: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray
         yield lo, n, np.concatenate([h >> shift for h, _ in found]).astype(np.int64), np.concatenate([r for _, r in found])
 
 
-def ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float = 0.15, beta: float = 1.0, l1: float = 2.0, l2: float = 0.5, epochs: int = 3) -> tuple[np.ndarray, float]:
+def ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float = 0.15, beta: float = 1.0, l1: float = 6.0, l2: float = 0.5, epochs: int = 3) -> tuple[np.ndarray, float]:
     """FTRL-proximal over sparse 0/1 examples in the given order: weights and bias."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias, drift = 0.0, 1.0
