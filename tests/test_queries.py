@@ -37,12 +37,12 @@ def test_whole_table_queries_drop_no_rows(spark, duck):
     """Counts taken from the plain tables, without the registered SQL."""
     got = registry.QUERIES["interval_coalesce"](spark, SF).selectExpr("sum(end - start)").first()[0]
     contig, start = "o_orderstatus || '-' || o_custkey % 251", "date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))"
-    want = duck.sql(f"SELECT count(DISTINCT (c, p)) FROM (SELECT {contig} AS c, unnest(range({start}, {start} + 1 + o_orderkey % 30)) AS p FROM orders)").fetchone()[0]
+    want = duck.sql(f"SELECT count(DISTINCT (c, p)) FROM (SELECT {contig} AS c, unnest(range({start}, {start} + 1 + o_orderkey % 30)) AS p FROM orders)").fetchall()[0][0]
     assert got == want
     assert registry.QUERIES["interval_mask_bases"](spark, SF).selectExpr("sum(masked)").first()[0] == want
     assert registry.QUERIES["bed_last_wins"](spark, SF).selectExpr("sum(bases)").first()[0] == want
     insertions = registry.QUERIES["pileup_composition"](spark, SF).where("kind = 'ins'").selectExpr("sum(n)").first()[0]
-    assert insertions == duck.sql("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert insertions == duck.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
     quantized = registry.QUERIES["quantized_runs"](spark, SF)
     assert quantized.selectExpr("sum(bases)").first()[0] == registry.depth_track(spark, SF).runs.where("value IS NOT NULL").selectExpr("sum(end - start)").first()[0]
     assert quantized.where("value >= 100").count() > 0 and quantized.where("value < 10").count() > 0
