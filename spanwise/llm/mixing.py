@@ -10,17 +10,19 @@ by projected gradient from r = 1, in the metric weighted by tokens: one step is
 r_d <- max(r_d - p_d . g, low). The plain g is residual_k / m_k; it is scaled by the
 inverse of G = sum_d tokens_d p_d p_d' over the documents that are free to move
 (those above ``low``, or drawn up from it), which makes a step exact but for rates that it
-clips, so that a few passes do. A step that gains nothing is halved, and at last
-replaced by the plain one. Passes go on until the totals match, or until the sum no longer
-falls: rates of low or more can't reach some targets, and the log then says what
+clips, so that a few passes do. A pass tries the step, its half and quarter, and the plain
+one, and takes the first that makes the sum smaller; others leave no trace, so rates never end
+worse than they were. Passes go on until the totals match, or until the sum no longer
+falls: rates of low or more can't reach some targets, nor can domains that no word
+tells apart be moved against each other, and the log then says what
 was missed. All documents' rates follow from the same short list of K-vectors, so a
-pass over the corpus adds up K + K * K numbers and nothing else leaves the
+pass over the corpus adds up K + K * K numbers for each step tried and nothing else leaves the
 executors; the rates are replayed wherever they are needed.
 
 Null and empty texts have no tokens and the prior as posterior; their rate is 1.
 With an empty labelled table all documents belong to the one domain ''. An empty
 table gives no rows. Repeated rows are documents each, with the same rate, and
-are rounded to copies alike. A very long text is taken alone, in arrays of its words.
+are rounded to copies alike. A very long text is taken alone, its words in pieces.
 Extra columns pass through, whatever their names.
 """
 
@@ -41,10 +43,12 @@ from .shared import fresh, labelled_sample, small_batches, stage_table
 TRAIN_ROWS, BITS, DOMAINS = 8_000, 15, 1_000
 #: Log-likelihoods are averaged over words and counted as of so many words at most: memberships stay soft.
 SHARPNESS = 12.0
-#: The fit has stalled when the sum fell by less than this share over so many passes.
-STALL, STALL_GAIN = 10, 1e-3
-#: How often a step that gains nothing is made smaller, the last time by taking the plain one.
-HALVINGS = 3
+#: The fit has stalled when the sum fell by less than this share over so many steps (each stands for up to four passes of one trial).
+STALL, STALL_GAIN = 4, 5e-3
+#: Parts of the scaled step that a pass tries, in this order, before the plain one.
+PARTS = (1.0, 0.5, 0.25)
+#: Log-probabilities of words (one for each domain) that are held at once.
+PIECE = 1 << 20
 LOG = logging.getLogger(__name__)
 
 
@@ -67,9 +71,13 @@ class Mixture:
             starts, ends, first = bt.word_bounds(buf, offs, table)
             at = (bt.word_hashes(buf, starts, ends) >> shift).astype(np.int64)
             counts = np.diff(first)
-            sums = np.zeros((len(at) + 1, len(self.domains)))
-            np.cumsum(self.words[at], axis=0, out=sums[1:])
-            total = sums[first[1:]] - sums[first[:-1]]
+            total, size = np.zeros((n, len(self.domains))), max(1, PIECE // len(self.domains))
+            for a in range(0, len(at), size):
+                sums = np.zeros((min(size, len(at) - a) + 1, len(self.domains)))
+                np.cumsum(self.words[at[a : a + size]], axis=0, out=sums[1:])
+                i, j = np.searchsorted(first, a, side="right") - 1, np.searchsorted(first, a + len(sums) - 1)
+                bounds = np.clip(first[i : j + 1] - a, 0, len(sums) - 1)
+                total[i:j] += sums[bounds[1:]] - sums[bounds[:-1]]
             tokens[lo : lo + n] = counts
             out[lo : lo + n] += total * (np.minimum(counts, SHARPNESS) / np.maximum(counts, 1))[:, None]
         out = np.exp(out - out.max(axis=1, keepdims=True))
@@ -122,7 +130,7 @@ def classifier(docs: DataFrame, labels: DataFrame, domain: str = "domain", rows:
 def fit_rates(docs: DataFrame, model: Mixture, targets, low: float = 0.0, high: float = np.inf, close: float = 1e-4) -> tuple[Mixture, list[dict]]:
     """Fit the steps to ``targets``: token totals by domain, or a function of the observed totals that gives them.
 
-    ``high`` bounds the rates if given. Returns the model and, for each pass, the totals it reached.
+    ``high`` bounds the rates if given. Returns the model and the totals at the start and after each step.
     """
     model.low, model.high, model.steps = low, high, []
     small_batches(docs.sparkSession)
@@ -136,52 +144,52 @@ def fit_rates(docs: DataFrame, model: Mixture, targets, low: float = 0.0, high:
 
     table = stage_table(docs.select("text").mapInArrow(members, "tokens double, p array<double>"), "members")
 
-    def totals(steps, want=None) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens by domain, and the Gram matrix of the documents that are free to move towards ``want``."""
+    def totals(steps, tries, draw) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``tries`` after ``steps``: expected tokens by domain, and the Gram matrix of the documents that are free to move along ``draw``."""
+        base, n = Mixture([], np.empty((0, kinds)), np.empty(0), low, high, steps), kinds * (kinds + 1)
 
         def add(batches):
-            m = Mixture(model.domains, np.empty((0, kinds)), model.prior, low, high, steps)
-            total, gram = np.zeros(kinds), np.zeros((kinds, kinds))
+            out = np.zeros((len(tries), n))
             for b in batches:
                 tokens = b.column("tokens").to_numpy()
                 p = b.column("p").flatten().to_numpy().reshape(-1, kinds)
-                rates = m.rates(tokens, p)
-                total += (rates * tokens) @ p
-                free = (rates > low) & (rates < high)
-                if want is not None:
-                    free |= (rates <= low) & (p @ want > 0) | (rates >= high) & (p @ want < 0)
-                gram += (p * (tokens * free)[:, None]).T @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(kinds * (kinds + 1))), pa.array(np.concatenate([total, gram.ravel()]))], ["k", "x"])
-
-        got = table.mapInArrow(add, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(kinds * (kinds + 1))
-        for r in got:
-            out[r.k] = r.x
-        return out[:kinds], out[kinds:].reshape(kinds, kinds)
-
-    base, gram = totals([])
-    want = np.asarray(targets(base) if callable(targets) else [targets.get(k, 0.0) for k in model.domains], float)
-    trace, misses, now = [], [], base
-    scale = np.maximum(base, 1e-9 * max(base.sum(), 1.0))
-    halved = 0
-    while True:
-        trace.append(dict(zip(model.domains, now.tolist(), strict=True)))
-        misses.append(float(((now - want) ** 2 / scale).sum()))
-        if np.abs(now - want).sum() <= close * max(want.sum(), 1.0):
-            break
-        if len(misses) > STALL and min(misses[-STALL:]) > (1 - STALL_GAIN) * min(misses[:-STALL]):
+                start, along = base.rates(tokens, p), p @ draw
+                for k, g in enumerate(tries):
+                    rates = np.where(tokens > 0, np.clip(start - p @ g, low, high), 1.0)
+                    free = (rates > low) & (rates < high) | (rates <= low) & (along > 0) | (rates >= high) & (along < 0)
+                    out[k, :kinds] += (rates * tokens) @ p
+                    out[k, kinds:] += ((p * (tokens * free)[:, None]).T @ p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], ["k", "x"])
+
+        got = table.mapInArrow(add, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).toArrow()
+        out = np.zeros(len(tries) * n)
+        out[got["k"].to_numpy()] = got["x"].to_numpy()
+        return [(x[:kinds], x[kinds:].reshape(kinds, kinds)) for x in out.reshape(-1, n)]
+
+    still = np.zeros(kinds)
+    ((now, gram),) = totals([], [still], still)
+    want = np.asarray(targets(now) if callable(targets) else [targets.get(k, 0.0) for k in model.domains], float)
+    scale = np.maximum(now, 1e-9 * max(now.sum(), 1.0))
+    miss = lambda x: float(((x - want) ** 2 / scale).sum())
+    near = lambda: np.abs(now - want).sum() <= close * max(want.sum(), 1.0)
+    if not low < 1.0 < high and not near():  # the rates start at a bound
+        ((_, gram),) = totals([], [still], (want - now) / scale)
+    trace, misses = [now], [miss(now)]
+    while not near():
+        whole = np.linalg.solve(gram + 1e-9 * np.diag(scale), now - want)
+        tries = [*(part * whole for part in PARTS), (now - want) / scale]
+        found = zip(tries, totals(model.steps, tries, (want - now) / scale), strict=True)
+        better = next(((g, *x) for g, x in found if miss(x[0]) < misses[-1]), None)
+        if better:
+            step, now, gram = better
+            model.steps.append(step)
+            trace.append(now)
+            misses.append(miss(now))
+        if not better or len(misses) > STALL and not near() and misses[-1] > (1 - STALL_GAIN) * misses[-1 - STALL]:
             missed = ", ".join(f"{k!r}: {x:.6g} of {w:.6g}" for k, x, w in zip(model.domains, now, want, strict=True))
-            LOG.warning("mixing targets not reached after %d passes; expected tokens reached of wanted: %s", len(trace) - 1, missed)
+            LOG.warning("mixing targets not reached after %d steps; expected tokens reached of wanted: %s", len(model.steps), missed)
             break
-        if len(misses) > 1 and model.steps and misses[-1] >= misses[kept] and halved < HALVINGS:
-            halved += 1
-            model.steps[-1] = model.steps[-1] / 2 if halved < HALVINGS else plain
-        else:
-            kept, halved, plain = len(misses) - 1, 0, (now - want) / scale
-            ridge = 1e-9 * np.diag(scale)
-            model.steps.append(np.linalg.solve(gram + ridge, now - want))
-        now, gram = totals(model.steps, (want - now) / scale)
-    return model, trace
+    return model, [dict(zip(model.domains, x.tolist(), strict=True)) for x in trace]
 
 
 def tempered(power: float, keep_all: bool = False):

@@ -317,6 +317,35 @@ def test_mixing_reaches_skewed_targets(make_docs, caplog):
     assert "not reached" in caplog.text
 
 
+def test_mixing_ends_at_its_best_where_domains_cannot_be_told_apart(make_docs, caplog):
+    """Two names of one language: no rates reach their targets, and no step that overshot is left in the result."""
+    rng = random.Random(21)
+    kinds = ["en"] * 14 + ["en-gb"] * 5 + ["de"]
+    rows = [(i, " ".join(rng.choice(DE if i % 20 == 19 else EN) for _ in range(rng.randrange(5, 40))), kinds[i % 20]) for i in range(2000)]
+    docs = make_docs(rows)
+    labels = docs.selectExpr("doc_id", "lang AS domain")
+    model, trace = mixing.fit_rates(docs, mixing.classifier(docs, labels), mixing.tempered(0.7, keep_all=True), low=1.0)
+    base, last = (np.array([t[k] for k in model.domains]) for t in (trace[0], trace[-1]))
+    want = mixing.tempered(0.7, keep_all=True)(base)
+    misses = [((np.array([t[k] for k in model.domains]) - want) ** 2 / base).sum() for t in trace]
+    assert "not reached" in caplog.text and misses[-1] == min(misses) < misses[0]
+    assert len(trace) < 40 and (last >= 0.999 * base).all()
+    out, (n, _, rate, _) = mixing.apply_rates(docs, model)
+    # What the returned model does is what the last totals say.
+    assert out.selectExpr(f"sum({rate} * {n})").first()[0] == pytest.approx(last.sum()) and out.agg({rate: "min"}).first()[0] == 1
+
+
+def test_mixing_takes_the_words_of_long_texts_in_pieces(make_docs, monkeypatch):
+    docs = make_docs([(i, " ".join([*EN, *DE][(i + k) % 30] for k in range(i % 9)), "en" if i % 3 else "de") for i in range(60)] + [(900, None), (901, "")])
+    model = mixing.classifier(docs, docs.selectExpr("doc_id", "lang AS domain"))
+    texts = pa.array([r.text for r in docs.collect()])
+    tokens, p = model.posterior(texts)
+    for words in (1, 2, 7):
+        monkeypatch.setattr(mixing, "PIECE", words * len(model.domains))
+        again = model.posterior(texts)
+        assert (again[0] == tokens).all() and np.allclose(again[1], p, rtol=1e-9)
+
+
 def test_resharding(spark, make_docs, rng, tmp_path):
     docs = make_docs([(i, "ä" * rng.randrange(200)) for i in range(3000)] + [(None, None), (1, "x"), (1, "x"), (2, "y" * 30_000)])
     out = resharding.shard_report(docs, str(tmp_path / "r"), 7).toPandas()
